@@ -27,6 +27,7 @@ MESSAGE_OVERHEAD = 4
 
 WORD = r"[A-Za-z0-9_]+|[Ѐ-ӿ]+"
 CAMEL_PART = r"[A-Z]+(?![a-z])|[A-Z][a-z0-9]*|[a-z0-9]+"
+INNER_BOUNDARY = r"[A-Za-z0-9_][A-Z_]|[A-Z_][0-9]|_"
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]*"
 CYRILLIC = r"[Ѐ-ӿ]"
 
@@ -85,7 +86,9 @@ def provenance(path: Column, kind: Column, project: Column, owner_project: str |
 
 def identifiers(text: Column) -> Column:
     """Identifiers with more than one camel part, followed by their parts, first-seen order."""
-    tokens = F.regexp_extract_all(text, F.lit(IDENTIFIER), F.lit(0))
+    tokens = F.filter(
+        F.regexp_extract_all(text, F.lit(IDENTIFIER), F.lit(0)), lambda t: t.rlike(INNER_BOUNDARY)
+    )
     exploded = F.transform(
         tokens,
         lambda t: F.concat(F.array(t), F.regexp_extract_all(t, F.lit(CAMEL_PART), F.lit(0))),
@@ -107,7 +110,8 @@ def lex_tokens(text: Column) -> Column:
         snake = F.when(
             F.contains(word, F.lit("_")), F.filter(F.split(word, "_"), lambda p: p != "")
         ).otherwise(F.array().cast("array<string>"))
-        return F.concat(F.array(word), camel, snake)
+        # most words have no inner boundary, and one test settles that
+        return F.when(word.rlike(INNER_BOUNDARY), F.concat(F.array(word), camel, snake)).otherwise(F.array(word))
 
     return F.transform(F.flatten(F.transform(words, spread)), F.lower)
 

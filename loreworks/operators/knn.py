@@ -133,11 +133,10 @@ def _cell_pairs(q_stats: list, v_stats: list, pivots: np.ndarray, need: int, rad
 
 def _tiled(queries: DataFrame, vectors: DataFrame, k: int, skip_self: bool, floor, metric: str, schema, block: int) -> DataFrame:
     spark = vectors.sparkSession
-    # At most MAX_PIVOTS rows reach the driver, chosen by hash so that a rerun picks the same.
-    # Distinct vectors only: copies of one vector would waste pivots.
-    picked = (
-        vectors.select("id", "vec").orderBy(F.md5(F.col("id").cast("string"))).limit(MAX_PIVOTS).collect()
-    )
+    # At most MAX_PIVOTS rows reach the driver, chosen by hash so that a rerun picks the same,
+    # and no more than it takes for a cell to fill a block.  Copies of one vector are one pivot.
+    wanted = int(min(MAX_PIVOTS, max(1, -(-vectors.count() // block))))
+    picked = vectors.select("id", "vec").orderBy(F.md5(F.col("id").cast("string"))).limit(wanted).collect()
     pivots = np.unique(np.array([r["vec"] for r in picked], dtype=np.float64), axis=0)
     qa, va = _assign(queries, "qid", pivots), _assign(vectors, "id", pivots)
     stat = lambda df: df.groupBy("cell").agg(

@@ -6,11 +6,14 @@ occur in a question are ever joined, so a batch of questions touches a sliver of
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loreworks.functions import text as tx
 from loreworks.operators.scale import attach_row, first_rows
+from loreworks.session import save_point
 
 # Ranking constants.
 K1, B = 1.2, 0.75
@@ -53,57 +56,70 @@ def question_terms(questions: DataFrame, tokenizer=tx.lex_tokens, min_len: int =
     )
 
 
-def term_frequencies(chunks: DataFrame, terms: DataFrame, text: str = "text", tokenizer=tx.lex_tokens) -> DataFrame:
-    """Postings {term, chunk_id, tf, len} for the given terms only, straight from the chunks.
+@dataclass(frozen=True)
+class TermHits:
+    """What a batch of questions needs to know about a corpus, from one pass over its text.
 
-    For one-off batches this beats building the whole index: foreign words are discarded
-    before anything is shuffled.
+    postings {term, chunk_id, tf, len} of the asked terms, df {term, df}, stats {n, avg_len}.
     """
-    wanted = terms.select("term").distinct()
-    return (
+
+    postings: DataFrame
+    df: DataFrame
+    stats: DataFrame
+
+
+def term_hits(chunks: DataFrame, terms: DataFrame, text: str = "text", tokenizer=tx.lex_tokens) -> TermHits:
+    """Tokenize once and keep the asked terms only.
+
+    Each chunk adds one marker row (the empty term) that carries its length, so corpus counts
+    come out of the same pass.  Foreign words are discarded before anything is shuffled, and
+    what is left is saved, since scores, frequencies and counts all read it.
+    """
+    marker = F.lit("")
+    wanted = terms.select("term").unionByName(terms.sparkSession.range(1).select(marker.alias("term"))).distinct()
+    kept = save_point(
         chunks.select("chunk_id", tokenizer(F.col(text)).alias("_bag"))
-        .select("chunk_id", F.size("_bag").cast("long").alias("len"), F.explode("_bag").alias("term"))
+        .select(
+            "chunk_id",
+            F.size("_bag").cast("long").alias("len"),
+            F.explode(F.array_append("_bag", marker)).alias("term"),
+        )
         .join(wanted, "term", "left_semi")
         .groupBy("term", "chunk_id", "len")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
+    postings = kept.where(F.col("term") != "")
+    stats = kept.where(F.col("term") == "").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
+    return TermHits(postings, document_frequency(postings), stats)
 
 
 def document_frequency(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def bm25_scores(
-    terms: DataFrame,
-    postings: DataFrame,
-    corpus_stats: DataFrame,
-    k1: float = K1,
-    b: float = B,
-) -> DataFrame:
-    """{qid, chunk_id, score > 0} for question terms over postings that carry ``len``.
+def bm25_scores(terms: DataFrame, hits: TermHits, k1: float = K1, b: float = B) -> DataFrame:
+    """{qid, chunk_id, score > 0}.
 
     A term in very many chunks is split: its postings are salted by chunk and the few question
     rows are repeated per salt, so a stop word never lands in one task.  The number of salts
     follows from the document frequency that idf needs anyway.
     """
-    wanted = terms.select("term").distinct()
-    df = document_frequency(postings.join(wanted, "term", "left_semi"))
     salts = F.ceil(F.col("df") / POSTINGS_PER_SALT).cast("int")
     weighted = (
-        attach_row(terms.join(df, "term"), corpus_stats)
+        attach_row(terms.join(hits.df, "term"), hits.stats)
         .select(
             "qid", "term", "avg_len", salts.alias("_salts"),
             F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"),
         )
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
     )
-    spread = postings.join(df.select("term", salts.alias("_n")), "term").withColumn(
+    spread_out = hits.postings.join(hits.df.select("term", salts.alias("_n")), "term").withColumn(
         "_salt", F.pmod(F.xxhash64("chunk_id"), F.col("_n")).cast("int")
     )
     denom = F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len"))
     part = F.col("idf") * (F.col("tf") * (k1 + 1)) / denom
     return (
-        spread.join(weighted, ["term", "_salt"])
+        spread_out.join(weighted, ["term", "_salt"])
         .groupBy("qid", "chunk_id")
         .agg(F.sum(part).alias("score"))
         .where(F.col("score") > 0)
@@ -130,11 +146,7 @@ def bm25_topk(
 ) -> DataFrame:
     """{qid, chunk_id, score, rank} of a batch of questions over raw chunks."""
     terms = terms if terms is not None else question_terms(questions, tokenizer)
-    postings = term_frequencies(chunks, terms, text, tokenizer)
-    stats = chunks.agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.size(tokenizer(F.col(text)))).alias("avg_len")
-    )
-    return ranked(bm25_scores(terms, postings, stats, k1, b), k)
+    return ranked(bm25_scores(terms, term_hits(chunks, terms, text, tokenizer), k1, b), k)
 
 
 def bm25_from_index(
@@ -147,8 +159,8 @@ def bm25_from_index(
 ) -> DataFrame:
     """The same ranking from stored postings."""
     terms = terms if terms is not None else question_terms(questions)
-    hit = postings.join(terms.select("term").distinct(), "term", "left_semi").join(chunk_stats, "chunk_id")
-    return ranked(bm25_scores(terms, hit, corpus_stats), k)
+    asked = postings.join(terms.select("term").distinct(), "term", "left_semi").join(chunk_stats, "chunk_id")
+    return ranked(bm25_scores(terms, TermHits(asked, document_frequency(asked), corpus_stats)), k)
 
 
 # ------------------------------------------------------------------------- the gate

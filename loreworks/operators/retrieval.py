@@ -17,6 +17,7 @@ from loreworks.functions import text as tx
 from loreworks.operators import lexical
 from loreworks.operators.knn import knn_topk
 from loreworks.operators.scale import contains_join, first_rows
+from loreworks.session import save_point
 
 # Candidates, result size, fusion and boost weights.
 CANDIDATES, TOP_K, RRF_K, MAX_PER_FILE = 30, 8, 60, 3
@@ -32,15 +33,16 @@ class Index:
     """The tables a search reads.
 
     chunks {chunk_id, doc_id, anchor, text, collection, project}, vectors {id, vec, collection,
-    project}, documents {doc_id, rel_path, abs_path, provenance, indexed_at}, df {term, df} and
-    the one-row script census.
+    project}, documents {doc_id, rel_path, abs_path, provenance, indexed_at}, the one-row script
+    census and, for the batch of questions at hand, the term hits of the whole corpus.
     """
 
     chunks: DataFrame
     vectors: DataFrame
     documents: DataFrame
-    df: DataFrame
-    census: DataFrame
+    census: DataFrame | None
+    hits: lexical.TermHits | None
+    scope: bool = False
 
 
 def scoped(index: Index, collection: str | None = None, project: str | None = None) -> Index:
@@ -50,20 +52,27 @@ def scoped(index: Index, collection: str | None = None, project: str | None = No
         keep = keep & (F.col("collection") == collection)
     if project is not None:
         keep = keep & (F.col("project") == project)
-    return replace(index, chunks=index.chunks.where(keep), vectors=index.vectors.where(keep))
+    return replace(index, chunks=index.chunks.where(keep), vectors=index.vectors.where(keep), scope=True)
 
 
 def rrf(lists: list[tuple[DataFrame, float]], k: int = RRF_K, digits: int = 12) -> DataFrame:
-    """{qid, id, score}: sum of weight / (k + rank); lists of weight 0 are skipped."""
+    """{qid, id, score, first_seen}: sum of weight / (k + rank); lists of weight 0 are skipped.
+
+    ``first_seen`` orders ties: the first list that holds the hit, then its rank there.
+    """
     parts = [
-        ranked.select("qid", "id", (F.lit(float(w)) / (F.lit(k) + F.col("rank"))).alias("_s"))
-        for ranked, w in lists
+        ranked.select(
+            "qid", "id",
+            (F.lit(float(w)) / (F.lit(k) + F.col("rank"))).alias("_s"),
+            (F.lit(i * 1_000_000) + F.col("rank")).cast("long").alias("_p"),
+        )
+        for i, (ranked, w) in enumerate(lists)
         if w != 0
     ]
     return (
         reduce(DataFrame.unionByName, parts)
         .groupBy("qid", "id")
-        .agg(F.round(F.sum("_s"), digits).alias("score"))
+        .agg(F.round(F.sum("_s"), digits).alias("score"), F.min("_p").alias("first_seen"))
     )
 
 
@@ -127,9 +136,12 @@ def dense_list(questions: DataFrame, vectors: DataFrame, embed_fn: Callable, k:
 def fusion_arms(
     dense: DataFrame, lexical_list: DataFrame, gate: DataFrame, probes: dict[str, DataFrame] | None = None, k: int = CANDIDATES * 2
 ) -> DataFrame:
-    """{arm, qid, id, rank} for every fusion under comparison."""
-    plain = lexical_list
-    gated = admit(lexical_list, gate)
+    """{arm, qid, id, rank} for every fusion under comparison.
+
+    The candidate lists feed six arms, so they are saved once (``CANDIDATES`` rows a question).
+    """
+    dense, plain = save_point(dense), save_point(lexical_list)
+    gated = save_point(admit(plain, gate))
     arms = {
         "dense": dense,
         "lexical": plain,
@@ -187,21 +199,6 @@ def diversify(hits: DataFrame, per_file: int = MAX_PER_FILE, limit: int = TOP_K)
     return first_rows(per, ["qid"], tie, limit, "rank")
 
 
-def first_seen(lists: list[DataFrame], k: int = CANDIDATES) -> DataFrame:
-    """{qid, id, first_seen}: position in the first list that holds the hit (the tie order)."""
-    return (
-        reduce(
-            DataFrame.unionByName,
-            [
-                ranked.select("qid", "id", (F.lit(i * (k + 1)) + F.col("rank")).cast("long").alias("_p"))
-                for i, ranked in enumerate(lists)
-            ],
-        )
-        .groupBy("qid", "id")
-        .agg(F.min("_p").alias("first_seen"))
-    )
-
-
 def fuse_and_select(
     dense: DataFrame,
     lexical_list: DataFrame,
@@ -215,9 +212,16 @@ def fuse_and_select(
 ) -> DataFrame:
     """From candidate lists to final hits."""
     lists = [(dense, 1.0)] + ([(translated, 1.0)] if translated is not None else []) + [(lexical_list, lexical_weight)]
-    cols = [ranked.select("qid", "id", "rank") for ranked, _ in lists]
-    fused = rrf(lists).join(first_seen(cols), ["qid", "id"])
-    return diversify(boost(hydrate(fused, index.chunks, index.documents), questions, now), limit=limit)
+    hits = hydrate(rrf(lists), index.chunks, index.documents)
+    return diversify(boost(hits, questions, now), limit=limit)
+
+
+def lexical_list(terms: DataFrame, index: Index, k: int = CANDIDATES) -> DataFrame:
+    """BM25 list of the given terms; weights are corpus-wide, a scope only filters the hits."""
+    scores = lexical.bm25_scores(terms, index.hits)
+    if index.scope:
+        scores = scores.join(index.chunks.select("chunk_id"), "chunk_id", "left_semi")
+    return lexical.ranked(scores, k).withColumnRenamed("chunk_id", "id")
 
 
 def retrieve(
@@ -228,15 +232,13 @@ def retrieve(
     *,
     limit: int = TOP_K,
     lexical_weight: float = LEXICAL_WEIGHT,
-    tokenizer=tx.lex_tokens,
 ) -> DataFrame:
     """Hits {qid, rank, score, …} for {qid, text[, project][, translation]}."""
     dense = dense_list(questions, index.vectors, embed_fn)
-    gated = lexical.gate_terms(questions, index.df, index.census)
-    words = lexical.bm25_topk(questions, index.chunks, CANDIDATES, terms=gated, tokenizer=tokenizer)
-    words = words.withColumnRenamed("chunk_id", "id")
+    gated = lexical.gate_terms(questions, index.hits.df, index.census)
+    words = save_point(lexical_list(gated, index))
     translated = (
-        second_probe(questions, index.vectors, embed_fn) if "translation" in questions.columns else None
+        save_point(second_probe(questions, index.vectors, embed_fn)) if "translation" in questions.columns else None
     )
     hits = fuse_and_select(
         dense, words, questions, index, now, translated=translated, lexical_weight=lexical_weight, limit=limit
@@ -252,7 +254,7 @@ def citations(hits: DataFrame) -> DataFrame:
     return hits.select(
         "qid", "rank", F.col("id").alias("chunk_id"), "collection", "project",
         F.col("rel_path").alias("path"), "abs_path", "anchor",
-        F.bround(F.col("score"), 4).alias("score"), "provenance", "indexed_at",
+        F.round(F.col("score"), 4).alias("score"), "provenance", "indexed_at",
         tx.snippet(F.col("text")).alias("text"),
     )
 

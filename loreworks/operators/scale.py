@@ -189,3 +189,13 @@ def attach_row(df: DataFrame, one: DataFrame) -> DataFrame:
     to every task safe.
     """
     return df.join(F.broadcast(one))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores when a scan has fewer splits than there are cores.
+
+    Text work is CPU-bound, and a single-split file would keep it on one core.  A table with
+    enough splits, as any large one has, is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

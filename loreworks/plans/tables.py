@@ -11,11 +11,16 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loreworks.operators.scale import spread
+
 RAW = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
 
+# tables whose text is tokenized or parsed: worth dealing over all cores
+TEXT_HEAVY = ("documents", "pages")
+
 DEFS: dict[str, str | tuple[str, str]] = {}
 
 # ------------------------------------------------------------------ corpus and retrieval
@@ -147,6 +152,38 @@ DEFS["page_text"] = (
     "SELECT doc_id, replace(text, chr(10), chr(12)) AS text FROM {docs}",
 )
 
+# documents as single-chunk search hits; a "file" is a whole source, so that files have many hits
+DEFS["hit_docs"] = """
+SELECT doc_id, doc_id AS chunk_id, collection, project, project || '.md' AS rel_path, '/abs/' || project AS abs_path,
+  CASE WHEN doc_id % 9 = 0 THEN '' ELSE collection END AS anchor, text,
+  CASE WHEN doc_id % 31 = 0 THEN 'n/a' ELSE indexed_at END AS indexed_at,
+  CASE WHEN doc_id % 6 = 0 THEN 'local_foreign' ELSE 'local_owned' END AS provenance FROM {docs}
+"""
+
+# words and their beginnings in another script
+DEFS["foreign_words"] = (
+    """
+SELECT DISTINCT item_id AS qid, translate(w, 'abcdefghijklmnopqrstuvwxyz', 'абцдефгхижклмнопярстуввхыз') AS word
+FROM {benchmark} LATERAL VIEW explode(regexp_extract_all(lower(text), '[a-z]+', 0)) x AS w
+""",
+    """
+SELECT DISTINCT item_id AS qid, translate(w, 'abcdefghijklmnopqrstuvwxyz', 'абцдефгхижклмнопярстуввхыз') AS word
+FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM {benchmark}) x
+""",
+)
+
+DEFS["excerpts"] = """
+SELECT l_orderkey AS request, l_partkey * 10 + l_linenumber AS id, CAST(l_quantity AS BIGINT) % 5 AS priority,
+  l_suppkey AS position, CAST(l_quantity AS BIGINT) AS tokens, CAST(l_orderkey % 100 AS BIGINT) AS base_tokens
+FROM {lineitem}
+"""
+
+DEFS["search_queries"] = """
+SELECT n_nationkey AS qid, CASE n_nationkey % 5 WHEN 0 THEN 'Ship order 1' WHEN 1 THEN 'FAILED' WHEN 2 THEN 'cit%'
+  WHEN 3 THEN 'customer#00000' || CAST(n_nationkey AS STRING) ELSE 'error_' END AS q FROM {nation}
+UNION ALL SELECT 100 + r_regionkey, CASE r_regionkey % 3 WHEN 0 THEN 'machinery' WHEN 1 THEN 'click ' ELSE 'x' END FROM {region}
+"""
+
 # --------------------------------------------------------------------------- event log
 
 DEFS["log"] = """
@@ -333,7 +370,8 @@ class Tables:
     def __call__(self, name: str) -> DataFrame:
         if name not in self._made:
             if name in RAW:
-                self._made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                self._made[name] = spread(table) if name in TEXT_HEAVY else table
             else:
                 text = re.sub(r"SHA256\((\w+)\)", r"sha2(\1, 256)", _pick(name, True))
                 refs = {r: self(r) for r in dict.fromkeys(_REF.findall(text))}
