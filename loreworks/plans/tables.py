@@ -184,6 +184,40 @@ SELECT n_nationkey AS qid, CASE n_nationkey % 5 WHEN 0 THEN 'Ship order 1' WHEN
 UNION ALL SELECT 100 + r_regionkey, CASE r_regionkey % 3 WHEN 0 THEN 'machinery' WHEN 1 THEN 'click ' ELSE 'x' END FROM {region}
 """
 
+# ------------------------------------------------------------------------- evaluation
+
+DEFS["cases"] = """
+SELECT item_id AS qid, CASE item_id % 3 WHEN 0 THEN 'semantic' WHEN 1 THEN 'lexical' ELSE 'crosslang' END AS kind,
+  'src' || CAST(item_id % 20 AS STRING) || '/d' AS expected FROM {benchmark}
+UNION ALL SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'semantic' WHEN 1 THEN 'lexical' ELSE 'crosslang' END,
+  CASE WHEN item_id % 5 = 0 THEN 'src1/vendor' ELSE 'src' || CAST(item_id AS STRING) || '0/x' END FROM {benchmark} WHERE item_id % 2 = 0
+"""
+
+DEFS["unreachable_cases"] = """
+SELECT qid, kind, CASE WHEN qid % 3 = 0 THEN 'nowhere/' || CAST(qid AS STRING) ELSE expected END AS expected FROM {cases}
+"""
+
+DEFS["label_results"] = """
+SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN NULL ELSE 'q' || CAST(quality AS STRING) END AS expected_intent,
+  'q' || CAST(toxic AS STRING) AS got_intent,
+  CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 'p' || CAST(quality AS STRING) END AS expected_project,
+  CASE WHEN doc_id % 6 = 0 THEN NULL ELSE 'p' || CAST(toxic AS STRING) END AS got_project,
+  doc_id % 3 = 0 AS wants_clarify, doc_id % 2 = 0 AS clarified, doc_id % 7 = 0 AS prerouted FROM {labels}
+"""
+
+DEFS["structured_calls"] = """
+SELECT o_orderpriority AS schema, 1 + o_orderkey % 2 AS attempts, o_orderkey % 2 AS repairs,
+  CASE WHEN o_orderkey % 23 = 0 THEN 1 ELSE 0 END AS failures FROM {orders}
+"""
+
+DEFS["baseline_tests"] = """
+SELECT CAST(p_size AS BIGINT) AS root, p_partkey AS test, p_partkey % 3 = 0 AS failed FROM {part} WHERE p_size % 5 <> 0
+"""
+DEFS["observed_tests"] = """
+SELECT CAST(p_size AS BIGINT) AS root, p_partkey AS test, p_partkey % 4 = 0 OR p_partkey % 3 = 0 AND p_size < 25 AS failed
+FROM {part} WHERE p_partkey % 9 <> 5
+"""
+
 # --------------------------------------------------------------------------- event log
 
 DEFS["log"] = """
