@@ -268,6 +268,12 @@ SELECT 'c' || CAST(conv_id AS STRING) AS session_id, conv_id * 1000 + turn AS se
   text FROM {conversations}
 """
 
+DEFS["probes"] = """
+SELECT event_type AS component, count(*) % 2 = 0 AS ok, count(*) % 3 = 0 AS unknown,
+  'checked ' || CAST(count(*) AS STRING) AS detail FROM {events} GROUP BY event_type
+UNION ALL SELECT r_name, r_regionkey % 2 = 0, false, 'region ' || CAST(r_regionkey AS STRING) FROM {region}
+"""
+
 # ---------------------------------------------------------------- projects and task graphs
 
 DEFS["projects"] = """
@@ -345,6 +351,49 @@ SELECT 'g' || CAST(s_suppkey AS STRING) AS agent,
 FROM {supplier}
 """
 
+DEFS["spec_tasks"] = (
+    "SELECT * EXCEPT (project), get_json_object(spec, '$.project') AS project FROM {tasks}",
+    "SELECT * EXCLUDE (project), CASE WHEN json_valid(spec) THEN json_extract_string(spec, '$.project') END AS project FROM {tasks}",
+)
+
+DEFS["task_events"] = """
+SELECT l_orderkey AS task_id, (l_orderkey * 7 + l_linenumber) % 200 AS seq FROM {lineitem}
+"""
+
+DEFS["project_names"] = """
+SELECT 'Customer#' || lpad(CAST(o_custkey * 2 AS STRING), 9, '0') AS name FROM {orders}
+UNION ALL SELECT s_name FROM {supplier}
+"""
+
+DEFS["acks"] = "SELECT o_custkey AS project_id, o_orderkey % 150 AS through FROM {orders} WHERE o_orderstatus = 'F'"
+
+DEFS["project_notes"] = """
+SELECT c_name AS project, 0 AS position, 'TODO.md' AS path, 'finish ' || c_mktsegment || repeat(' and more', CAST(c_custkey % 200 AS INT)) AS text
+FROM {customer} WHERE c_nationkey < 12
+UNION ALL SELECT c_name, 1, 'docs/ROADMAP.md', '  ' FROM {customer}
+"""
+
+DEFS["delegations"] = """
+SELECT o_orderkey AS task_id, 'adapter' || CAST(o_custkey % 3 AS STRING) AS adapter, o_orderpriority AS task,
+  'running' AS state, CASE WHEN o_orderkey % 2 = 0 THEN 'done' END AS outcome FROM {orders} WHERE o_orderpriority = '2-HIGH'
+"""
+
+DEFS["approvals"] = """
+SELECT event_id AS approval_id, event_type AS tool, 'T' || CAST(user_id % 3 AS STRING) AS tier FROM {events} WHERE event_type = 'signup'
+"""
+
+DEFS["requests"] = """
+SELECT conv_id * 1000 + turn AS id, CASE CAST((conv_id + turn) % 11 AS INT)
+  WHEN 0 THEN '/status now' WHEN 1 THEN '  STOP!! ' WHEN 2 THEN 'Please ask our Claude to fix it' WHEN 3 THEN '/Halt'
+  WHEN 4 THEN 'run the region_' || CAST(turn AS STRING) || ' pipeline on NATION_' || CAST(conv_id % 25 AS STRING)
+  WHEN 5 THEN '/staus quo' WHEN 6 THEN 'compare nation_3 with Nation_4' WHEN 7 THEN 'Nightly Asia report' WHEN 8 THEN ''
+  ELSE text END AS text FROM {conversations}
+"""
+
+DEFS["pipelines"] = """
+SELECT r_name AS name FROM {region} UNION ALL SELECT 'nightly ' || r_name FROM {region} UNION ALL SELECT 'region_' || CAST(n_nationkey AS STRING) FROM {nation}
+"""
+
 # ------------------------------------------------------------------- memory and policy
 
 DEFS["fact_writes"] = """
