@@ -218,6 +218,15 @@ SELECT CAST(p_size AS BIGINT) AS root, p_partkey AS test, p_partkey % 4 = 0 OR p
 FROM {part} WHERE p_partkey % 9 <> 5
 """
 
+# node positions, and a later layout of the same nodes in which some have moved
+DEFS["layout_a"] = (
+    "SELECT vec_id AS id, round(CAST(embedding[0] AS DOUBLE), 4) AS x, round(CAST(embedding[1] AS DOUBLE), 4) AS y FROM {embeddings}",
+    "SELECT vec_id AS id, round(CAST(embedding[1] AS DOUBLE), 4) AS x, round(CAST(embedding[2] AS DOUBLE), 4) AS y FROM {embeddings}",
+)
+DEFS["layout_b"] = """
+SELECT id, CASE WHEN id % 4 = 0 THEN x + 0.0125 * (id % 7) ELSE x END AS x, CASE WHEN id % 4 = 0 THEN y - 0.0125 * (id % 5) ELSE y END AS y FROM {layout_a}
+"""
+
 # --------------------------------------------------------------------------- event log
 
 DEFS["log"] = """
@@ -394,6 +403,22 @@ DEFS["pipelines"] = """
 SELECT r_name AS name FROM {region} UNION ALL SELECT 'nightly ' || r_name FROM {region} UNION ALL SELECT 'region_' || CAST(n_nationkey AS STRING) FROM {nation}
 """
 
+DEFS["planned"] = """
+SELECT o_custkey AS graph, o_orderkey - o_orderkey % 2 * CASE WHEN o_orderkey % 211 = 1 THEN 1 ELSE 0 END AS task,
+  CASE WHEN o_orderkey % 307 = 0 THEN -1 ELSE o_custkey END AS root,
+  CASE o_orderkey % 6 WHEN 0 THEN 'coder' WHEN 1 THEN 'reviewer' WHEN 2 THEN 'verifier' WHEN 3 THEN 'researcher' WHEN 4 THEN 'poet' ELSE 'cook' END AS role,
+  CASE o_orderkey % 3 WHEN 0 THEN 'diff' WHEN 1 THEN 'verdict' ELSE 'report' END AS outcome,
+  CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 'Customer#' || lpad(CAST(o_custkey + o_orderkey % 2 AS STRING), 9, '0') END AS project,
+  CASE WHEN o_orderkey % 5 < 2 THEN 'g' || CAST(o_orderkey % 120 AS STRING) END AS hint,
+  CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE 'g' || CAST(o_orderkey % 110 AS STRING) END AS chosen,
+  o_orderpriority AS kind, o_orderkey % 2 AS acceptance FROM {orders}
+"""
+
+DEFS["role_table"] = """
+SELECT DISTINCT CASE n_nationkey % 5 WHEN 0 THEN 'coder' WHEN 1 THEN 'reviewer' WHEN 2 THEN 'verifier' WHEN 3 THEN 'researcher' ELSE 'cook' END AS role,
+  n_nationkey % 5 = 2 AS deterministic, CASE n_nationkey % 5 WHEN 0 THEN 'diff' ELSE 'text' END AS outcome FROM {nation}
+"""
+
 # ------------------------------------------------------------------- memory and policy
 
 DEFS["fact_writes"] = """
