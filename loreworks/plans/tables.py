@@ -430,7 +430,7 @@ SELECT event_id AS seq, 'f' || CAST(event_id AS STRING) AS fact_id, event_type A
   CASE event_id % 4 WHEN 0 THEN 'inferred' WHEN 1 THEN 'observed' WHEN 2 THEN 'user_stated' ELSE 'user_corrected' END AS source,
   event_id % 13 = 0 AS tainted, event_id % 17 = 0 AS plan_active,
   1 + event_id % 3 AS observations, event_id % 5 = 0 AS user_approved,
-  (event_id % 10 + 1) / 10.0 AS confidence,
+  CAST((event_id % 10 + 1) / 10.0 AS DOUBLE) AS confidence,
   '2024-' || lpad(CAST(1 + event_id % 12 AS STRING), 2, '0') || '-01T00:00:00Z' AS at
 FROM {events}
 """
@@ -446,6 +446,43 @@ SELECT DISTINCT s_suppkey AS goal_id, p.p_name || ' the ' || p.p_type || ' ' ||
 FROM {supplier} s JOIN {part} p ON p.p_partkey = s.s_suppkey * 7
 """
 
+DEFS["policy_rules"] = """
+SELECT DISTINCT event_type AS tool, length(event_type) % 3 AS tier, event_type <> 'error' AS has_scopes FROM {events} WHERE event_type <> 'view'
+"""
+
+DEFS["policy_rule_scopes"] = """
+SELECT tool, 'projects' AS scope FROM {policy_rules} WHERE has_scopes UNION ALL SELECT tool, 'notes' FROM {policy_rules} WHERE has_scopes
+UNION ALL SELECT tool, 'scratch' FROM {policy_rules} WHERE tool = 'click'
+"""
+
+DEFS["policy_scope_tiers"] = """
+SELECT tool, 'notes' AS scope, 2 AS tier FROM {policy_rules} UNION ALL SELECT tool, 'projects', 1 FROM {policy_rules} WHERE tier < 2
+UNION ALL SELECT tool, 'scratch', 3 FROM {policy_rules}
+"""
+
+DEFS["lent_calls"] = """
+SELECT event_id AS id, user_id % 10 AS grant_id, event_type AS tool, event_id % 4 AS tier,
+  CASE event_id % 6 WHEN 0 THEN '/work/g' || CAST(user_id % 10 AS STRING) || '/src/a.py' WHEN 1 THEN '/work/g' || CAST(user_id % 10 AS STRING)
+    WHEN 2 THEN '/work/g' || CAST(user_id % 10 AS STRING) || 'x/a.py' WHEN 3 THEN '/work/g' || CAST(user_id % 10 AS STRING) || '/../g9/b'
+    WHEN 4 THEN NULL ELSE '/work/g' || CAST(user_id % 10 AS STRING) || '/./a//b' END AS path FROM {events}
+"""
+
+DEFS["grants"] = """
+SELECT n_nationkey AS grant_id, '/work/g' || CAST(n_nationkey AS STRING) AS root,
+  CASE n_nationkey % 2 WHEN 0 THEN 'click,view,error' ELSE 'purchase,view,signup' END AS tools FROM {nation}
+"""
+
+DEFS["entropy_texts"] = """
+SELECT doc_id, 'id ' || SHA256(text) || ' then ' || SHA256(rel_path) || 'GHIJKLMNOPQRSTUV_wxyz-' || lang_tag || ' end' AS text
+FROM (SELECT doc_id, text, rel_path, upper(collection) AS lang_tag FROM {docs}) d
+"""
+
+DEFS["context_items"] = """
+SELECT conv_id AS request, CASE conv_id % 3 WHEN 0 THEN 'answer' WHEN 1 THEN 'reason' ELSE 'route' END AS call_type,
+  turn AS item_no, CASE WHEN turn = 0 THEN 3 ELSE 4 + turn % 4 END AS band, text, turn % 5 <> 3 AS truncatable,
+  CASE turn % 6 WHEN 1 THEN 'local_foreign' WHEN 2 THEN 'user' ELSE 'system' END AS provenance, role AS source FROM {conversations}
+"""
+
 DEFS["policy_requests"] = """
 SELECT event_id AS id, event_type AS tool, user_id % 5 AS declared_tier,
   CASE WHEN event_id % 6 = 0 THEN user_id % 4 END AS floor_tier,
