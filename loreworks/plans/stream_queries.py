@@ -1 +1,199 @@
-"""Registered queries."""
+"""Registered queries: the streaming operators, run to the end of the given events."""
+
+import os
+import uuid
+
+from pyspark.sql import functions as F
+
+from loreworks.operators import corpus
+from loreworks.plans.event_queries import js
+from loreworks.plans.registry import query
+from loreworks.session import shared_dir
+from loreworks.sources.files import Rules
+from loreworks.sources.tables import read_index, write_index
+from loreworks.streaming import changes as ch
+from loreworks.streaming import state as st
+
+CHANGE_RULES = Rules(deny=("**/private/**", "private/*"), exclude=("**/node_modules/**", "node_modules/*"))
+DELAY = "10 minutes"
+
+
+def _work(t, name: str) -> str:
+    return os.path.join(shared_dir(t.spark), "streams", f"{name}-{uuid.uuid4().hex}")
+
+
+def _stream(t, table: str, like: str):
+    """The rows of a derived table as a stream: saved as files, then read back file by file."""
+    path = _work(t, like)
+    t(table).withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(path)
+    schema = t.spark.read.parquet(path).schema
+    return t.spark.readStream.schema(schema).parquet(path)
+
+
+def _run(t, stream, name: str):
+    """Run an append-mode stream until its input is used up; its output as a table."""
+    out = _work(t, name)
+    q = (
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-state")
+        .outputMode("append").trigger(availableNow=True).start()
+    )
+    q.awaitTermination()
+    return t.spark.read.schema(stream.schema).parquet(out)
+
+
+ADMITTED = "rel_path NOT LIKE 'private/%' AND rel_path NOT LIKE 'node_modules/%' AND regexp_matches(rel_path, '\\.(py|md)$')"
+
+
+@query(
+    "w01_quiet_batches", "change_events",
+    """
+WITH e AS (SELECT collection, ts, rel_path, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY collection ORDER BY ts) >= 600000000 AS cut FROM change_events),
+g AS (SELECT *, sum(CASE WHEN coalesce(cut, true) THEN 1 ELSE 0 END) OVER (PARTITION BY collection ORDER BY ts) AS grp FROM e),
+s AS (SELECT collection, grp, min(ts) AS b, max(ts) AS e, count(DISTINCT rel_path) AS paths FROM g GROUP BY 1, 2)
+SELECT collection, epoch_us(b) AS start_us, paths FROM s WHERE epoch_us(e) + 600000000 <= (SELECT epoch_ms(max(ts)) * 1000 FROM change_events) - 600000000""",
+)
+def _(t):
+    out = _run(t, ch.quiet_batches(_stream(t, "change_events", "changes"), "10 minutes", delay=DELAY), "quiet")
+    return out.select("collection", F.unix_micros("start").alias("start_us"), F.size("paths").cast("long").alias("paths"))
+
+
+@query("w02_admit_changes", "change_events", f"SELECT event_id, rel_path FROM change_events WHERE {ADMITTED}")
+def _(t):
+    changed = _stream(t, "change_events", "changes").withColumn("path", F.concat(F.lit("/corpus/"), "rel_path"))
+    return _run(t, ch.admit_changes(changed, CHANGE_RULES).select("event_id", "rel_path"), "admitted")
+
+
+@query(
+    "w03_reindex_stream", "docs",
+    """
+SELECT CASE WHEN doc_id % 13 = 5 THEN 'removed' WHEN doc_id % 4 = 0 THEN 'unchanged' WHEN doc_id % 4 = 1 THEN 'changed' ELSE 'new' END AS action, count(*) AS n FROM docs GROUP BY 1""",
+)
+def _(t):
+    root = _work(t, "index")
+    docs = t("docs").select("doc_id", "collection", "project", "rel_path", "kind", "text")
+    old = docs.where("doc_id % 4 < 2").withColumn("content_hash", F.when(F.col("doc_id") % 4 == 0, F.sha2("text", 256)).otherwise("old"))
+    write_index(old.select("doc_id", "content_hash"), f"{root}/hashes")
+    seed = t("docs").limit(0)
+    write_index(
+        seed.select("doc_id", F.lit("").alias("chunk_id"), F.lit(0).cast("long").alias("ordinal"), F.lit("").alias("anchor"), "text", F.lit("").alias("text_hash"))
+        .unionByName(t("docs").where("doc_id % 4 < 2").select("doc_id", F.concat(F.lit("o"), F.col("doc_id").cast("string")).alias("chunk_id"), F.lit(0).cast("long").alias("ordinal"), F.lit("a").alias("anchor"), "text", F.sha2("text", 256).alias("text_hash"))),
+        f"{root}/chunks",
+    )
+    write_index(
+        t("docs").where("doc_id % 4 < 2").select("doc_id", F.concat(F.lit("o"), F.col("doc_id").cast("string")).alias("chunk_id"), F.array(F.lit(1.0).cast("float")).alias("vec")),
+        f"{root}/vectors",
+    )
+    feed = _work(t, "feed")
+    docs.withColumn("deleted", F.col("doc_id") % 13 == 5).withColumn("ts", F.timestamp_seconds("doc_id")).write.parquet(feed)
+    stream = t.spark.readStream.schema(t.spark.read.parquet(feed).schema).parquet(feed)
+    ch.reindex_stream(stream, root, root + "-state", corpus.hashing_embedder(8)).awaitTermination()
+    assert not read_index(t.spark, f"{root}/hashes").where("doc_id % 13 = 5").limit(1).collect()
+    return t.spark.read.parquet(f"{root}/log").groupBy("action").agg(F.sum("n").alias("n"))
+
+
+def _approvals(t):
+    ev = _stream(t, "log", "approvals")
+    ids = F.get_json_object("payload", "$.approval_id").alias("approval_id")
+    asked = ev.where("type = 'approval.requested'").select(
+        ids, "ts", "seq", (F.coalesce(F.get_json_object("payload", "$.waits"), F.lit("false")) == "true").alias("waits")
+    ).where("approval_id IS NOT NULL")
+    ev2 = _stream(t, "log", "approvals")
+    answered = ev2.where("type = 'approval.resolved'").select(
+        ids, "ts", "seq", F.get_json_object("payload", "$.resolution").alias("resolution")
+    ).where("approval_id IS NOT NULL")
+    return asked, answered
+
+
+APPROVALS = f"""q AS (SELECT {js('approval_id')} AS approval_id, ts, seq, coalesce({js('waits')}, 'false') = 'true' AS waits FROM log WHERE type = 'approval.requested'),
+r AS (SELECT {js('approval_id')} AS approval_id, ts, seq, {js('resolution')} AS resolution FROM log WHERE type = 'approval.resolved')"""
+
+
+@query(
+    "w04_expire_approvals", "log",
+    f"""WITH {APPROVALS}, rr AS (SELECT * FROM r WHERE approval_id IS NOT NULL), qq AS (SELECT * FROM q WHERE NOT waits AND approval_id IS NOT NULL),
+wm AS (SELECT (least((SELECT epoch_ms(max(ts)) FROM qq), (SELECT epoch_ms(max(ts)) FROM rr)) - 600000) * 1000 AS at_us),
+m AS (SELECT qq.approval_id, qq.ts, rr.resolution FROM qq LEFT JOIN rr ON rr.approval_id = qq.approval_id AND rr.ts >= qq.ts AND rr.ts <= qq.ts + INTERVAL 180 SECOND)
+SELECT approval_id, coalesce(resolution, 'expired') AS outcome FROM m, wm WHERE resolution IS NOT NULL OR epoch_us(ts) + 180000000 < at_us""",
+)
+def _(t):
+    asked, answered = _approvals(t)
+    return _run(t, st.expire_approvals(asked, answered, delay=DELAY), "expiry").select("approval_id", "outcome")
+
+
+def _approval_tables(t):
+    ids = F.get_json_object("payload", "$.approval_id").alias("approval_id")
+    log = t("log").withColumn("ts", F.col("ts").cast("timestamp"))
+    asked = log.where("type = 'approval.requested'").select(
+        ids, "ts", "seq", (F.coalesce(F.get_json_object("payload", "$.waits"), F.lit("false")) == "true").alias("waits")
+    ).where("approval_id IS NOT NULL")
+    answered = log.where("type = 'approval.resolved'").select(
+        ids, "ts", "seq", F.get_json_object("payload", "$.resolution").alias("resolution")
+    ).where("approval_id IS NOT NULL")
+    return asked, answered
+
+
+@query(
+    "w04_expire_approvals_batch", "log",
+    f"""WITH {APPROVALS}, a AS (SELECT q.approval_id, arg_min(resolution, r.ts) AS res FROM q JOIN r ON r.approval_id = q.approval_id
+  AND r.ts >= q.ts AND r.ts <= q.ts + INTERVAL 180 SECOND GROUP BY 1)
+SELECT q.approval_id, coalesce(res, 'expired') AS outcome FROM q LEFT JOIN a USING (approval_id) WHERE NOT waits AND q.approval_id IS NOT NULL""",
+)
+def _(t):
+    return st.expire_approvals_batch(*_approval_tables(t)).select("approval_id", "outcome")
+
+
+@query(
+    "w04_dispatched", "log",
+    f"""WITH {APPROVALS}, a AS (SELECT q.approval_id, arg_min(resolution, r.ts) AS res FROM q JOIN r ON r.approval_id = q.approval_id AND r.ts >= q.ts GROUP BY 1)
+SELECT q.approval_id, coalesce(res, 'open') AS outcome FROM q LEFT JOIN a USING (approval_id) WHERE waits AND q.approval_id IS NOT NULL""",
+)
+def _(t):
+    return st.dispatched(*_approval_tables(t)).select("approval_id", "outcome")
+
+
+@query("w05_first_resolution", "log", f"WITH {APPROVALS} SELECT approval_id, min(seq) AS seq FROM r WHERE approval_id IS NOT NULL GROUP BY 1")
+def _(t):
+    return st.first_resolution(_approval_tables(t)[1]).select("approval_id", "seq")
+
+
+@query("w05_first_resolution_stream", "log", f"WITH {APPROVALS} SELECT DISTINCT approval_id FROM r WHERE approval_id IS NOT NULL")
+def _(t):
+    return _run(t, st.first_resolution(_approvals(t)[1], "30 days").select("approval_id"), "resolved")
+
+
+@query("w06_dedupe_stream", "log", "SELECT type, count(*) AS n FROM log GROUP BY 1")
+def _(t):
+    s = _stream(t, "log", "log")
+    twice = s.unionByName(_stream(t, "log", "log"))
+    out = _run(t, ch.dedupe_stream(twice.select("seq", "ts", "type"), delay="60 days"), "deduped")
+    return out.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "w07_live_tasks", "log",
+    f"""
+WITH e AS (SELECT * FROM (SELECT seq, task_id, type, {js('source')} AS source, {js('root_id')} AS root_id, {js('kind')} AS kind, {js('status')} AS status
+  FROM log WHERE type IN ('task.created', 'task.updated', 'task.finished') AND task_id IS NOT NULL) x WHERE source = 'graph' AND root_id IS NOT NULL),
+c AS (SELECT root_id, task_id, min(seq) AS created_seq, arg_min(kind, seq) AS kind FROM e WHERE type = 'task.created' GROUP BY 1, 2),
+l AS (SELECT e.root_id, e.task_id, arg_max(status, seq) FILTER (status IS NOT NULL AND seq > created_seq) AS status, max(seq) AS last_seq FROM e JOIN c
+  ON c.root_id = e.root_id AND c.task_id = e.task_id GROUP BY 1, 2)
+SELECT root_id, task_id, coalesce(kind, '') AS kind, coalesce(status, 'pending') AS status, created_seq, greatest(last_seq, created_seq) AS last_seq
+FROM c JOIN l USING (root_id, task_id)""",
+)
+def _(t):
+    out = _work(t, "tasks")
+    st.run_updates(st.live_tasks(_stream(t, "log", "log")), out, out + "-state").awaitTermination()
+    return st.settle_tasks(t.spark.read.parquet(out))
+
+
+@query(
+    "w08_event_rates", "log",
+    """
+WITH w AS (SELECT epoch_us(ts) - epoch_us(ts) % 3600000000 AS start_us, type, count(*) AS n FROM log GROUP BY 1, 2)
+SELECT * FROM w WHERE start_us + 3600000000 <= (SELECT epoch_ms(max(ts)) * 1000 FROM log) - 600000000""",
+)
+def _(t):
+    out = _run(t, ch.event_rates(_stream(t, "log", "log").select("ts", "type"), "1 hour", DELAY), "rates")
+    return out.select(F.unix_micros("start").alias("start_us"), "type", "n")
+
+

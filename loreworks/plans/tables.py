@@ -497,6 +497,50 @@ UNION ALL
 SELECT event_id, 1, CASE event_id % 4 WHEN 0 THEN 'outside' ELSE 'notes' END, event_id % 7 <> 0 FROM {events} WHERE event_id % 2 = 0
 """
 
+# ----------------------------------------------------------------------------- sources
+
+DEFS["files"] = """
+SELECT doc_id, collection, project, rel_path, '/corpus/' || rel_path AS path, size, doc_id % 41 <> 0 AS readable, text FROM {docs}
+UNION ALL SELECT doc_id + 1000000000, collection, project, project || '/node_modules/m' || CAST(doc_id AS STRING) || '/index.js', '/corpus/nm', size, true, text
+  FROM {docs} WHERE doc_id % 10 = 0
+UNION ALL SELECT doc_id + 2000000000, collection, project, project || '/bin/tool' || CAST(doc_id AS STRING), '/corpus/bin', size, true, text
+  FROM {docs} WHERE doc_id % 15 = 0
+"""
+
+DEFS["listing"] = "SELECT project, rel_path FROM {docs} WHERE doc_id % 4 <> 1 AND length(project) = 4"
+
+DEFS["transcript_lines"] = """
+SELECT 'run' || CAST(conv_id AS STRING) AS run, turn AS line_no,
+  CASE WHEN turn = 0 AND conv_id % 9 = 0 THEN '{{"type":"system","subtype":"init","session_id":"s' || CAST(conv_id AS STRING) || '","plugin_errors":["boom"]}}'
+    WHEN turn = 0 THEN '{{"type":"system","subtype":"init","session_id":"s' || CAST(conv_id AS STRING) || '","model":"m1"}}'
+    WHEN turn = 4 THEN '{{"type":"result","is_error":' || CASE WHEN conv_id % 5 = 0 THEN 'true' ELSE 'false' END ||
+       ',"result":"done","total_cost_usd":0.25,"duration_ms":' || CAST(1000 + conv_id AS STRING) || ',"num_turns":' || CAST(turn AS STRING) || '}}'
+    WHEN turn = 2 AND conv_id % 7 = 0 THEN '{{broken'
+    WHEN role = 'assistant' THEN '{{"type":"assistant","message":{{"content":[{{"type":"text","text":"said ' || CAST(length(text) AS STRING) ||
+       '"}},{{"type":"thinking","thinking":""}},{{"type":"tool_use","name":"fs.read"}}]}}' || CASE WHEN conv_id % 4 = 0 THEN ',"parent_tool_use_id":"p"' ELSE '' END || '}}'
+    ELSE '{{"type":"user","message":{{"content":"x"}}}}' END AS raw
+FROM {conversations}
+"""
+
+DEFS["run_exits"] = "SELECT DISTINCT 'run' || CAST(conv_id AS STRING) AS run, CASE WHEN conv_id % 8 = 0 THEN 1 ELSE 0 END AS exit_code FROM {conversations}"
+
+DEFS["commit_lines"] = """
+SELECT o_orderkey AS id, SHA256(day) || {SEP} || CAST(o_orderkey AS STRING) || {SEP} || 'author' || CAST(o_custkey AS STRING) || {SEP} || day ||
+  CASE WHEN o_orderkey % 10 = 3 THEN '' ELSE {SEP} || o_orderpriority END || CASE WHEN o_orderkey % 17 = 4 THEN {SEP} ELSE '' END AS raw
+FROM (SELECT *, CAST(CAST(o_orderdate AS DATE) AS STRING) AS day FROM {orders}) o
+""".replace("{SEP}", "chr(31)")
+
+DEFS["report_rows"] = """
+SELECT s_suppkey AS run, count(*) AS tests, count(*) FILTER (WHERE l_linenumber = 7) AS failures, count(*) FILTER (WHERE l_linenumber = 6) AS errors,
+  count(*) FILTER (WHERE l_linenumber = 5) AS skipped FROM {lineitem} l JOIN {supplier} s ON s.s_suppkey = l.l_suppkey GROUP BY s_suppkey
+"""
+
+DEFS["change_events"] = """
+SELECT event_id, ts, CASE user_id % 3 WHEN 0 THEN 'notes' WHEN 1 THEN 'projects' ELSE 'books' END AS collection,
+  CASE event_id % 5 WHEN 0 THEN 'src/a' || CAST(user_id AS STRING) || '.py' WHEN 1 THEN 'node_modules/x/b.js' WHEN 2 THEN 'notes/n' || CAST(user_id AS STRING) || '.md'
+    WHEN 3 THEN 'private/key.pem' ELSE 'bin/blob' || CAST(user_id AS STRING) END AS rel_path FROM {events}
+"""
+
 _REF = re.compile(r"(?<!\{)\{(\w+)\}(?!\})")
 
 
