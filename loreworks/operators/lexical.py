@@ -19,6 +19,7 @@ from loreworks.session import save_point
 K1, B = 1.2, 0.75
 MIN_DF_CEILING, MAX_DF_RATIO, MIN_COVERAGE = 5, 0.10, 0.40
 POSTINGS_PER_SALT = 200_000
+SMALL_TERMS = 500_000
 
 
 def searchable_text(chunks: DataFrame) -> DataFrame:
@@ -38,8 +39,10 @@ def build_postings(
     carries one row per distinct (term, chunk).  Lengths come from array sizes, unshuffled.
     """
     bags = chunks.select("chunk_id", tokenizer(F.col(text)).alias("_bag"))
+    # the outer form keeps the optimizer from adding a "not empty" test that tokenizes twice
     postings = (
-        bags.select("chunk_id", F.explode("_bag").alias("term"))
+        bags.select("chunk_id", F.explode_outer("_bag").alias("term"))
+        .where("term IS NOT NULL")
         .groupBy("term", "chunk_id")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -86,7 +89,8 @@ def term_hits(chunks: DataFrame, terms: DataFrame, text: str = "text", tokenizer
         )
         .join(wanted, "term", "left_semi")
         .groupBy("term", "chunk_id", "len")
-        .agg(F.count(F.lit(1)).alias("tf"))
+        .agg(F.count(F.lit(1)).alias("tf")),
+        dealt=True,
     )
     postings = kept.where(F.col("term") != "")
     stats = kept.where(F.col("term") == "").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
@@ -97,33 +101,34 @@ def document_frequency(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def bm25_scores(terms: DataFrame, hits: TermHits, k1: float = K1, b: float = B) -> DataFrame:
+def bm25_scores(
+    terms: DataFrame, hits: TermHits, k1: float = K1, b: float = B, small: int = SMALL_TERMS
+) -> DataFrame:
     """{qid, chunk_id, score > 0}.
 
-    A term in very many chunks is split: its postings are salted by chunk and the few question
-    rows are repeated per salt, so a stop word never lands in one task.  The number of salts
-    follows from the document frequency that idf needs anyway.
+    Question terms counted to be few go to every task, so the postings are not moved at all.
+    More than that are joined by term, and a term in very many chunks is split: its postings
+    are salted by chunk and the question rows repeated per salt, so a stop word never lands in
+    one task.  The number of salts follows from the document frequency that idf needs anyway.
     """
-    salts = F.ceil(F.col("df") / POSTINGS_PER_SALT).cast("int")
-    weighted = (
-        attach_row(terms.join(hits.df, "term"), hits.stats)
-        .select(
-            "qid", "term", "avg_len", salts.alias("_salts"),
+    weighted = save_point(
+        attach_row(terms.join(hits.df, "term"), hits.stats).select(
+            "qid", "term", "avg_len", "df",
             F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"),
         )
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
-    )
-    spread_out = hits.postings.join(hits.df.select("term", salts.alias("_n")), "term").withColumn(
-        "_salt", F.pmod(F.xxhash64("chunk_id"), F.col("_n")).cast("int")
     )
+    if weighted.limit(small + 1).count() <= small:
+        pairs = hits.postings.join(F.broadcast(weighted), "term")
+    else:
+        salts = F.ceil(F.col("df") / POSTINGS_PER_SALT).cast("int")
+        asked = weighted.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+        salted = hits.postings.join(hits.df.select("term", salts.alias("_n")), "term").withColumn(
+            "_salt", F.pmod(F.xxhash64("chunk_id"), F.col("_n")).cast("int")
+        )
+        pairs = salted.join(asked, ["term", "_salt"])
     denom = F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len"))
     part = F.col("idf") * (F.col("tf") * (k1 + 1)) / denom
-    return (
-        spread_out.join(weighted, ["term", "_salt"])
-        .groupBy("qid", "chunk_id")
-        .agg(F.sum(part).alias("score"))
-        .where(F.col("score") > 0)
-    )
+    return pairs.groupBy("qid", "chunk_id").agg(F.sum(part).alias("score")).where(F.col("score") > 0)
 
 
 def ranked(scores: DataFrame, k: int, digits: int = 6) -> DataFrame:

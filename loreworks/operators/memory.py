@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loreworks.functions import text as tx
 from loreworks.operators.projects import json_text
-from loreworks.operators.scale import attach_row, first_rows
+from loreworks.operators.scale import attach_row, first_rows, map_groups
 from loreworks.session import save_point
 
 # Authority of a source, staleness, matching.
@@ -56,73 +57,58 @@ def _chain(values: list, auths: list, start: int) -> int:
     return at
 
 
-def _summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("seq", kind="stable")
-    values, auths, ids = pdf["value"].tolist(), pdf["authority"].tolist(), pdf["fact_id"].tolist()
-    head = pdf.iloc[0]
-    rows = []
+def _summarise(rows: list[tuple]) -> list[tuple]:
+    """Rows (value, authority, fact) of one segment -> per level (v1, end 1, end 2)."""
+    values, auths, ids = zip(*rows, strict=True)
+    out = []
     for level in (1, 2, 3, 4):
         first = next((i for i, a in enumerate(auths) if a >= level), None)
         if first is None:
             continue
         other = next((i for i, a in enumerate(auths) if a >= level and values[i] != values[first]), None)
-        e1 = _chain(values, auths, first)
-        e2 = _chain(values, auths, other) if other is not None else None
-        rows.append(
-            (
-                head["key"], head["scope"], head["scope_ref"], head["_seg"], level, values[first],
-                values[e1], auths[e1], ids[e1],
-                None if e2 is None else values[e2], None if e2 is None else auths[e2], None if e2 is None else ids[e2],
-            )
-        )
-    return pd.DataFrame(rows, columns=[f.name for f in _summary_schema()], dtype=object)
+        ends = []
+        for start in (first, other):
+            e = None if start is None else _chain(values, auths, start)
+            ends += [None, None, None] if e is None else [values[e], auths[e], ids[e]]
+        out.append((level, values[first], *ends))
+    return out
 
 
-def _summary_schema() -> T.StructType:
-    s, n = T.StringType(), T.LongType()
-    names = [
-        ("key", s), ("scope", s), ("scope_ref", s), ("_seg", n), ("level", n), ("v1", s),
-        ("end_v1", s), ("end_a1", n), ("end_f1", s), ("end_v2", s), ("end_a2", n), ("end_f2", s),
-    ]
-    return T.StructType([T.StructField(a, b) for a, b in names])
-
-
-def _starts(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The fact held at the start of each segment of one key, from the segment summaries."""
+def _starts(rows: list[tuple]) -> list[tuple]:
+    """Rows (segment, level, v1, end 1, end 2) of one key -> the fact held as each segment starts."""
     out = []
     value, auth, fact = None, None, None
-    head = pdf.iloc[0]
-    for seg, part in pdf.sort_values(["_seg", "level"]).groupby("_seg", sort=True):
-        out.append((head["key"], head["scope"], head["scope_ref"], seg, value, auth, fact))
-        by_level = {int(r.level): r for r in part.itertuples()}
-        row = by_level.get(int(auth) if auth is not None else 1)
-        if row is None:
+    for seg, part in groupby(rows, key=lambda r: r[0]):
+        out.append((seg, value, auth, fact))
+        hit = {r[1]: r for r in part}.get(auth if auth is not None else 1)
+        if hit is None:
             continue
-        if auth is None or row.v1 != value:
-            value, auth, fact = row.end_v1, row.end_a1, row.end_f1
-        elif row.end_f2 is not None:
-            value, auth, fact = row.end_v2, row.end_a2, row.end_f2
-    return pd.DataFrame(out, columns=["key", "scope", "scope_ref", "_seg", "_v0", "_a0", "_f0"], dtype=object)
-
-
-def _replay(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("seq", kind="stable")
-    value, auth, fact = pdf["_v0"].iloc[0], pdf["_a0"].iloc[0], pdf["_f0"].iloc[0]
-    held, outcome = [], []
-    for v, a, f in zip(pdf["value"], pdf["authority"], pdf["fact_id"], strict=True):
-        if fact is None or pd.isna(fact):
-            what, target = "new", None
-            value, auth, fact = v, a, f
+        _, _, v1, *ends = hit
+        if auth is None or v1 != value:
+            value, auth, fact = ends[:3]
+        elif ends[5] is not None:
+            value, auth, fact = ends[3:]
+    return out
+
+
+def _replay(rows: list[tuple]) -> list[tuple]:
+    """Rows (seq, value, authority, fact, start) of one segment -> (seq, outcome, held)."""
+    value, auth, fact = rows[0][4:]
+    out = []
+    for seq, v, a, f, *_ in rows:
+        met = fact
+        if fact is None:
+            what = "new"
         elif v == value:
-            what, target = "confirmed", fact
+            what = "confirmed"
         elif a >= auth:
-            what, target = "superseded", fact
-            value, auth, fact = v, a, f
+            what = "superseded"
         else:
-            what, target = "contradicted", fact
-        outcome.append(what)
-        held.append(target)
-    return pd.DataFrame({"seq": pdf["seq"], "outcome": outcome, "held": pd.Series(held, dtype=object, index=pdf.index)})
+            what = "contradicted"
+        if what in ("new", "superseded"):
+            value, auth, fact = v, a, f
+        out.append((seq, what, met))
+    return out
 
 
 def judge_writes(writes: DataFrame, segment: int = 10_000) -> DataFrame:
@@ -131,22 +117,29 @@ def judge_writes(writes: DataFrame, segment: int = 10_000) -> DataFrame:
     auth = F.try_element_at(F.create_map(*[F.lit(x) for kv in AUTHORITY.items() for x in kv]), F.col("source"))
     w = writes.withColumn("authority", auth.cast("long")).withColumn("_seg", F.floor(F.col("seq") / segment))
     small = w.select(*SCOPE_KEY, "_seg", "seq", "value", "authority", "fact_id")
-    summary = small.groupBy(*SCOPE_KEY, "_seg").applyInPandas(_summarise, _summary_schema())
     s, n = T.StringType(), T.LongType()
-    start_schema = T.StructType(
-        [T.StructField(a, b) for a, b in [("key", s), ("scope", s), ("scope_ref", s), ("_seg", n), ("_v0", s), ("_a0", n), ("_f0", s)]]
+
+    def fields(*names: tuple) -> T.StructType:
+        return T.StructType([small.schema[k] for k in SCOPE_KEY] + [T.StructField(a, b) for a, b in names])
+
+    summary = map_groups(
+        small, [*SCOPE_KEY, "_seg"], ["seq"], _summarise, ["value", "authority", "fact_id"],
+        fields(("_seg", n), ("level", n), ("v1", s), ("e1", s), ("a1", n), ("f1", s), ("e2", s), ("a2", n), ("f2", s)),
     )
-    starts = summary.groupBy(*SCOPE_KEY).applyInPandas(_starts, start_schema)
-    k = starts.select(F.col("key").alias("_k"), F.col("scope").alias("_s"), F.col("scope_ref").alias("_r"), F.col("_seg").alias("_g"), "_v0", "_a0", "_f0")
-    same = (
-        (F.col("key") == F.col("_k")) & (F.col("scope") == F.col("_s"))
-        & F.col("scope_ref").eqNullSafe(F.col("_r")) & (F.col("_seg") == F.col("_g"))
+    starts = map_groups(
+        summary, SCOPE_KEY, ["_seg", "level"], _starts, ["_seg", "level", "v1", "e1", "a1", "f1", "e2", "a2", "f2"],
+        fields(("_seg", n), ("_v0", s), ("_a0", n), ("_f0", s)),
     )
-    ready = small.join(k, same).select(*SCOPE_KEY, "_seg", "seq", "value", "authority", "fact_id", "_v0", "_a0", "_f0")
-    verdicts = ready.groupBy(*SCOPE_KEY, "_seg").applyInPandas(
-        _replay, T.StructType([writes.schema["seq"], T.StructField("outcome", s), T.StructField("held", s)])
+    k = starts.select(*[F.col(c).alias(f"_{c}") for c in SCOPE_KEY], F.col("_seg").alias("_g"), "_v0", "_a0", "_f0")
+    same = F.col("_seg") == F.col("_g")
+    for c in SCOPE_KEY:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    verdicts = map_groups(
+        small.join(k, same), [*SCOPE_KEY, "_seg"], ["seq"], _replay,
+        ["seq", "value", "authority", "fact_id", "_v0", "_a0", "_f0"],
+        fields(("_seg", n), ("seq", n), ("outcome", s), ("held", s)),
     )
-    return w.drop("_seg", "authority").join(verdicts, "seq")
+    return w.drop("_seg", "authority").join(verdicts.select("seq", "outcome", "held"), "seq")
 
 
 def fold_facts(writes: DataFrame, segment: int = 10_000) -> tuple[DataFrame, DataFrame]:

@@ -8,10 +8,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loreworks.session import save_point
 
@@ -191,11 +193,41 @@ def attach_row(df: DataFrame, one: DataFrame) -> DataFrame:
     return df.join(F.broadcast(one))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt over all cores when a scan has fewer splits than there are cores.
 
-    Text work is CPU-bound, and a single-split file would keep it on one core.  A table with
-    enough splits, as any large one has, is returned as it is.
+def map_groups(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    fn: Callable[[list[tuple]], list[tuple]],
+    columns: Sequence[str],
+    schema: T.StructType,
+) -> DataFrame:
+    """``fn(rows of one key, in order) -> rows``, without the cost of one Python call per key.
+
+    Rows are partitioned by key and sorted inside their partition, and each partition is walked
+    batch by batch; only the rows of the key at hand are held.  Meant for keys whose groups are
+    bounded (a segment, a small graph).  ``columns`` names the values handed to ``fn``; its
+    results follow the key columns in ``schema``.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    n = len(keys)
+    names = [f.name for f in schema]
+
+    def walk(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        at = None
+        for pdf in it:
+            out: list[tuple] = []
+            cols = [pdf[c].astype(object).where(pdf[c].notna(), None).tolist() for c in (*keys, *columns)]
+            for row in zip(*cols, strict=True):
+                key = row[:n]
+                if key != at:
+                    if held:
+                        out.extend((*at, *r) for r in fn(held))
+                    at, held = key, []
+                held.append(row[n:])
+            yield pd.DataFrame(out, columns=names, dtype=object)
+        if held:
+            yield pd.DataFrame([(*at, *r) for r in fn(held)], columns=names, dtype=object)
+
+    sorted_ = df.select(*dict.fromkeys([*keys, *order, *columns])).repartition(*keys).sortWithinPartitions(*keys, *order)
+    return sorted_.mapInPandas(walk, schema)

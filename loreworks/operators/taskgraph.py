@@ -7,14 +7,13 @@ distributed rounds whose intermediate tables are saved, so no graph is ever too
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loreworks.functions.text import iso_seconds
 from loreworks.operators.projects import FAILED, TERMINAL, json_text
-from loreworks.operators.scale import first_rows
+from loreworks.operators.scale import first_rows, map_groups
 from loreworks.session import save_point
 
 # Graph size limit, replanning rules, default ceilings, ordering of states.
@@ -38,36 +37,14 @@ def _map(values: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
 
 
-BATCH_ROWS = 20_000
-
-
 def by_size(edges: DataFrame, limit: int = SMALL_GRAPH) -> tuple[DataFrame, DataFrame, bool]:
-    """(edges of small graphs with a ``_batch``, edges of large ones, whether any is large).
-
-    Small graphs are dealt into batches of about ``BATCH_ROWS`` edges, so that the cost of a
-    Python call is shared by many graphs.
-    """
+    """(edges of small graphs, edges of large ones, whether any is large)."""
     sizes = edges.groupBy("root_id").agg(F.count(F.lit(1)).alias("_n"))
-    totals = sizes.agg(F.sum("_n").alias("n"), F.max("_n").alias("m")).first()
-    batches = max(1, -(-(totals["n"] or 0) // BATCH_ROWS))
-    batched = edges.withColumn("_batch", F.pmod(F.xxhash64("root_id"), F.lit(batches)))
-    if (totals["m"] or 0) <= limit:
-        return batched, edges.limit(0), False
+    most = sizes.agg(F.max("_n")).first()[0] or 0
+    if most <= limit:
+        return edges, edges.limit(0), False
     large = save_point(sizes.where(F.col("_n") > limit).select("root_id"))
-    return batched.join(large, "root_id", "left_anti"), edges.join(large, "root_id", "left_semi"), True
-
-
-def _per_graph(edges: DataFrame, fn, columns: list[str], schema: T.StructType) -> DataFrame:
-    """Apply ``fn(list of (task, dep)) -> list of rows`` to each graph; the root is added."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        graphs: dict = {}
-        for root, task, dep in zip(pdf["root_id"].tolist(), pdf["task"].tolist(), pdf["dep"].tolist(), strict=True):
-            graphs.setdefault(root, []).append((task, dep))
-        rows = [(root, *row) for root, pairs in graphs.items() for row in fn(pairs)]
-        return pd.DataFrame(rows, columns=["root_id", *columns], dtype=object)
-
-    return edges.groupBy("_batch").applyInPandas(run, schema)
+    return edges.join(large, "root_id", "left_anti"), edges.join(large, "root_id", "left_semi"), True
 
 
 # --------------------------------------------------------------------------- validation
@@ -158,7 +135,7 @@ def find_cycles(edges: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
             done.update(trail)
         return [([*best, best[0]],)] if best else []
 
-    found = _per_graph(few, walk, ["path"], schema)
+    found = map_groups(few, ["root_id"], ["task", "dep"], walk, ["task", "dep"], schema)
     return found.unionByName(_large_cycles(many)) if any_large else found
 
 
@@ -309,7 +286,7 @@ def longest_path_rank(tasks: DataFrame, edges: DataFrame, small: int = SMALL_GRA
             waiting = held
         return list(level.items())
 
-    ranks = _per_graph(few, rank, ["id", "column"], schema)
+    ranks = map_groups(few, ["root_id"], ["task", "dep"], rank, ["task", "dep"], schema)
     if any_large:
         ranks = ranks.unionByName(_large_ranks(many))
     return tasks.select("root_id", "id").join(ranks, ["root_id", "id"], "left").select(

@@ -11,7 +11,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loreworks.operators.scale import spread
+from loreworks.session import spread
 
 RAW = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "

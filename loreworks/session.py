@@ -48,17 +48,28 @@ def shared_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
-def save_point(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores when a scan has fewer splits than there are cores.
+
+    For CPU-bound work on a table of few splits, which would keep it on few cores.  A table
+    with enough splits, as any large one has, is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def save_point(df: DataFrame, dealt: bool = False) -> DataFrame:
     """Materialise ``df`` as a table in the shared folder and read it back.
 
     Used where an iterative job must cut its lineage or a result is used several times.  A
     written table survives lost executors, and its real size lets the planner choose the
-    right join on the next round.
+    right join on the next round.  ``dealt`` spreads a small table for heavy work to come.
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), "loreworks", uuid.uuid4().hex)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    saved = spark.read.schema(df.schema).parquet(path)
+    return spread(saved) if dealt else saved
 
 
 _SHIPPED: set[str] = set()
