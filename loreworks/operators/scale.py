@@ -157,16 +157,11 @@ def contains_join(
         )
         # A needle shorter than the gram is its own gram; every length up to GRAM is looked up.
         widths = [r[0] for r in keyed.select(F.length("_gram")).distinct().collect()]
-        looked = F.array_distinct(
-            F.flatten(
-                F.array(
-                    *[
-                        F.transform(grams, lambda g, w=w: F.substring(g, F.lit(1), F.lit(w)))
-                        for w in widths
-                    ]
-                )
-            )
-        )
+
+        def heads(width: int) -> Column:
+            return F.transform(grams, lambda g: F.substring(g, F.lit(1), F.lit(width)))
+
+        looked = F.array_distinct(F.flatten(F.array(*[heads(w) for w in widths])))
         hits = (
             texts.withColumn("_gram", F.explode(looked))
             .join(keyed, "_gram")
@@ -225,9 +220,11 @@ def map_groups(
                         out.extend((*at, *r) for r in fn(held))
                     at, held = key, []
                 held.append(row[n:])
-            yield pd.DataFrame(out, columns=names, dtype=object)
-        if held:
-            yield pd.DataFrame([(*at, *r) for r in fn(held)], columns=names, dtype=object)
+            if out:
+                yield pd.DataFrame(out, columns=names, dtype=object)
+        last = [(*at, *r) for r in fn(held)] if held else []
+        if last:
+            yield pd.DataFrame(last, columns=names, dtype=object)
 
     sorted_ = df.select(*dict.fromkeys([*keys, *order, *columns])).repartition(*keys).sortWithinPartitions(*keys, *order)
     return sorted_.mapInPandas(walk, schema)
