@@ -9,6 +9,8 @@ from loreworks.operators.scale import attach_row, contains_join, first_rows
 
 RECALL_GATE = 0.80
 NEGLIGIBLE_SHARE, MARGINAL_SHARE = 0.02, 0.15
+BUCKETS = 4096
+MAX_ARMS = 1000
 
 
 def ranked_files(ranked: DataFrame, kmax: int) -> DataFrame:
@@ -40,8 +42,11 @@ def first_hit(ranked: DataFrame, cases: DataFrame, kmax: int) -> DataFrame:
         .agg(F.min("file_rank").alias("found"))
     )
     each = cases.select("qid", "kind").distinct()
-    # every case counts for every arm, found or not; arms are a handful of names
-    named = each.withColumn("arm", F.explode(F.array(*[F.lit(r[0]) for r in arms.limit(64).collect()])))
+    # every case counts for every arm, found or not; arms are a handful of names, and counted
+    names = [r[0] for r in arms.limit(MAX_ARMS + 1).collect()]
+    if len(names) > MAX_ARMS:
+        raise ValueError(f"more than {MAX_ARMS} arms to compare")
+    named = each.withColumn("arm", F.explode(F.array(*[F.lit(n) for n in names])))
     return named.join(hits, ["arm", "qid"], "left").select("arm", "qid", "kind", "found")
 
 
@@ -98,39 +103,71 @@ def arm_verdict(scores: DataFrame, arm: str, base: str, gate: float = RECALL_GAT
     )
 
 
-def latency_stats(samples: DataFrame, by: list[str], value: str = "ms") -> DataFrame:
-    """{by…, n, p50, p95, min}; p95 is the sample at index min(n-1, floor(0.95 n)).
+def _match(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys that may be NULL; the right side's keys are dropped."""
+    renamed = right
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        renamed = renamed.withColumnRenamed(k, f"_m{i}")
+        same = same & F.col(k).eqNullSafe(F.col(f"_m{i}"))
+    return left.join(renamed, same, how).drop(*[f"_m{i}" for i in range(len(keys))])
 
-    Values are first counted per distinct value (a map-side combine), and the index is found in
-    the cumulative counts, so a configuration with very many samples shuffles its histogram and
-    not its samples.
-    """
-    hist = samples.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    counted = hist.withColumn("_cum", F.sum("_n").over(upto))
-    size = hist.groupBy(*by).agg(F.sum("_n").alias("n"), F.min(value).alias("min"))
-    at = F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95).cast("long"))
 
-    def holds(index: Column) -> Column:
-        return (F.col("_cum") > index) & (F.col("_cum") - F.col("_n") <= index)
+def order_stats(samples: DataFrame, by: list[str], value: str, picks: dict[str, Column]) -> DataFrame:
+    """{by…, n, min, picks…}: the samples at given zero-based positions (columns over ``n``).
 
-    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
-    return (
-        counted.join(size, by)
-        .groupBy(*by, "n", "min")
-        .agg(
-            ((F.max(F.when(holds(low), F.col(value))) + F.max(F.when(holds(high), F.col(value)))) / 2).alias("p50"),
-            F.max(F.when(holds(at), F.col(value))).alias("p95"),
-        )
-        .select(*by, "n", "p50", "p95", "min")
+    Exact, and without sorting a group in one task.  Samples are counted per distinct value
+    (map-side), the values of a group are put into at most ``BUCKETS`` ranges, the ranges'
+    counts tell which range holds a position, and only that range is walked.
+    """
+    have = samples.where(F.col(value).isNotNull())
+    hist = have.groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    size = hist.groupBy(*by).agg(F.sum("_c").alias("n"), F.min("_v").alias("min"), F.max("_v").alias("_hi"))
+    spot = F.floor((F.col("_v") - F.col("min")) / (F.col("_hi") - F.col("min")) * BUCKETS)
+    ranged = _match(hist, size, by).withColumn("_b", F.when(F.col("_hi") > F.col("min"), spot).otherwise(0)).drop("_hi")
+    upto = lambda keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    coarse = ranged.groupBy(*by, "n", "_b").agg(F.sum("_c").alias("_c")).withColumn("_cum", F.sum("_c").over(upto(by, "_b")))
+    asked = F.array(*[F.struct(F.lit(k).alias("name"), v.cast("long").alias("at")) for k, v in picks.items()])
+    here = (F.col("_p.at") < F.col("_cum")) & (F.col("_p.at") >= F.col("_cum") - F.col("_c"))
+    target = coarse.withColumn("_p", F.explode(asked)).where(here).select(
+        *by, "_b", F.col("_p.name").alias("_name"), (F.col("_p.at") - F.col("_cum") + F.col("_c")).alias("_rest")
     )
+    walked = _match(ranged.select(*by, "_b", "_v", "_c"), target, [*by, "_b"]).withColumn(
+        "_cum", F.sum("_c").over(upto([*by, "_name"], "_v"))
+    )
+    found = walked.where((F.col("_rest") < F.col("_cum")) & (F.col("_rest") >= F.col("_cum") - F.col("_c")))
+    wide = found.groupBy(*by).agg(*[F.max(F.when(F.col("_name") == k, F.col("_v"))).alias(k) for k in picks])
+    return _match(size.drop("_hi"), wide, by).select(*by, "n", "min", *picks)
+
+
+def _middle() -> dict[str, Column]:
+    return {"_low": F.floor((F.col("n") - 1) / 2), "_high": F.floor(F.col("n") / 2)}
+
+
+def latency_stats(samples: DataFrame, by: list[str], value: str = "ms") -> DataFrame:
+    """{by…, n, p50, p95, min}; p95 is the sample at index min(n-1, floor(0.95 n))."""
+    tail = F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95).cast("long"))
+    got = order_stats(samples, by, value, {**_middle(), "p95": tail})
+    return got.select(*by, "n", ((F.col("_low") + F.col("_high")) / 2).alias("p50"), "p95", "min")
+
+
+def medians(samples: DataFrame, by: list[str], value: str) -> DataFrame:
+    """{by…, median}."""
+    got = order_stats(samples, by, value, _middle())
+    return got.select(*by, ((F.col("_low") + F.col("_high")) / 2).alias("median"))
 
 
 def unaccounted(samples: DataFrame, by: list[str], wall: str, parts: list[str]) -> DataFrame:
     """Median wall time minus the medians of its known parts."""
-    med = samples.groupBy(*by).agg(*[F.median(c).alias(c) for c in [wall, *parts]])
+    names = [wall, *parts]
+    long = samples.select(
+        *by, F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("ms")) for c in names])).alias("_s")
+    ).select(*by, "_s.name", "_s.ms")
+    med = medians(long, [*by, "name"], "ms").groupBy(*by).agg(
+        *[F.max(F.when(F.col("name") == c, F.col("median"))).alias(c) for c in names]
+    )
     inside = sum((F.col(p) for p in parts), F.lit(0.0))
-    return med.select(*by, *[F.round(c, 6).alias(c) for c in [wall, *parts]], F.round(F.col(wall) - inside, 6).alias("unaccounted"))
+    return med.select(*by, *[F.round(c, 6).alias(c) for c in names], F.round(F.col(wall) - inside, 6).alias("unaccounted"))
 
 
 def accuracy(results: DataFrame) -> DataFrame:
@@ -229,10 +266,9 @@ def size_distribution(chunks: DataFrame, by: list[str] | None = None) -> DataFra
 
 def cold_warm(samples: DataFrame) -> DataFrame:
     """{project, cold, warm} of {project, pass_no, ms}: pass 0 is cold, warm is the later median."""
-    return samples.groupBy("project").agg(
-        F.max(F.when(F.col("pass_no") == 0, F.col("ms"))).alias("cold"),
-        F.median(F.when(F.col("pass_no") > 0, F.col("ms"))).alias("warm"),
-    )
+    cold = samples.groupBy("project").agg(F.max(F.when(F.col("pass_no") == 0, F.col("ms"))).alias("cold"))
+    warm = medians(samples.where("pass_no > 0"), ["project"], "ms").withColumnRenamed("median", "warm")
+    return _match(cold, warm, ["project"], "left").select("project", "cold", "warm")
 
 
 def cold_warm_totals(table: DataFrame, budget_ms: float) -> DataFrame:

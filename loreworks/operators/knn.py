@@ -77,6 +77,7 @@ def _scan(queries: list, vectors: DataFrame, k: int, skip_self: bool, floor, met
 
     def scan(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, mat = shared.value
+        best = None
         for pdf in it:
             if pdf.empty:
                 continue
@@ -86,7 +87,13 @@ def _scan(queries: list, vectors: DataFrame, k: int, skip_self: bool, floor, met
             if skip_self:
                 sims[ids[:, None] == vid[None, :]] = -np.inf
             r, c = _top(sims, k, floor)
-            yield pd.DataFrame({"qid": ids[r], "id": vid[c], "sim": np.round(sims[r, c], DIGITS)})
+            new = pd.DataFrame({"q": r, "id": vid[c], "sim": np.round(sims[r, c], DIGITS)})
+            # only the best of the whole partition leave it, however many batches it has
+            best = new if best is None else pd.concat([best, new]).sort_values(
+                ["q", "sim", "id"], ascending=[True, False, True], kind="stable"
+            ).groupby("q").head(k)
+        if best is not None and len(best):
+            yield pd.DataFrame({"qid": ids[best["q"].to_numpy()], "id": best["id"].to_numpy(), "sim": best["sim"].to_numpy()})
 
     return vectors.select("id", "vec").mapInPandas(scan, schema)
 

@@ -300,7 +300,8 @@ def fit_excerpts(excerpts: DataFrame, budget: int) -> DataFrame:
     """{request, id, kept} of {request, id, priority, position, tokens, base_tokens}.
 
     The lowest priority goes first until the rest fits: the kept ones are the longest prefix in
-    priority order (earlier position first among equals).  ``over_budget`` marks a request whose
+    priority order (earlier position first among equals).  The excerpts of a request are a page
+    of retrieval hits.  ``over_budget`` marks a request whose
     fixed part alone is too big.
     """
     order = Window.partitionBy("request").orderBy(F.col("priority").desc(), "position", "id")
