@@ -25,6 +25,8 @@ def query(name: str, needs: str = "", sql: str | None = None):
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ship_package(spark)
+            # stamps without a zone are UTC everywhere in these tables
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
             return fn(tb.Tables(spark, sf_dir))
 
         _QUERIES[name] = run
