@@ -58,6 +58,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
 
-def oracle_sql() -> dict[str, str]:
+def twins() -> dict[str, str]:
     load_all()
     return dict(_SQL)

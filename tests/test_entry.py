@@ -16,7 +16,7 @@ def test_entry_runs(spark):
 
 
 def test_every_twin_has_a_query():
-    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(entry.twins()) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", SAMPLE)
@@ -28,7 +28,7 @@ def test_query_equals_its_twin(spark, name):
     cols = sorted(df.columns)
     show = lambda v: round(v, 6) + 0.0 if isinstance(v, float) else v
     ours = sorted(repr(tuple(show(r[c]) for c in cols)) for r in df.collect())
-    rel = con.sql(entry.oracle_sql()[name])
+    rel = con.sql(entry.twins()[name])
     order = [rel.columns.index(c) for c in cols]
     theirs = sorted(repr(tuple(show(r[i]) for i in order)) for r in rel.fetchall())
     assert ours == theirs
