@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loreworks.llm.words import find_words, pairs, slices, text_bytes
+from loreworks.session import save_point
 
 BUCKETS = 1 << 20
 SAMPLE = 20_000
@@ -150,20 +151,20 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, sample: int
     spark = docs.sparkSession
     good = spark.createDataFrame([(r.doc_id, r.good) for r in chosen], "doc_id long, good boolean")
     known = docs.select("doc_id", "text").join(F.broadcast(good), "doc_id").select("good", "text")
-    counts = (
+    counts = save_point(
         known.select("text", "good")
         .mapInArrow(_counter(buckets), "bucket long, raw long, target long")
         .groupBy("bucket")
         .agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-        .toPandas()
     )
-    raw, target = np.zeros(buckets), np.zeros(buckets)
-    raw[counts.bucket], target[counts.bucket] = counts.raw, counts.target
-    if not target.sum():
-        return ImportanceModel(np.zeros(buckets, np.float32))
-    expected = raw * (target.sum() / raw.sum())
-    ratio = np.log((target + SHRINK) / (expected + SHRINK))
-    model = ImportanceModel(np.where(np.abs(ratio) < EVEN, 0, ratio).astype(np.float32))
+    total = counts.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).first()
+    ratio = np.zeros(buckets, np.float32)
+    if not total.target:
+        return ImportanceModel(ratio)
+    log = F.log((F.col("target") + SHRINK) / (F.col("raw") * (total.target / total.raw) + SHRINK))
+    for r in counts.select("bucket", log.alias("log")).where(F.abs("log") >= EVEN).collect():
+        ratio[r.bucket] = r.log
+    model = ImportanceModel(ratio)
     seen = weigh(known, model, passage=passage).select("good", "log_weight").toPandas()
     good_w = np.sort(seen.log_weight[seen.good].to_numpy())
     bad_w = np.sort(seen.log_weight[~seen.good].to_numpy())
@@ -213,8 +214,6 @@ def select(docs: DataFrame, labels: DataFrame, k: int | None = None, passage: in
     """
     ids = docs.select("doc_id", "text")
     model = fit(ids, labels, passage=passage, **fitting)
-    from loreworks.session import save_point
-
     keys = save_point(_keyed(ids, model, "log_weight", "key", passage).select("doc_id", "log_weight", "key"))
     return keys.withColumn("kept", F.col("key") >= F.lit(_bound(keys, model, k)))
 
@@ -228,8 +227,6 @@ def _bound(keys: DataFrame, model: ImportanceModel, k: int | None) -> float:
 
 def keep_good(docs: DataFrame, labels: DataFrame, k: int | None = None, passage: int = PASSAGE, **fitting) -> DataFrame:
     """The rows of ``docs`` whose key is among the k greatest, with all their columns."""
-    from loreworks.session import save_point
-
     model = fit(docs, labels, passage=passage, **fitting)
     weight, key = fresh(docs, "_weight"), fresh(docs, "_key")
     keyed = _keyed(docs, model, weight, key, passage)
