@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loreworks.llm import quality
+from loreworks.llm import neardup, quality
 from loreworks.session import ship_package
 
 
@@ -18,8 +18,13 @@ def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.select(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 _QUERIES = [
     op7_importance_resampling,
+    op10_prob_minhash,
 ]
 
 
