@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loreworks.llm import neardup, quality, suffix_dedup
+from loreworks.llm import decontaminate, neardup, quality, suffix_dedup
 from loreworks.session import ship_package
 
 
@@ -14,6 +14,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = decontaminate.split_items(_table(spark, sf_dir, "benchmark"))
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), items)
+
+
 def op6_suffix_order_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_report(_table(spark, sf_dir, "documents"))
 
@@ -27,6 +32,7 @@ def op10_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES = [
+    op4_bm25_decontamination,
     op6_suffix_order_dedup,
     op7_importance_resampling,
     op10_prob_minhash,
