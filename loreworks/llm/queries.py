@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loreworks.llm import decontaminate, neardup, quality, suffix_dedup
+import corpus_pipeline
+from loreworks.llm import bpe, decontaminate, neardup, quality, suffix_dedup
 from loreworks.session import ship_package
 
 
@@ -27,15 +29,25 @@ def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.select(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 _QUERIES = [
     op4_bm25_decontamination,
     op6_suffix_order_dedup,
     op7_importance_resampling,
+    op9_trie_bpe,
     op10_prob_minhash,
+    pipeline,
 ]
 
 
