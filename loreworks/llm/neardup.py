@@ -9,8 +9,8 @@ Two documents agree on a register with the probability of their similarity.
 Texts with the same words are one vertex.  Vertices that agree on ``ROWS`` registers of a band meet; in each
 such group a few members, least by different hashes, are paired with all (no pairs within the group).  Pairs
 whose registers agree often enough are verified on the whole shingle sets and linked.  Groups that still
-hold several classes are then compared in tiles of ``TILE`` members: only pairs of different classes that
-agree often enough leave a tile, are verified and linked.  A class is a connected component of links.
+hold several classes are then compared in tiles of ``TILE`` members, where pairs of different classes that agree
+often enough are verified; only links leave a tile.  A class is a connected component of links.
 
 Defined cases: a null text is an empty one; a text without words is in a class of its own; fewer than five
 words are one shingle; a row without doc_id gets no class; rows that repeat a doc_id are one vertex; further
@@ -37,8 +37,8 @@ ROWS = 4
 CENTRES = 2
 SIMILARITY = 0.8
 #: Standard deviations by which the registers may understate the similarity of a pair that is verified.
-SLACK = 5.0
-TILE = 1024
+SLACK = 4.0
+TILE = 4096
 SLICE = 1 << 19
 _U = np.uint64
 _GOLDEN = _U(0x9E3779B97F4A7C15)
@@ -118,8 +118,9 @@ def _bands(registers: int, rows: int):
             key = np.tile(np.arange(bands, dtype=np.uint64), (n, 1))
             for r in range(rows):
                 key = mix(key * _GOLDEN + sig[:, r : bands * rows : rows].astype(np.uint64))
-            ids = pa.array(np.repeat(np.asarray(batch.column(0)), bands))
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), ids], ["band", "doc_id"])
+            ids = batch.column(0).take(pa.array(np.repeat(np.arange(n), bands)))
+            nth = pa.array(np.tile(np.arange(bands, dtype=np.int32), n))
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), nth, ids], ["band", "nth", "doc_id"])
 
     return run
 
@@ -156,13 +157,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(least: float):
-    def unpack(raw: bytes):
-        both = np.frombuffer(raw, np.uint32)
-        return both[: len(both) // 2], both[len(both) // 2 :]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [similarity(unpack(x.as_py()), unpack(y.as_py())) for x, y in zip(batch.column(2), batch.column(3))]
+            found = [similarity(_unpack(x.as_py()), _unpack(y.as_py())) for x, y in zip(batch.column(2), batch.column(3))]
             value = pa.array(found, pa.float64())
             near = pa.array(np.asarray(found, float) >= least - 1e-9)
             yield pa.RecordBatch.from_arrays([c.filter(near) for c in (batch.column(0), batch.column(1), value)], ["a", "b", "similarity"])
@@ -177,33 +174,55 @@ def _beside(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "_of_a", "_of_b")
 
 
-def _tiles(registers: int, least: float):
-    """Rows come by (band, tile, side); of each tile, pairs of different classes that agree."""
+def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(raw, np.uint32)
+    return both[: len(both) // 2], both[len(both) // 2 :]
+
 
-    def pairs(rows: pd.DataFrame) -> pd.DataFrame:
-        sig = _matrix(rows.signature.tolist(), registers)
-        ids, labels, side = rows.doc_id.to_numpy(), rows.label.to_numpy(), rows.side.to_numpy()
+def _tiles(registers: int, rows: int, agree: float, least: float):
+    """Rows come by (band, tile); of each tile, the verified links between different classes.
+
+    A pair that shares several bands is looked at in the first of them only, and a link is left out if
+    links of the same tile join its classes already.
+    """
+
+    def links(tile: pd.DataFrame) -> list[tuple]:
+        sig = _matrix(tile.signature.tolist(), registers)
+        ids, labels, side = tile.doc_id.to_numpy(), tile.label.to_numpy(), tile.side.to_numpy()
+        raw, nth = tile.shingles.tolist(), int(tile.nth.iloc[0])
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # 2: the tile of a block with itself
-        a, b = [], []
+        root = {x: x for x in labels}
+
+        def find(x):
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        out = []
         for i in left:
-            close = right[(sig[right] == sig[i]).mean(axis=1) >= least]
-            close = close[labels[close] != labels[i]]
-            a.append(np.full(len(close), ids[i]))
-            b.append(ids[close])
-        a, b = np.concatenate([*a, ids[:0]]), np.concatenate([*b, ids[:0]])
-        return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+            same = sig[right] == sig[i]
+            close = right[(same.mean(axis=1) >= agree) & (labels[right] != labels[i])]
+            if not len(close):
+                continue
+            bands = (sig[close] == sig[i])[:, : nth * rows].reshape(len(close), nth, rows).all(axis=2)
+            for j in close[~bands.any(axis=1)]:
+                a, b = find(labels[i]), find(labels[j])
+                if a != b and (value := similarity(_unpack(raw[i]), _unpack(raw[j]))) >= least - 1e-9:
+                    root[max(a, b)] = min(a, b)
+                    out.append((max(ids[i], ids[j]), min(ids[i], ids[j]), value))
+        return out
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for frame in frames:
             held = frame if held is None else pd.concat([held, frame])
-            tile = held.band.to_numpy() * 31 + held.tile.to_numpy()
-            edges = np.flatnonzero(tile[1:] != tile[:-1]) + 1
-            for s, e in zip(np.concatenate([[0], edges[:-1]]), edges):
-                yield pairs(held.iloc[s:e])
+            band, tile = held.band.to_numpy(), held.tile.to_numpy()
+            edges = np.flatnonzero((band[1:] != band[:-1]) | (tile[1:] != tile[:-1])) + 1
+            found = [x for s, e in zip(np.concatenate([[0], edges[:-1]]), edges) for x in links(held.iloc[s:e])]
             held = held.iloc[edges[-1] :] if len(edges) else held
+            yield pd.DataFrame(found, columns=["a", "b", "similarity"])
         if held is not None and len(held):
-            yield pairs(held)
+            yield pd.DataFrame(links(held), columns=["a", "b", "similarity"])
 
     return run
 
@@ -225,7 +244,7 @@ def near_duplicates(
         vertex.select(F.col("vertex").alias("doc_id"), "digest").join(named, ["doc_id", "digest"]).dropDuplicates(["doc_id"]).select("doc_id", "signature")
     )
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    bands = sketches.mapInArrow(_bands(registers, rows), f"band long, doc_id {id_type}")
+    bands = sketches.mapInArrow(_bands(registers, rows), f"band long, nth int, doc_id {id_type}")
     least_by = [F.min(F.struct(F.xxhash64(F.lit(k), "band", "doc_id").alias("h"), F.col("doc_id").alias("id"))).alias(f"c{k}") for k in range(centres)]
     met = bands.groupBy("band").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), *least_by).where("lo < hi")
     grouped = save_point(bands.join(met.select("band", F.array(*[f"c{k}.id" for k in range(centres)]).alias("centre")), "band"))
@@ -249,19 +268,19 @@ def near_duplicates(
     label = save_point(components(nodes, links.select("a", "b")).select(F.col("id").alias("doc_id"), F.col("component").alias("label")))
 
     # groups in which several classes meet
-    labelled = grouped.select("band", "doc_id").join(label, "doc_id")
+    labelled = grouped.select("band", "nth", "doc_id").join(label, "doc_id")
     mixed = labelled.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
     blocks = F.ceil(F.col("n") / TILE)
     block = F.pmod(F.xxhash64(F.lit("block"), "doc_id"), blocks)
     other = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
     tiled = (
-        labelled.join(mixed.select("band", "n"), "band").select("band", "doc_id", "label", blocks.alias("blocks"), block.alias("own"), other.alias("other"))
-        .select("band", "doc_id", "label", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("tile"),
+        labelled.join(mixed.select("band", "n"), "band").select("band", "nth", "doc_id", "label", blocks.alias("blocks"), block.alias("own"), other.alias("other"))
+        .select("band", "nth", "doc_id", "label", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("tile"),
                 F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
-        .join(sketches, "doc_id").repartition("band", "tile").sortWithinPartitions("band", "tile")
+        .join(sketches, "doc_id").join(sets, "doc_id").repartition("band", "tile").sortWithinPartitions("band", "tile")
     )
-    close = tiled.mapInPandas(_tiles(registers, least - slack), f"a {id_type}, b {id_type}").where("a <> b").distinct()
-    links = links.unionByName(verify(close.join(links, ["a", "b"], "left_anti")))
+    more = save_point(tiled.mapInPandas(_tiles(registers, rows, least - slack, least), f"a {id_type}, b {id_type}, similarity double"))
+    links = links.unionByName(more)
     classes = components(nodes, links.select("a", "b"))
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
     labels = classes.join(degree, "id", "left").select(F.col("id").alias("vertex"), "component", F.coalesce("links", F.lit(0)).alias("links"))
