@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from loreworks.llm import bpe, decontaminate, neardup, quality, suffix_dedup
-from loreworks.session import ship_package
+from loreworks.llm import bpe, decontaminate, neardup, quality, suffix_dedup, token_counts
+from loreworks.session import shared_dir, ship_package
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,11 @@ def op4_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), items)
 
 
+def op5_digest_cache_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cache = f"{shared_dir(spark)}/token_counts/{uuid.uuid4().hex}"
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cache)
+
+
 def op6_suffix_order_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_report(_table(spark, sf_dir, "documents"))
 
@@ -43,6 +49,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES = [
     op4_bm25_decontamination,
+    op5_digest_cache_counts,
     op6_suffix_order_dedup,
     op7_importance_resampling,
     op9_trie_bpe,
