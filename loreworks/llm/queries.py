@@ -7,9 +7,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loreworks.llm import bpe, decontaminate, neardup, quality, suffix_dedup, token_counts
+from loreworks.llm import block_search, bpe, decontaminate, neardup, preferences, quality, suffix_dedup, token_counts, token_files
 from loreworks.session import shared_dir, ship_package
 
 
@@ -17,6 +18,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_block_matrix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return block_search.nearest(vectors.where("vec_id % 20 = 0"), vectors, 20)
+
+
+def op2_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/token_files/{uuid.uuid4().hex}"
+    token_files.write_ids(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder)
+    return token_files.read_ids(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op4_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = decontaminate.split_items(_table(spark, sf_dir, "benchmark"))
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), items)
@@ -35,6 +47,10 @@ def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.select(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preferences.format_pairs(*preferences.replies_of_the_next(_table(spark, sf_dir, "conversations")))
+
+
 def op9_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -48,10 +64,13 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES = [
+    op1_block_matrix_search,
+    op2_repair_token_files,
     op4_bm25_decontamination,
     op5_digest_cache_counts,
     op6_suffix_order_dedup,
     op7_importance_resampling,
+    op8_preference_pairs,
     op9_trie_bpe,
     op10_prob_minhash,
     pipeline,
@@ -70,4 +89,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def twins() -> dict[str, str]:
-    return {}
+    return {"op1_block_matrix_search": block_search.TWIN, "op8_preference_pairs": preferences.TWIN}
