@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loreworks.llm import block_search, bpe, decontaminate, neardup, preferences, quality, suffix_dedup, token_counts, token_files
+from loreworks.llm import block_search, bpe, decontaminate, neardup, pitman_yor, preferences, quality, suffix_dedup, token_counts, token_files
 from loreworks.session import shared_dir, ship_package
 
 
@@ -29,6 +29,10 @@ def op2_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_ids(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op4_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = decontaminate.split_items(_table(spark, sf_dir, "benchmark"))
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), items)
@@ -66,6 +70,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES = [
     op1_block_matrix_search,
     op2_repair_token_files,
+    op3_pitman_yor_scores,
     op4_bm25_decontamination,
     op5_digest_cache_counts,
     op6_suffix_order_dedup,
