@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loreworks.llm.words import find_words, pairs, slices, text_bytes
+from loreworks.llm.words import find_words, fresh, pairs, slices, text_bytes
 from loreworks.session import save_point
 
 BUCKETS = 1 << 20
@@ -119,14 +119,6 @@ def _weigher(ratio, passage: int, name: str, keep: int):
     return weigh
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """``name``, lengthened until no column of ``df`` has it."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def weigh(docs: DataFrame, model: ImportanceModel, name: str = "log_weight", passage: int = PASSAGE) -> DataFrame:
     """All rows and columns of ``docs`` and the log importance weight of ``text`` as ``name``."""
     sent = docs.sparkSession.sparkContext.broadcast(model.ratio)

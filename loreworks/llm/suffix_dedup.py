@@ -38,7 +38,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loreworks.llm.words import mix, slices, text_bytes
+from loreworks.llm.words import fresh, mix, slices, text_bytes
 
 LENGTH = 100
 GRAM = 32
@@ -151,15 +151,17 @@ def _answer(blobs: pd.DataFrame) -> pd.DataFrame:
 FRAME = "shard int, ids binary, prints binary, firsts binary, lefts binary, starts binary, bytes binary, repeated binary"
 
 
-def _frames_of(length: int, shards: int):
-    """By shard: frames of anchors that occur again.  Rows: print, doc_id, text, lists of hashes."""
+def _frames_of(length: int, shards: int, doc_id: int, text: int):
+    """By shard: frames of anchors that occur again.  Rows: those of the table (``doc_id`` and ``text`` are places
+    of columns), print, lists of hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_bytes(batch.column(2))
-            prints, ids = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            batch = batch.filter(batch.column(doc_id).is_valid())
+            data, offsets = text_bytes(batch.column(text))
+            prints, ids = np.asarray(batch.column(batch.num_columns - 2)), np.asarray(batch.column(doc_id).cast(pa.int64()))
             owner, first, last, anchor, gram = _all_frames(data, offsets, length)
-            lists = [np.sort(np.frombuffer(b"".join(x), np.uint64)) for x in batch.column(3).to_pylist()]
+            lists = [np.sort(np.frombuffer(b"".join(x), np.uint64)) for x in batch.column(batch.num_columns - 1).to_pylist()]
             edges = np.searchsorted(owner, np.arange(len(lists) + 1))
             keep = [np.isin(gram[s:e], x, kind="sort") for s, e, x in zip(edges, edges[1:], lists)]
             keep = np.flatnonzero(np.concatenate(keep)) if keep else np.zeros(0, np.int64)
@@ -280,24 +282,32 @@ def _print() -> Column:
     return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
 
 
-def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``doc_id, print, ranges`` of the documents that lose bytes; ``print`` tells texts of one doc_id apart.
+def _with_ranges(docs: DataFrame, length: int) -> DataFrame:
+    """``docs`` and, behind its columns, ``{doc_id, low, high}`` byte ranges that go; they may overlap, and those
+    of another doc_id don't count.
 
-    ``ranges`` holds ``{low, high}`` byte ranges that may overlap.
+    Documents are looked up by a print of doc_id and text, once for their frames and once for their ranges.  Both
+    joins start from the same rows, so that these are shuffled once.
     """
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    named = docs.where("doc_id is not null").select(_print().alias("print"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    asked = named.where(F.octet_length("text") >= length).select("print", "text").mapInArrow(_ask(length, shards), "shard int, prints binary, counts binary, grams binary")
+    asked = (
+        docs.where("doc_id is not null").where(F.octet_length("text") >= length).select(_print().alias("print"), "text")
+        .mapInArrow(_ask(length, shards), "shard int, prints binary, counts binary, grams binary")
+    )
     again = asked.groupBy("shard").applyInPandas(_answer, "print long, again binary").groupBy("print").agg(F.collect_list("again").alias("again"))
-    framed = named.join(again.hint("shuffle_hash"), "print").select("print", "doc_id", "text", "again").mapInArrow(_frames_of(length, shards), FRAME)
-    found = framed.groupBy("shard").applyInPandas(_repeats(length), "doc_id long, print long, low long, high long")
-    return found.groupBy("doc_id", "print").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+    own, other, lists = fresh(docs, "_print"), fresh(docs, "_ranges"), fresh(docs, "_again")
+    base = docs.withColumn(own, _print())
+    place = docs.columns.index
+    framed = base.join(again.select(F.col("print").alias(own), F.col("again").alias(lists)).hint("shuffle_hash"), own).select(*[f"`{c}`" for c in docs.columns], own, lists)
+    found = framed.mapInArrow(_frames_of(length, shards, place("doc_id"), place("text")), FRAME).groupBy("shard").applyInPandas(_repeats(length), "doc_id long, print long, low long, high long")
+    ranges = found.groupBy(F.col("print").alias(own)).agg(F.collect_list(F.struct("doc_id", "low", "high")).alias(other))
+    return base.join(ranges.hint("shuffle_hash"), own, "left").select(*[f"`{c}`" for c in docs.columns], other)
 
 
-def merged(ranges: list[dict] | None) -> list[tuple[int, int]]:
-    """Disjoint ranges in order; those that touch are one."""
+def merged(ranges: list[dict] | None, doc_id: int | None) -> list[tuple[int, int]]:
+    """Disjoint ranges of ``doc_id`` in order; those that touch are one."""
     out: list[list[int]] = []
-    for low, high in sorted((r["low"], r["high"]) for r in ranges or ()):
+    for low, high in sorted((r["low"], r["high"]) for r in ranges or () if r["doc_id"] == doc_id):
         if out and low <= out[-1][1]:
             out[-1][1] = max(out[-1][1], high)
         else:
@@ -313,25 +323,19 @@ def _kept(text: bytes, gone: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, text[at:]])
 
 
-def _with_ranges(docs: DataFrame, length: int) -> DataFrame:
-    """``docs`` and the column ``_ranges``."""
-    found = repeated_ranges(docs, length).select(F.col("doc_id").alias("_id"), F.col("print").alias("_print"), F.col("ranges").alias("_ranges"))
-    return docs.join(found.hint("shuffle_hash"), (F.col("doc_id") == F.col("_id")) & (_print() == F.col("_print")), "left").drop("_id", "_print")
-
-
 def dedup_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                raw, gone = (text or "").encode(), merged(ranges)
+            for doc_id, text, ranges in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                raw, gone = (text or "").encode(), merged(ranges, doc_id)
                 rows.append((len(raw), sum(h - low for low, h in gone), len(gone), hashlib.sha256(_kept(raw, gone)).hexdigest()))
             size, removed, spans, digest = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield _packed(doc_id=batch.column(0), n_bytes=pa.array(size, pa.int64()), n_removed=pa.array(removed, pa.int64()), n_spans=pa.array(spans, pa.int64()), kept_sha256=pa.array(digest, pa.string()))
 
-    marked = _with_ranges(docs.select("doc_id", "text"), length).select("doc_id", "text", "_ranges")
+    marked = _with_ranges(docs.select("doc_id", "text"), length)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return marked.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
@@ -345,19 +349,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keep = batch.column(names.index("text")).to_pylist(), []
+            texts, keep, touched = batch.column(names.index("text")).to_pylist(), [], []
+            ids = batch.column(names.index("doc_id")).to_pylist()
             for i, ranges in enumerate(batch.column(len(names)).to_pylist()):
-                if ranges:
-                    texts[i] = _kept(texts[i].encode(), merged(ranges)).decode("utf-8", "ignore")
-                keep.append(not ranges or texts[i] != "")
+                gone = merged(ranges, ids[i])
+                if gone:
+                    texts[i] = _kept(texts[i].encode(), gone).decode("utf-8", "ignore")
+                touched.append(bool(gone))
+                keep.append(not gone or texts[i] != "")
             columns = list(batch.columns[: len(names)])
             columns[names.index("text")] = pa.array(texts, batch.schema.field("text").type)
             if "n_chars" in names:
                 at = names.index("n_chars")
                 size = pa.array([len(t) if t is not None else None for t in texts])
-                changed = pa.array([bool(r) for r in batch.column(len(names)).to_pylist()])
-                columns[at] = pa.compute.if_else(changed, size.cast(columns[at].type), columns[at])
+                columns[at] = pa.compute.if_else(pa.array(touched), size.cast(columns[at].type), columns[at])
             yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep))
 
-    named = _with_ranges(docs, length).select(*[F.col(f"`{c}`") for c in names], "_ranges")
-    return named.mapInArrow(run, docs.schema)
+    return _with_ranges(docs, length).mapInArrow(run, docs.schema)

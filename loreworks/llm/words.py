@@ -11,6 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -110,3 +111,11 @@ def shingles(words: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
         more = slice(None) if k == 0 or (len(width) and width.min() > k) else np.flatnonzero(width > k)
         h[more] = mix(h[more] * _U(0xD6E8FEB86659FD93) + words.hash[at[more] + k])
     return h, owner
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
