@@ -21,6 +21,7 @@ import json
 from collections.abc import Iterator
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -54,9 +55,10 @@ class TrieEncoder:
             self.bytes[i] = name
         for name, i in self.special.items():
             self.bytes[i] = name.encode()
-        self.longest: dict[bytes, int] = {}  # of the tokens that end in these two bytes (or are one byte)
-        for name in self.token:
-            self.longest[name[-2:]] = max(self.longest.get(name[-2:], 1), len(name))
+        self.ends = ahocorasick.Automaton()  # finds the tokens that end at each byte of a word
+        for name, i in self.token.items():
+            self.ends.add_word(name.decode("latin-1"), (i, len(name)))
+        self.ends.make_automaton()
         self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}  # token: left, right, rank of the merge that makes it
         for rank, merge in enumerate(spec["model"]["merges"]):
@@ -64,7 +66,7 @@ class TrieEncoder:
             pair = self.token[left], self.token[right]
             self.rank.setdefault(pair, rank)
             self.parts.setdefault(self.token[left + right], (*pair, rank))
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}  # tuples of numbers cost the garbage collector nothing
         self.fits: dict[tuple[int, int], bool] = {}
         self.edges: dict[tuple[int, bool], list[tuple[int, float]]] = {}
         self.pattern = regex.compile(PATTERN)
@@ -105,9 +107,9 @@ class TrieEncoder:
             self.fits[key] = fits
         return fits
 
-    def encode_words(self, words: list[bytes]) -> Iterator[list[int]]:
+    def encode_words(self, words: list[bytes]) -> Iterator[tuple[int, ...]]:
         """Ids of each word, for words in byte order."""
-        token, compatible, fits, longest = self.token.get, self.compatible, self.fits.get, self.longest.get
+        compatible, fits, ends = self.compatible, self.fits.get, self.ends.iter
         last, start = [-1], [0]  # by depth: the last token of the prefix, and where it begins
         before = b""
         for word in words:
@@ -117,22 +119,21 @@ class TrieEncoder:
                     break
                 depth += 1
             del last[depth + 1 :], start[depth + 1 :]
-            for end in range(depth + 1, len(word) + 1):
-                for at in range(max(0, end - longest(word[end - 2 : end] if end > 1 else word[:1], 1)), end):
-                    t = token(word[at:end])
-                    if t is not None:
-                        fit = fits((last[at], t)) if at else self._whole(t)
-                        if fit or (fit is None and compatible(last[at], t)):
-                            last.append(t)
-                            start.append(at)
-                            break
+            for end, (t, size) in ends(word.decode("latin-1")):
+                if end >= depth:  # the state behind this byte isn't known yet
+                    at = end + 1 - size
+                    fit = fits((last[at], t)) if at else self._whole(t)
+                    if fit or (fit is None and compatible(last[at], t)):
+                        last.append(t)
+                        start.append(at)
+                        depth += 1
             ids, at = [], len(word)
             while at:
                 ids.append(last[at])
                 at = start[at]
             ids.reverse()
             before = word
-            yield ids
+            yield tuple(ids)
 
     def _whole(self, token: int) -> bool:
         """Whether the bytes of ``token`` are encoded as it."""
@@ -151,7 +152,7 @@ class TrieEncoder:
             self.fits[key] = fits
         return self.fits[key]
 
-    def _encode_units(self, units: list[str]) -> list[list[int]]:
+    def _encode_units(self, units: list[str]) -> list[tuple[int, ...]]:
         """Ids of distinct units: their words are looked up, new ones go through the trie together."""
         find = self.pattern.findall
         if len(self.words) > REMEMBERED:
@@ -173,7 +174,7 @@ class TrieEncoder:
         for (_, word), ids in zip(order, self.encode_words([raw for raw, _ in order]), strict=True):
             self.words[word] = ids
         known = self.words
-        return [known[p[0]] if len(p) == 1 and isinstance(p[0], str) else [i for w in p for i in ([w] if isinstance(w, int) else known[w])] for p in parts]
+        return [known[p[0]] if len(p) == 1 and isinstance(p[0], str) else tuple([i for w in p for i in ((w,) if isinstance(w, int) else known[w])]) for p in parts]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end and the number of ids of each."""

@@ -14,7 +14,7 @@ from itertools import chain
 import numpy as np
 
 #: Units remembered by a worker; beyond, it starts afresh.  A bound on memory, which doesn't change results.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 #: Characters of text cut at once.
 SLICE = 1 << 20
 
@@ -60,8 +60,8 @@ class UnitTable:
             more[: len(have)] = have
             setattr(self, name, more)
 
-    def _learn(self, known: dict[str, int], units: list[str], lead: str) -> None:
-        new = list(set(units).difference(known))
+    def _learn(self, known: dict[str, int], units: set[str], lead: str) -> None:
+        new = list(units.difference(known))
         if not new:
             return
         found = list(self.encode([lead + u for u in new] if lead else new))
@@ -84,9 +84,8 @@ class UnitTable:
         sizes = np.fromiter(map(len, units), np.int64, len(units))
         flat = list(chain.from_iterable(units))
         at = np.cumsum(sizes) - sizes
-        self._learn(self.first, heads, "")
-        inner = set(flat)
-        self._learn(self.rest, list(inner), " ")
+        self._learn(self.first, set(heads), "")
+        self._learn(self.rest, set(flat), " ")
         codes = np.fromiter(map(self.rest.__getitem__, flat), np.int64, len(flat))
         codes[at] = np.fromiter(map(self.first.__getitem__, heads), np.int64, len(heads))
         return codes, sizes
