@@ -10,7 +10,6 @@ from loreworks.operators.scale import attach_row, contains_join, first_rows
 RECALL_GATE = 0.80
 NEGLIGIBLE_SHARE, MARGINAL_SHARE = 0.02, 0.15
 BUCKETS = 4096
-MAX_ARMS = 1000
 
 
 def ranked_files(ranked: DataFrame, kmax: int) -> DataFrame:
@@ -33,7 +32,6 @@ def first_hit(ranked: DataFrame, cases: DataFrame, kmax: int) -> DataFrame:
     ``cases`` is {qid, kind, expected} with one row per accepted source; a file matches when
     its path contains one.
     """
-    arms = ranked.select("arm").distinct()
     files = ranked_files(ranked, kmax)
     hits = (
         files.join(cases.select("qid", "expected"), "qid")
@@ -42,11 +40,9 @@ def first_hit(ranked: DataFrame, cases: DataFrame, kmax: int) -> DataFrame:
         .agg(F.min("file_rank").alias("found"))
     )
     each = cases.select("qid", "kind").distinct()
-    # every case counts for every arm, found or not; arms are a handful of names, and counted
-    names = [r[0] for r in arms.limit(MAX_ARMS + 1).collect()]
-    if len(names) > MAX_ARMS:
-        raise ValueError(f"more than {MAX_ARMS} arms to compare")
-    named = each.withColumn("arm", F.explode(F.array(*[F.lit(n) for n in names])))
+    # every case counts for every arm, found or not
+    arms = ranked.agg(F.collect_set("arm").alias("_arms"))
+    named = attach_row(each, arms).select("qid", "kind", F.explode("_arms").alias("arm"))
     return named.join(hits, ["arm", "qid"], "left").select("arm", "qid", "kind", "found")
 
 

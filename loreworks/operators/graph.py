@@ -15,7 +15,6 @@ from loreworks.session import save_point
 
 DEFAULT_K, DEFAULT_THRESHOLD = 4, 0.85
 UNEMBEDDABLE = ("config",)
-TWO_HOP_SAMPLE = 250
 
 
 def resolve_links(documents: DataFrame, links: DataFrame) -> DataFrame:
@@ -176,9 +175,9 @@ def component_stats(labels: DataFrame) -> DataFrame:
 def two_hop(edges: DataFrame, picks: DataFrame, hops_apart: bool = False) -> DataFrame:
     """{id, reach}: nodes one or two steps away from each picked node.
 
-    ``picks`` is a sample (see :func:`sample_nodes`), so a hub's neighbour list is repeated for
-    at most the sampled nodes that touch it, never for all pairs of its neighbours.  With
-    ``hops_apart`` only nodes exactly two steps away are counted.
+    ``picks`` are the nodes to report (see :func:`sample_nodes`); a hub's neighbour list is read for
+    each picked node that touches it.  With ``hops_apart`` only nodes exactly two steps away are
+    counted.
     """
     sym = both_ways(edges)
     one = picks.select("id").join(sym.withColumnRenamed("u", "id"), "id").select("id", F.col("v").alias("at"))
@@ -188,10 +187,10 @@ def two_hop(edges: DataFrame, picks: DataFrame, hops_apart: bool = False) -> Dat
     return picks.select("id").join(reach, "id", "left").select("id", F.coalesce("reach", F.lit(0)).alias("reach"))
 
 
-def sample_nodes(nodes: DataFrame, n: int = TWO_HOP_SAMPLE) -> DataFrame:
-    """A repeatable sample of ``n`` embeddable nodes (the sampling operator of the reach metric)."""
+def sample_nodes(nodes: DataFrame, n: int | None = None) -> DataFrame:
+    """All embeddable nodes, or a repeatable sample of ``n`` of them."""
     able = nodes.where(~F.col("kind").isin(*UNEMBEDDABLE)).select("id")
-    return able.orderBy(F.md5(F.col("id").cast("string")), "id").limit(n)
+    return able if n is None else able.orderBy(F.md5(F.col("id").cast("string")), "id").limit(n)
 
 
 def reach_stats(reach: DataFrame, total: DataFrame) -> DataFrame:

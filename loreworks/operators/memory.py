@@ -17,7 +17,7 @@ from loreworks.session import save_point
 AUTHORITY = {"user_corrected": 4, "user_stated": 3, "observed": 2, "inferred": 1}
 OBSERVATIONS_REQUIRED = 2
 STALE_AFTER_DAYS, STALE_MULTIPLIER = 90, 0.8
-MATCH_THRESHOLD, MATCH_LIMIT, POOL = 0.6, 3, 200
+MATCH_THRESHOLD, MATCH_LIMIT = 0.6, 3
 MAX_PREFERENCES, MAX_FACTS = 5, 8
 MEASURED = ("diff_lines", "exit_code", "new_failures", "delta_passed", "branch")
 SCOPE_KEY = ("key", "scope", "scope_ref")
@@ -242,16 +242,16 @@ def match_attempts(
     return g.join(shown, [*by, "words"]).select("goal_id", "attempt_id", F.round("score", 6).alias("score"), "rank")
 
 
-def prior_attempts(goals: DataFrame, attempts: DataFrame, pool: int = POOL, limit: int = MATCH_LIMIT) -> DataFrame:
-    """{goal_id, attempt_id, how, rank}: exact signature first; otherwise the closest of the
-    newest ``pool`` attempts of the project."""
+def prior_attempts(goals: DataFrame, attempts: DataFrame, pool: int | None = None, limit: int = MATCH_LIMIT) -> DataFrame:
+    """{goal_id, attempt_id, how, rank}: exact signature first; otherwise the closest of
+    the project's attempts (of the newest ``pool``, if given)."""
     g = goals.withColumn("signature", tx.goal_signature(F.col("goal"), F.col("project")))
     a = attempts.withColumn("signature", tx.goal_signature(F.col("goal"), F.col("project")))
     newest = first_rows(a, ["project", "signature"], [F.col("at").desc(), F.col("attempt_id").desc()], limit, "rank")
     exact = g.select("goal_id", "project", "signature").join(
         newest.select("project", "signature", "attempt_id", "rank"), ["project", "signature"]
     ).select("goal_id", "attempt_id", F.lit("exact").alias("how"), "rank")
-    recent = first_rows(a, ["project"], [F.col("at").desc(), F.col("attempt_id").desc()], pool)
+    recent = a if pool is None else first_rows(a, ["project"], [F.col("at").desc(), F.col("attempt_id").desc()], pool)
     rest = g.join(exact.select("goal_id").distinct(), "goal_id", "left_anti")
     fuzzy = match_attempts(rest, recent, limit=limit, by=["project"])
     return exact.unionByName(fuzzy.select("goal_id", "attempt_id", F.lit("fuzzy").alias("how"), "rank"))

@@ -93,14 +93,14 @@ def candidates(names: DataFrame, projects: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------- briefing
 
 
-def briefing_tasks(projects: DataFrame, tasks: DataFrame, task_events: DataFrame, through: int) -> DataFrame:
+def briefing_tasks(projects: DataFrame, tasks: DataFrame, task_events: DataFrame, through: int | None = None) -> DataFrame:
     """Tasks of live projects with an event in (watermark, through], or waiting now.
 
     Only each task's highest event up to ``through`` decides, so the events are reduced to one
     row per task before they meet the watermarks: no range join.
     """
     last = (
-        task_events.where(F.col("seq") <= through)
+        (task_events if through is None else task_events.where(F.col("seq") <= through))
         .groupBy(F.col("task_id").alias("id"))
         .agg(F.max("seq").alias("_last"))
     )
@@ -164,17 +164,18 @@ def briefing_highlights(selected: DataFrame, n: int = MAX_HIGHLIGHTS) -> DataFra
     )
 
 
-def briefing(projects: DataFrame, tasks: DataFrame, task_events: DataFrame, through: int) -> DataFrame:
+def briefing(projects: DataFrame, tasks: DataFrame, task_events: DataFrame, through: int | None = None) -> DataFrame:
     """Totals per project: those that need a person first, then those with failures, then by name."""
     totals = briefing_totals(briefing_tasks(projects, tasks, task_events, through))
     flagged = totals.withColumn("needs_you", F.col("waiting") > 0).withColumn("has_failures", F.col("failed") > 0)
     return flagged.orderBy(F.col("needs_you").desc(), F.col("has_failures").desc(), "project")
 
 
-def system_brief(log: DataFrame, since: int, through: int) -> DataFrame:
-    """One row {restarted_seq, unclean, degraded, errors} about the service itself."""
+def system_brief(log: DataFrame, since: int, through: int | None = None) -> DataFrame:
+    """One row {restarted_seq, unclean, degraded, errors} about the service itself, up to the head of the log or ``through``."""
     kind = F.col("type")
-    ev = log.where(kind.isin(*SYSTEM_TYPES) & (F.col("seq") > since) & (F.col("seq") <= through))
+    ev = log.where(kind.isin(*SYSTEM_TYPES) & (F.col("seq") > since))
+    ev = ev if through is None else ev.where(F.col("seq") <= through)
     boot = F.when(kind == "system.boot", F.col("seq"))
     head = ev.agg(
         F.max(boot).alias("restarted_seq"),
@@ -195,7 +196,7 @@ def system_brief(log: DataFrame, since: int, through: int) -> DataFrame:
 def briefing_since(projects: DataFrame, log: DataFrame) -> DataFrame:
     """{since_seq, since_us}: the lowest watermark and its time (NULL when nothing was read yet)."""
     low = projects.where("status <> 'archived'").agg(F.coalesce(F.min("watermark"), F.lit(0)).alias("since_seq"))
-    at = attach_row(log.select("seq", "ts"), low).where((F.col("since_seq") > 0) & (F.col("seq") == F.col("since_seq")))
+    at = log.select("seq", "ts").join(low.where("since_seq > 0"), F.col("seq") == F.col("since_seq"))
     return attach_row(low, at.agg(F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("since_us")))
 
 

@@ -7,7 +7,7 @@ distributed rounds whose intermediate tables are saved, so no graph is ever too
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -384,16 +384,22 @@ def overdue(tasks: DataFrame, now: Column, defaults: dict[str, float] | None = N
     )
 
 
-def rank_executors(roles: DataFrame, agents: DataFrame, defaults: DataFrame, n: int = 10) -> DataFrame:
+def rank_executors(roles: DataFrame, agents: DataFrame, defaults: DataFrame, n: int | None = None) -> DataFrame:
     """{role, agent, rank}: the stated default first if it still holds the role, then by cost.
 
+    All who hold the role are ranked; ``n`` keeps the first ``n``.
+
     ``roles`` {role, outcome}; ``agents`` {agent, role, cost, read_only}; ``defaults`` {role, agent}.
     """
     able = agents.join(roles, "role").where(~((F.col("outcome") == "diff") & F.col("read_only")))
     stated = defaults.select("role", F.col("agent").alias("_d"))
     cost = F.coalesce(F.try_element_at(_map(COST_ORDER), F.col("cost")), F.lit(9))
     order = [F.coalesce(F.col("agent") == F.col("_d"), F.lit(False)).desc(), cost, F.col("agent")]
-    return first_rows(able.join(stated, "role", "left"), ["role"], order, n, "rank").select("role", "agent", "rank")
+    held = able.join(stated, "role", "left")
+    if n is not None:
+        return first_rows(held, ["role"], order, n, "rank").select("role", "agent", "rank")
+    rank = F.row_number().over(Window.partitionBy("role").orderBy(*order)).cast("long")
+    return held.select("role", "agent", rank.alias("rank"))
 
 
 def overridden_hints(planned: DataFrame, agents: DataFrame) -> DataFrame:

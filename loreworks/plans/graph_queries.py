@@ -126,7 +126,7 @@ def _(t):
     return kg.component_stats(kg.components(t("page_docs").select(F.col("doc_id").alias("id")), _edges(t)))
 
 
-PICKS = "picks AS (SELECT doc_id AS id FROM page_docs WHERE kind <> 'config' ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id LIMIT 250)"
+PICKS = "picks AS (SELECT doc_id AS id FROM page_docs WHERE kind <> 'config')"
 HOPS = f"""{EDGES}, {PICKS}, sym AS (SELECT a AS u, b AS v FROM edges UNION SELECT b, a FROM edges),
 one AS (SELECT p.id, v AS n FROM picks p JOIN sym ON u = p.id), two AS (SELECT one.id, v AS n FROM one JOIN sym ON u = one.n)"""
 

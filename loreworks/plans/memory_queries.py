@@ -133,9 +133,8 @@ def _(t):
 
 PRIOR = f"""{SETS}, ex AS (SELECT goal_id, attempt_id, 'exact' AS how, row_number() OVER (PARTITION BY goal_id ORDER BY t DESC, attempt_id DESC) AS rank
   FROM g JOIN a ON a.project = g.project AND a.w = g.w),
-pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY t DESC, attempt_id DESC) AS pr FROM a) z WHERE pr <= 200),
 fz AS (SELECT goal_id, attempt_id, 'fuzzy' AS how, row_number() OVER (PARTITION BY goal_id ORDER BY {JACCARD} DESC, t DESC, attempt_id DESC) AS rank
-  FROM g JOIN pool a ON a.project = g.project WHERE {JACCARD} >= 0.6 AND goal_id NOT IN (SELECT goal_id FROM ex)),
+  FROM g JOIN a ON a.project = g.project WHERE {JACCARD} >= 0.6 AND goal_id NOT IN (SELECT goal_id FROM ex)),
 prior AS (SELECT * FROM (SELECT * FROM ex UNION ALL SELECT * FROM fz) u WHERE rank <= 3)"""
 
 

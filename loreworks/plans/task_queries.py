@@ -205,7 +205,7 @@ WITH d AS (SELECT role, max(agent) AS d FROM agents WHERE role <> 'coder' GROUP
 a AS (SELECT a.role, a.agent, row_number() OVER (PARTITION BY a.role ORDER BY coalesce(a.agent = d.d, false) DESC,
   CASE cost WHEN 'free' THEN 0 WHEN 'subscription' THEN 1 WHEN 'quota' THEN 2 WHEN 'metered' THEN 3 ELSE 9 END, a.agent) AS rank
   FROM agents a JOIN role_table r ON r.role = a.role LEFT JOIN d ON d.role = a.role WHERE NOT (r.outcome = 'diff' AND a.read_only))
-SELECT * FROM a WHERE rank <= 10""",
+SELECT * FROM a""",
 )
 def _(t):
     stated = t("agents").where("role <> 'coder'").groupBy("role").agg(F.max("agent").alias("agent"))

@@ -1,7 +1,7 @@
 """Test reports: JUnit XML, JavaScript JSON and cargo text, reduced to one counting table.
 
 Each parser takes {run, raw} and gives {run, passed, failed, skipped, failures}, where
-``failures`` names at most ``MAX_FAILURES`` failed tests (a report cut, not a data cut).
+``failures`` names every failed test.
 """
 
 from __future__ import annotations
@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_FAILURES = 20
 _CASE = "struct<_classname:string,_name:string,failure:array<string>,error:array<string>>"
 _SUITE = f"_tests:long,_failures:long,_errors:long,_skipped:long,testcase:array<{_CASE}>"
 _JUNIT = (
@@ -56,7 +55,7 @@ def parse_junit(reports: DataFrame) -> DataFrame:
     tests = _total(F.transform("_s", lambda s: s["_tests"]))
     return counted.select(
         "run", (tests - failed - skipped).alias("passed"), failed.alias("failed"), skipped.alias("skipped"),
-        F.slice("_names", 1, MAX_FAILURES).alias("failures"),
+        F.col("_names").alias("failures"),
     )
 
 
@@ -69,7 +68,7 @@ def parse_js_json(reports: DataFrame) -> DataFrame:
     return reports.withColumn("_d", F.from_json("raw", _JS)).select(
         "run", F.coalesce(doc["numPassedTests"], zero).alias("passed"), F.coalesce(doc["numFailedTests"], zero).alias("failed"),
         (F.coalesce(doc["numPendingTests"], zero) + F.coalesce(doc["numTodoTests"], zero)).alias("skipped"),
-        F.slice(names, 1, MAX_FAILURES).alias("failures"),
+        names.alias("failures"),
     )
 
 
@@ -79,7 +78,7 @@ def parse_cargo(reports: DataFrame) -> DataFrame:
     has_section = F.contains("raw", F.lit("failures:"))
     names = F.when(
         has_section & (F.col("failed") > 0),
-        F.slice(F.regexp_extract_all(F.try_element_at(F.split("raw", "failures:", 2), F.lit(2)), F.lit(CARGO_NAME), F.lit(1)), 1, MAX_FAILURES),
+        F.regexp_extract_all(F.try_element_at(F.split("raw", "failures:", 2), F.lit(2)), F.lit(CARGO_NAME), F.lit(1)),
     ).otherwise(F.array().cast("array<string>"))
     return reports.withColumn("failed", part(2)).select(
         "run", part(1).alias("passed"), "failed", part(3).alias("skipped"), names.alias("failures")
