@@ -6,7 +6,8 @@ Two exact plans:
   one matrix product per batch, giving at most ``k`` rows per query and partition;
 * otherwise both sides are assigned to pivot cells, cell pairs that cannot hold a neighbour are
   ruled out with the triangle inequality, and the remaining pairs are compared in bounded
-  blocks (the k-nearest-neighbour join of Lu et al., PVLDB 2012).
+  blocks (the k-nearest-neighbour join of Lu et al., PVLDB 2012).  Products of vectors of any
+  length are ranked by lifting them to distances first, so both plans give the same rows.
 
 Similarity is rounded to six digits before ranking and ties are broken by id, so the result does
 not depend on partitioning.
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loreworks.operators.scale import first_rows
+from loreworks.session import save_point
 
 SMALL_QUERIES = 4096
 SMALL_BYTES = 64 << 20
@@ -116,9 +118,8 @@ def _assign(df: DataFrame, key: str, pivots: np.ndarray) -> DataFrame:
     return df.select(key, "vec").mapInPandas(assign, schema)
 
 
-def _cell_pairs(q_stats: list, v_stats: list, pivots: np.ndarray, need: int, radius: float) -> list[tuple]:
+def _cell_pairs(q_stats: list, v_stats: list, pivots: np.ndarray, need: int, radius: float, slack: float) -> list[tuple]:
     """Cell pairs that may hold one of the ``need`` nearest, from cell statistics alone."""
-    slack = 1e-4
     gap = -_measure(pivots, pivots, "distance")
     out = []
     v = sorted(v_stats, key=lambda s: s["cell"])
@@ -138,8 +139,24 @@ def _cell_pairs(q_stats: list, v_stats: list, pivots: np.ndarray, need: int, rad
     return out
 
 
+def _lifted(queries: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame, tuple[float, float]]:
+    """Both sides with one more component, so that the order by distance is the order by product.
+
+    With M the greatest length, a vector v gets sqrt(M^2 - |v|^2) and a query q gets 0: products stay as
+    they are, and the squared distance is |q|^2 + M^2 - 2 q.v.  For unit vectors the component is 0.  Also
+    gives the greatest squared lengths.
+    """
+    square = lambda v: F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
+    q2, v2 = (df.agg(F.coalesce(F.max(square(F.col("vec"))), F.lit(0.0))).first()[0] for df in (queries, vectors))
+    more = lambda extra: F.concat(F.col("vec").cast("array<double>"), F.array(extra)).alias("vec")
+    rest = F.sqrt(F.greatest(F.lit(0.0), F.lit(v2) - square(F.col("vec"))))
+    return queries.select("qid", more(F.lit(0.0))), save_point(vectors.select("id", more(rest))), (q2, v2)
+
+
 def _tiled(queries: DataFrame, vectors: DataFrame, k: int, skip_self: bool, floor, metric: str, schema, block: int) -> DataFrame:
     spark = vectors.sparkSession
+    if metric == "cosine":
+        queries, vectors, longest = _lifted(queries, vectors)
     # At most MAX_PIVOTS rows reach the driver, chosen by hash so that a rerun picks the same,
     # and no more than it takes for a cell to fill a block.  Copies of one vector are one pivot.
     wanted = int(min(MAX_PIVOTS, max(1, -(-vectors.count() // block))))
@@ -150,9 +167,14 @@ def _tiled(queries: DataFrame, vectors: DataFrame, k: int, skip_self: bool, floo
         F.count(F.lit(1)).alias("n"), F.min("far").alias("lo"), F.max("far").alias("hi")
     ).collect()  # at most one row per pivot
     q_stats, v_stats = stat(qa), stat(va)
-    # A similarity floor is a distance ceiling, for unit vectors.
-    radius = np.inf if floor is None or metric != "cosine" else float(np.sqrt(max(0.0, 2 - 2 * (floor - 1e-5))))
-    pairs = _cell_pairs(q_stats, v_stats, pivots, k + int(skip_self), radius)
+    # A floor of the product is a ceiling of the lifted distance.
+    radius, slack = np.inf, 1e-4
+    if metric == "cosine":
+        q2, v2 = longest
+        slack *= max(1.0, q2 + v2)
+        if floor is not None:
+            radius = float(np.sqrt(max(0.0, q2 + v2 - 2 * (floor - 1e-5))))
+    pairs = _cell_pairs(q_stats, v_stats, pivots, k + int(skip_self), radius, slack)
 
     def blocks(stats: list) -> dict[int, int]:
         return {s["cell"]: max(1, -(-s["n"] // block)) for s in stats}
@@ -210,6 +232,7 @@ def knn_topk(
     out the pair of equal ids.  Scope filters belong on ``vectors`` before the call.
     """
     schema = _schema(queries, vectors)
+    queries = save_point(queries.select("qid", "vec"))  # read several times below, and perhaps dear to make
     # Row count and width are both proven before anything is shipped to the executors.
     head = queries.select("qid", "vec").limit(small + 1)
     width = queries.select(F.size("vec")).limit(1).collect()

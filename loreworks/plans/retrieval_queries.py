@@ -228,6 +228,28 @@ def _(t):
     return knn.knn_topk(v.select(F.col("id").alias("qid"), "vec"), v, K, skip_self=True, small=0, block=256)
 
 
+# vectors of other lengths, and some zeros: products, not angles, decide
+UNEVEN = "uneven AS (SELECT id, list_transform(vec, lambda x: x * (id % 5)) AS vec FROM vectors)"
+UNEVEN_SQL = f"WITH {UNEVEN}, {nearest('(SELECT id AS qid, vec FROM uneven)', 'nn', K, 'q.qid <> v.id').replace('vectors', 'uneven')} SELECT * FROM nn"
+
+
+def _uneven(t):
+    times = F.transform("vec", lambda x: (x * (F.col("id") % 5)).cast("float"))
+    return t("vectors").select("id", times.alias("vec"))
+
+
+@query("q08_knn_uneven", "vectors", UNEVEN_SQL)
+def _(t):
+    v = _uneven(t)
+    return knn.knn_topk(v.select(F.col("id").alias("qid"), "vec"), v, K, skip_self=True)
+
+
+@query("q08_knn_uneven_blocked", "vectors", UNEVEN_SQL)
+def _(t):
+    v = _uneven(t)
+    return knn.knn_topk(v.select(F.col("id").alias("qid"), "vec"), v, K, skip_self=True, small=0, block=256)
+
+
 @query(
     "q09_hydrate", HIT_TABLES,
     f"WITH {LISTS} SELECT qid, id, rel_path, provenance, anchor FROM dense JOIN hit_docs h ON h.chunk_id = id",

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from loreworks.operators import corpus, evaluation, knn, lexical
@@ -65,11 +66,14 @@ def test_identifier_is_found_by_its_part(spark):
     assert lexical.bm25_topk(q, lexical.searchable_text(c), 5, text="searchable").count() == 1
 
 
-def test_knn_paths_match_brute_force(spark):
+@pytest.mark.parametrize("unit", [True, False])
+def test_knn_paths_match_brute_force(spark, unit):
     rng = np.random.default_rng(5)
     v = rng.normal(size=(120, 6))
     v[40:80] = v[0]  # a third of the rows are copies
     v /= np.linalg.norm(v, axis=1, keepdims=True)
+    if not unit:  # other lengths, and zero vectors
+        v *= (np.arange(len(v)) % 4)[:, None] * 3.0
     df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id long, vec array<double>")
     q = df.withColumnRenamed("id", "qid")
     sims = np.round(v @ v.T, 6)
