@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import re
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,65 +26,79 @@ MIN_ROOM, MARK = 40, " […]"
 UNTRUSTED = ("local_foreign", "external")
 LEAST_COST = tx.MESSAGE_OVERHEAD
 
-_CLASSES = (
-    (re.compile("[Ѐ-ӿԀ-ԯ]"), tx.CYRILLIC_CPT),
-    (re.compile("[一-鿿぀-ヿ]"), tx.CJK_CPT),
-    (re.compile("[A-Za-z]"), tx.LATIN_CPT),
+# Code points of each script, as first and last, with its characters per token.
+SCRIPTS = (
+    (((0x0400, 0x04FF), (0x0500, 0x052F)), tx.CYRILLIC_CPT),
+    (((0x4E00, 0x9FFF), (0x3040, 0x30FF)), tx.CJK_CPT),
+    (((0x41, 0x5A), (0x61, 0x7A)), tx.LATIN_CPT),
 )
 
 
+def prefix_costs(text: str) -> np.ndarray:
+    """Tokens of every prefix of ``text``, from the empty one on: the estimate of
+    :func:`loreworks.functions.text.estimate_tokens`, for use inside a task."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    rest, estimate = np.ones(len(code), bool), np.zeros(len(code))
+    for spans, per in SCRIPTS:
+        mine = np.logical_or.reduce([(code >= low) & (code <= high) for low, high in spans])
+        rest &= ~mine
+        estimate += np.cumsum(mine) / per
+    estimate += np.cumsum(rest) / tx.OTHER_CPT
+    blank = np.array([c.isspace() for c in text], bool)
+    words = np.cumsum(~blank & np.concatenate([[True], blank[:-1]])) if len(code) else code
+    return np.concatenate([[0], np.maximum(estimate.astype(np.int64) + 1, words)]).astype(np.int64)
+
+
 def count_tokens(text: str) -> int:
-    """The estimate of :func:`loreworks.functions.text.estimate_tokens`, for use inside a task."""
-    if not text:
-        return 0
-    rest, est = len(text), 0.0
-    for chars, per in _CLASSES:
-        n = len(chars.findall(text))
-        rest -= n
-        est += n / per
-    return max(int(est + rest / tx.OTHER_CPT) + 1, len(text.split()))
+    return int(prefix_costs(text)[-1])
 
 
 def longest_prefix(text: str, tokens: int) -> str:
     """The longest head of ``text`` within ``tokens`` (overhead included), marked when cut."""
     room = tokens - tx.MESSAGE_OVERHEAD
-    if room <= 0:
-        return ""
-    low, high = 0, len(text)
-    while low < high:
-        mid = (low + high + 1) // 2
-        if count_tokens(text[:mid]) <= room:
-            low = mid
-        else:
-            high = mid - 1
-    head = text[:low].rstrip()
-    return head + MARK if head and low < len(text) else head
+    most = int(np.searchsorted(prefix_costs(text), room, "right")) - 1 if room > 0 else 0
+    head = text[:most].rstrip()
+    return head + MARK if head and most < len(text) else head
+
+
+def _take(call: str, bands: list[tuple[int, list]]) -> list[tuple]:
+    """(item_no, band, text, cost, how) of what goes into a request; ``bands`` in filling order, items as
+    (item_no, text, cost, truncatable).
+
+    In each band the items that fit one after the other are a prefix of the running sum of costs; behind it
+    stands one that doesn't fit, which is cut, left out or ends the filling.
+    """
+    taken, left = [], BUDGETS[call]
+    for band, items in bands:
+        room, firm = min(ALLOWANCES[call][band - 1], left), band in NEVER_EVICT
+        cost = np.array([i[2] for i in items], dtype=np.int64)
+        at = 0
+        while at < len(items):
+            fits = int(np.searchsorted(np.cumsum(cost[at:]), room, "right"))
+            taken += [(no, band, text, c, "kept") for no, text, c, _ in items[at : at + fits]]
+            spent = int(cost[at : at + fits].sum())
+            at += fits
+            room, left = room - spent, left - spent
+            if at == len(items):
+                break
+            no, text, _, may_cut = items[at]
+            head = longest_prefix(text, room) if may_cut and (firm or room > MIN_ROOM) else ""
+            if firm and not head:
+                return [*taken, (no, band, None, 0, "over budget")]
+            if may_cut and room > MIN_ROOM or head:
+                spent = count_tokens(head) + tx.MESSAGE_OVERHEAD
+                taken.append((no, band, head, spent, "truncated"))
+                room, left = room - spent, left - spent
+            at += 1
+    return taken
 
 
 def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["band", "item_no"], kind="stable")
-    call = pdf["call_type"].iloc[0]
-    budget, caps = BUDGETS[call], ALLOWANCES[call]
-    used, spent, rows = 0, {}, []
-    for item in pdf.itertuples():
-        room = min(caps[item.band - 1] - spent.get(item.band, 0), budget - used)
-        firm = item.band in NEVER_EVICT
-        if item.cost <= room:
-            text, how = item.text, "kept"
-        elif firm and not item.truncatable:
-            rows.append((item.request, item.item_no, item.band, None, 0, "over budget"))
-            break
-        elif firm or (item.truncatable and room > MIN_ROOM):
-            text, how = longest_prefix(item.text, room), "truncated"
-            if firm and not text:
-                rows.append((item.request, item.item_no, item.band, None, 0, "over budget"))
-                break
-        else:
-            continue
-        cost = item.cost if how == "kept" else count_tokens(text) + tx.MESSAGE_OVERHEAD
-        used += cost
-        spent[item.band] = spent.get(item.band, 0) + cost
-        rows.append((item.request, item.item_no, item.band, text, cost, how))
+    bands = [
+        (int(band), list(zip(g["item_no"], g["text"], g["cost"], g["truncatable"], strict=True))) for band, g in pdf.groupby("band", sort=True)
+    ]
+    rows = [(pdf["request"].iloc[0], *r) for r in _take(pdf["call_type"].iloc[0], bands)]
     return pd.DataFrame(rows, columns=["request", "item_no", "band", "text", "cost", "how"])
 
 
