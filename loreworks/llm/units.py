@@ -14,7 +14,7 @@ from itertools import chain
 import numpy as np
 
 #: Units remembered by a worker; beyond, it starts afresh.  A bound on memory, which doesn't change results.
-REMEMBERED = 1_000_000
+REMEMBERED = 700_000
 #: Characters of text cut at once.
 SLICE = 1 << 20
 
