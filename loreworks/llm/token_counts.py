@@ -67,6 +67,12 @@ def cuts_at_spaces(path: str) -> bool:
     return spec["model"]["type"] == "BPE" and '"ByteLevel"' in kinds and '"add_prefix_space": true' not in kinds
 
 
+def lowers(path: str) -> bool:
+    """Whether a tokenizer file lower-cases."""
+    with open(path, encoding="utf-8") as file:
+        return '"Lowercase"' in json.dumps(json.load(file)["normalizer"])
+
+
 class _Whole:
     """Encodes whole texts, for tokenizers whose tokens may span spaces."""
 
@@ -80,7 +86,7 @@ class _Whole:
 @lru_cache(maxsize=2)
 def counter(path: str):
     """Counter of a tokenizer file; one for each worker process."""
-    return UnitTable(library(path)) if cuts_at_spaces(path) else _Whole(library(path))
+    return UnitTable(library(path), lowers(path)) if cuts_at_spaces(path) else _Whole(library(path))
 
 
 def _count(path: str):

@@ -32,11 +32,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loreworks.llm.token_counts import cuts_at_spaces, library
+from loreworks.llm.token_counts import cuts_at_spaces, library, lowers
 from loreworks.llm.units import UnitTable, text_slices
 
 SHARD = 1 << 20
-ROUNDS = 6
+ROUNDS = 4
 #: A pair is frequent from this number of occurrences on.
 FREQUENT = 8
 NEW_RULES = 4096
@@ -56,13 +56,35 @@ class Grammar:
     id_ends: np.ndarray  # and in ids
 
 
-def _frequent(key: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+def _slots(key: np.ndarray) -> np.ndarray:
+    return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
+
+
+def _frequent(key: np.ndarray, slot: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs that occur ``least`` times or more, and how often: rare ones are ruled out by counts of hash buckets."""
-    slot = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
-    pair, count = np.unique(key[np.bincount(slot, minlength=1 << 18)[slot] >= least], return_counts=True)
+    pair, count = np.unique(key[(np.bincount(slot, minlength=1 << 20) >= least)[slot]], return_counts=True)
     return pair[count >= least], count[count >= least]
 
 
+def _rules_of(pairs: np.ndarray, key: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """Place in ``pairs`` of each key, or ``_NONE``: a table of hash slots finds all but the pairs that share one."""
+    own = _slots(pairs)
+    table = np.full(1 << 20, -1, np.int32)
+    table[own[::-1]] = np.arange(len(pairs), dtype=np.int32)[::-1]  # the first of those that share a slot
+    found = table[slot]
+    rule = np.where((found >= 0) & (pairs[found] == key), found, _NONE).astype(np.int32)
+    later = np.flatnonzero(table[own] != np.arange(len(pairs)))
+    if len(later):
+        shared = np.zeros(1 << 20, bool)
+        shared[own[later]] = True
+        at = np.flatnonzero(shared[slot] & (rule == _NONE))
+        order = later[np.argsort(pairs[later])]
+        place = np.minimum(np.searchsorted(pairs[order], key[at]), len(order) - 1)
+        hit = pairs[order][place] == key[at]
+        rule[at[hit]] = order[place[hit]]
+    return rule
+
+
 def compress(ids: np.ndarray, counts: np.ndarray, base: int, rounds: int = ROUNDS, least: int = FREQUENT, limit: int | None = None) -> Grammar:
     """Re-Pair grammar of documents given end to end.  ``limit``: rules at most; None fills 16 bits, or has no bound."""
     symbols = ids.astype(np.uint32)
@@ -77,7 +99,8 @@ def compress(ids: np.ndarray, counts: np.ndarray, base: int, rounds: int = ROUND
         inner = np.ones(len(key), bool)
         cut = ends[(ends > 0) & (ends < len(symbols))] - 1
         inner[cut] = False
-        pair, count = _frequent(key[inner], least)
+        slot = _slots(key)
+        pair, count = _frequent(key[inner], slot[inner], least)
         new = ~np.isin(pair, pairs, assume_unique=True)
         order = np.argsort(-count[new], kind="stable")[: min(NEW_RULES, limit - len(pairs))]
         fresh = pair[new][order]
@@ -87,9 +110,7 @@ def compress(ids: np.ndarray, counts: np.ndarray, base: int, rounds: int = ROUND
         right.append((fresh & np.uint64(0xFFFFFFFF)).astype(np.uint32))
         pairs = np.concatenate([pairs, fresh])
         # rules made earlier were the more frequent: a lower number goes first
-        by = np.argsort(pairs)
-        at = np.minimum(np.searchsorted(pairs, key, sorter=by), len(pairs) - 1)
-        rule = np.where((pairs[by[at]] == key) & inner, by[at], _NONE).astype(np.int32)
+        rule = np.where(inner, _rules_of(pairs, key, slot), _NONE).astype(np.int32)
         before = np.concatenate([[_NONE], rule[:-1]]).astype(np.int32)
         after = np.append(rule[1:], _NONE).astype(np.int32)
         take = (rule < _NONE) & (rule <= before) & (rule <= after)
@@ -183,7 +204,7 @@ def read_span(raw: bytes, document: int, start: int, stop: int) -> np.ndarray:
 @lru_cache(maxsize=2)
 def _table(path: str):
     encode = library(path)
-    return UnitTable(encode) if cuts_at_spaces(path) else None, encode
+    return UnitTable(encode, lowers(path)) if cuts_at_spaces(path) else None, encode
 
 
 def _size(path: str) -> int:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -39,11 +39,19 @@ def text_slices(texts: list[str], limit: int = SLICE) -> Iterator[tuple[int, int
         at = to
 
 
+#: Marks that both patterns tell from the letter before them.
+TAILS = frozenset(".,!?;:")
+
+
 class UnitTable:
-    """Ids of the units seen so far.  ``encode`` gives the ids of each of a list of distinct strings."""
+    """Ids of the units seen so far.  ``encode`` gives the ids of each of a list of distinct strings.
+
+    A unit that ends in a letter and a mark has the ids of what is before the mark, and the mark's.  ``lower``:
+    the tokenizer lower-cases, so units of ASCII letters are encoded in lower case.
+    """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[list[int]]]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[str]], Iterable[list[int]]], lower: bool = False):
+        self.encode, self.lower = encode, lower
         self._clear()
 
     def _clear(self) -> None:
@@ -60,11 +68,7 @@ class UnitTable:
             more[: len(have)] = have
             setattr(self, name, more)
 
-    def _learn(self, known: dict[str, int], units: set[str], lead: str) -> None:
-        new = list(units.difference(known))
-        if not new:
-            return
-        found = list(self.encode([lead + u for u in new] if lead else new))
+    def _store(self, known: dict[str, int], new: list[str], found: list) -> None:
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         total = int(sizes.sum())
         self._grow("ids", self.used + total)
@@ -75,19 +79,49 @@ class UnitTable:
         self.used += total
         self.count += len(new)
 
+    def _known(self, code: int) -> list[int]:
+        return self.ids[self.begin[code] : self.begin[code + 1]].tolist()
+
+    def _plain(self, unit: str) -> tuple[str, str]:
+        """What to encode for a unit, and the mark behind it."""
+        tail = ""
+        if "<" in unit:  # perhaps a special token
+            return unit, tail
+        if len(unit) > 1 and unit[-1] in TAILS and unit[-2].isalpha() and unit[-2] < "\u0100":
+            unit, tail = unit[:-1], unit[-1]
+        return (unit.lower() if self.lower and unit.isascii() else unit), tail
+
+    def _learn(self, known: dict[str, int], new: list[str], lead: str) -> None:
+        plain = list(map(self._plain, new))
+        bases = list({b for b, _ in plain}.difference(known))
+        self._store(known, bases, list(self.encode([lead + b for b in bases] if lead else bases)) if bases else [])
+        marks = {t for _, t in plain if t}.difference(self.first)
+        if marks:
+            self._store(self.first, list(marks), list(self.encode(list(marks))))
+        tails = {t: self._known(self.first[t]) for _, t in plain if t}
+        more = [(u, b, t) for u, (b, t) in zip(new, plain, strict=True) if u not in known]
+        self._store(known, [u for u, *_ in more], [self._known(known[b]) + tails[t] if t else self._known(known[b]) for _, b, t in more])
+
+    def _find(self, known: dict[str, int], units: list[str], lead: str) -> np.ndarray:
+        codes = np.fromiter(map(known.get, units, repeat(-1)), np.int64, len(units))
+        lacking = np.flatnonzero(codes < 0)
+        if len(lacking):
+            self._learn(known, list({units[i] for i in lacking.tolist()}), lead)
+            codes[lacking] = [known[units[i]] for i in lacking.tolist()]
+        return codes
+
     def _codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Entry of each unit, and the number of units of each text."""
         if self.count > REMEMBERED:
             self._clear()
         units = [cut(t) for t in texts]
-        heads = [u[0] for u in units]
         sizes = np.fromiter(map(len, units), np.int64, len(units))
-        flat = list(chain.from_iterable(units))
-        at = np.cumsum(sizes) - sizes
-        self._learn(self.first, set(heads), "")
-        self._learn(self.rest, set(flat), " ")
-        codes = np.fromiter(map(self.rest.__getitem__, flat), np.int64, len(flat))
-        codes[at] = np.fromiter(map(self.first.__getitem__, heads), np.int64, len(heads))
+        heads = [u[0] for u in units]
+        codes = np.full(int(sizes.sum()), -1, np.int64)
+        inner = np.ones(len(codes), bool)
+        inner[np.cumsum(sizes) - sizes] = False
+        codes[inner] = self._find(self.rest, [x for u in units for x in u[1:]], " ")
+        codes[~inner] = self._find(self.first, heads, "")
         return codes, sizes
 
     def counts(self, texts: list[str]) -> np.ndarray:
