@@ -240,10 +240,13 @@ def _repeats(length: int):
         data = np.frombuffer(b"".join(blobs["bytes"]), np.uint8)
         own = np.flatnonzero(~repeated)
         size = starts[own] + length - 1
-        row = np.repeat(np.arange(len(own)), size)
-        place = np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(span - 1 - left[own], size)
+        edge = np.concatenate([[0], np.cumsum(size)])
         symbols = np.zeros((span - 1 + length, len(own)), np.uint8)
-        symbols[place, row] = data
+        for a in range(0, len(own), 4096):  # laid out a few at a time: the places take more room than the bytes
+            n = size[a : a + 4096]
+            row = np.repeat(np.arange(a, a + len(n)), n)
+            place = np.arange(n.sum()) + np.repeat(span - 1 - left[own[a : a + 4096]] - (edge[a : a + len(n)] - edge[a]), n)
+            symbols[place, row] = data[edge[a] : edge[a + len(n)]]
         rank = np.empty(len(own), np.int64)
         anchor = first[own] + left[own]
         by = np.lexsort((anchor, ids[own]))
