@@ -19,7 +19,6 @@ from loreworks.session import save_point
 
 SEGMENT_ROWS = 65_536
 NEEDLE_LIMIT = 256
-GRAM = 6
 
 
 def running(
@@ -134,8 +133,8 @@ def contains_join(
 
     Literal, case-sensitive matching (callers lower-case both sides).  A needle set proven to
     have at most ``limit`` values is tested in a single narrow pass over the texts.  A larger
-    one is found by equi-join on the needle's first characters against the substrings of that
-    length in each text, and the match is then verified.  Empty needles match nothing.
+    one is found by equi-join of whole needles to all pieces of a text of a needle's length, by
+    hash, and verified.  Equal texts are searched once.  Empty needles match nothing.
     """
     distinct = needles.select(F.col(needle).alias("_needle")).where(F.length("_needle") > 0).distinct()
     head = [r[0] for r in distinct.limit(limit + 1).collect()]
@@ -148,26 +147,21 @@ def contains_join(
             )
             hits = texts.withColumn("_needle", F.explode(found))
     else:
-        keyed = distinct.withColumn("_gram", F.substring("_needle", 1, GRAM))
-        grams = F.array_distinct(
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))),
-                lambda i: F.substring(F.col(text), i, F.lit(GRAM)),
-            )
+        # only digests of texts and hashes of their pieces are shuffled, and the whole needle is the key
+        widths = [r[0] for r in distinct.select(F.length("_needle")).distinct().collect()]
+        pieces = F.transform(
+            F.sequence(F.lit(1), F.size("_chars") - F.col("_w") + 1),
+            lambda i: F.xxhash64(F.array_join(F.slice("_chars", i, F.col("_w")), "")),
         )
-        # A needle shorter than the gram is its own gram; every length up to GRAM is looked up.
-        widths = [r[0] for r in keyed.select(F.length("_gram")).distinct().collect()]
-
-        def heads(width: int) -> Column:
-            return F.transform(grams, lambda g: F.substring(g, F.lit(1), F.lit(width)))
-
-        looked = F.array_distinct(F.flatten(F.array(*[heads(w) for w in widths])))
-        hits = (
-            texts.withColumn("_gram", F.explode(looked))
-            .join(keyed, "_gram")
-            .where(F.contains(F.col(text), F.col("_needle")))
-            .drop("_gram")
+        keyed = texts.withColumn("_digest", F.sha2(F.col(text), 256))
+        seen = (
+            keyed.select("_digest", F.col(text).alias("_text")).where(F.col("_text") != "").dropDuplicates(["_digest"])
+            .select("_digest", F.split("_text", "").alias("_chars"), F.explode(F.array(*[F.lit(w) for w in widths])).alias("_w"))
+            .where(F.size("_chars") >= F.col("_w"))
+            .select("_digest", F.explode(F.array_distinct(pieces)).alias("_hash"))
         )
+        found = seen.join(distinct.withColumn("_hash", F.xxhash64("_needle")), "_hash").select("_digest", "_needle").distinct()
+        hits = keyed.join(found, "_digest").where(F.contains(F.col(text), F.col("_needle"))).drop("_digest")
     return hits.join(needles, F.col("_needle") == needles[needle]).drop("_needle")
 
 

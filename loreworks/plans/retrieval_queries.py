@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from loreworks.functions import text as tx
 from loreworks.operators import corpus, knn, lexical
 from loreworks.operators import retrieval as rt
+from loreworks.operators.scale import contains_join
 from loreworks.plans.corpus_queries import CAMEL_SQL, WORD_SQL, lex_sql
 from loreworks.plans.registry import query
 
@@ -466,3 +467,16 @@ def _(t):
 )
 def _(t):
     return rt.untrusted_sources(_hits(t)).select("qid", F.array_join("sources", " ").alias("sources"))
+
+
+# more needles than are shipped at once: words of the benchmark in whole documents
+@query(
+    "q22_contains_many", "",
+    """
+WITH w AS (SELECT DISTINCT word FROM (SELECT unnest(string_split_regex(text, '\\s+')) AS word FROM benchmark) x WHERE length(word) >= 6)
+SELECT word, count(*) AS documents FROM w JOIN documents d ON contains(d.text, word) GROUP BY 1""",
+)
+def _(t):
+    words = t("benchmark").select(F.explode(F.split("text", r"\s+")).alias("word")).where(F.length("word") >= 6).distinct()
+    found = contains_join(t("documents").select("doc_id", "text"), words, "text", "word")
+    return found.groupBy("word").agg(F.count(F.lit(1)).alias("documents"))
