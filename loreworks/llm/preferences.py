@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loreworks.operators.scale import dense_number
+
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 ASSISTANT = "assistant"
 
@@ -77,7 +79,25 @@ def replies_of_the_next(conversations: DataFrame) -> tuple[DataFrame, DataFrame]
     turns = conversations.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
     last = turns.where(F.col("role") == ASSISTANT).groupBy("pair_id").agg(F.max(F.struct("turn", "text")).alias("own"))
     other = last.select((F.col("pair_id") - 1).alias("pair_id"), F.col("own.text").alias("reply"))
-    ends = last.join(other, "pair_id").select("pair_id", F.col("own.turn").alias("end"), "reply")
+    return _sides(turns, last.join(other, "pair_id").select("pair_id", F.col("own.turn").alias("end"), "reply"))
+
+
+def replies_of_the_next_with_one(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As ``replies_of_the_next``, with the reply of the next conversation that has one, however far its number is.
+
+    Conversations with an assistant turn are numbered by conv_id without gaps; after the last comes the first.  Left
+    out are those without such a turn (they have no completion), and one that is alone in having it.
+    """
+    turns = conversations.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text").where("pair_id is not null and turn is not null")
+    last = turns.where(F.col("role") == ASSISTANT).groupBy("pair_id").agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("own"))
+    numbered = dense_number(last, ["pair_id"], "nth", start=-1)
+    n = numbered.count()
+    other = numbered.select(F.pmod(F.col("nth") - 1, F.lit(n)).alias("nth"), F.col("own.text").alias("reply")).where(F.lit(n > 1))
+    return _sides(turns, numbered.join(other, "nth").select("pair_id", F.col("own.turn").alias("end"), "reply"))
+
+
+def _sides(turns: DataFrame, ends: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chosen and rejected turns, given the place of the last assistant turn and the ``reply`` that replaces it."""
     chosen = turns.join(ends.select("pair_id"), "pair_id", "left_semi")
     before = turns.join(ends, "pair_id").where("turn < end").select("pair_id", "turn", "role", "text")
     rejected = before.unionByName(ends.select("pair_id", F.col("end").alias("turn"), F.lit(ASSISTANT).alias("role"), F.col("reply").alias("text")))
@@ -118,3 +138,17 @@ parts AS (
   FROM placed GROUP BY 1)
 SELECT *, chosen_loss <> '' AND rejected_loss <> '' AS usable FROM parts
 """
+
+#: The same rows by SQL, for ``format_pairs(*replies_of_the_next_with_one(conversations))``: only the ends differ.
+TWIN_ALL = TWIN.replace(
+    """
+  SELECT pair_id, max(turn) AS "end", arg_max(text, turn) AS reply FROM turns WHERE role = 'assistant' GROUP BY 1),
+ends AS (
+  SELECT a.pair_id, a."end", b.reply FROM last a JOIN last b ON b.pair_id = a.pair_id + 1),""",
+    """
+  SELECT pair_id, max(turn) AS "end", arg_max(coalesce(text, ''), row(turn, coalesce(text, ''))) AS reply,
+         row_number() OVER (ORDER BY pair_id) - 1 AS nth, count(*) OVER () AS n
+  FROM turns WHERE role = 'assistant' GROUP BY 1),
+ends AS (
+  SELECT a.pair_id, a."end", b.reply FROM last a JOIN last b ON b.nth = (a.nth + 1) % a.n WHERE a.n > 1),""",
+)

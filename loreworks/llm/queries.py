@@ -55,6 +55,10 @@ def op8_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preferences.format_pairs(*preferences.replies_of_the_next(_table(spark, sf_dir, "conversations")))
 
 
+def op8_preference_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preferences.format_pairs(*preferences.replies_of_the_next_with_one(_table(spark, sf_dir, "conversations")))
+
+
 def op9_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -76,6 +80,7 @@ _QUERIES = [
     op6_suffix_order_dedup,
     op7_importance_resampling,
     op8_preference_pairs,
+    op8_preference_pairs_all,
     op9_trie_bpe,
     op10_prob_minhash,
     pipeline,
@@ -94,4 +99,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def twins() -> dict[str, str]:
-    return {"op1_block_matrix_search": block_search.TWIN, "op8_preference_pairs": preferences.TWIN}
+    return {
+        "op1_block_matrix_search": block_search.TWIN,
+        "op8_preference_pairs": preferences.TWIN,
+        "op8_preference_pairs_all": preferences.TWIN_ALL,
+    }

@@ -219,6 +219,19 @@ def test_preference_pairs(spark):
     assert preferences.format_pairs(frames[0].limit(0), frames[1]).count() == 0
 
 
+def test_every_conversation_with_a_reply_is_paired(spark):
+    rows = [(c, t, r, x) for c, reply in ((3, "a"), (7, "b"), (8, None), (20, "c")) for t, r, x in ((0, "user", f"q{c}"), (1, "assistant", reply))]
+    rows += [(5, 0, "user", "no reply"), (None, 0, "assistant", "x"), (9, None, "assistant", "x")]
+    table_ = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = {r.pair_id: r for r in preferences.format_pairs(*preferences.replies_of_the_next_with_one(table_)).collect()}
+    said = lambda text: text.removeprefix("<|im_start|>assistant\n").removesuffix("<|im_end|>\n")
+    assert {k: (said(r.chosen), said(r.rejected)) for k, r in found.items()} == {3: ("a", "b"), 7: ("b", ""), 8: ("", "c"), 20: ("c", "a")}
+    assert all(r.prompt_turns == 1 for r in found.values())
+    alone = table_.where("conv_id = 3")
+    assert preferences.format_pairs(*preferences.replies_of_the_next_with_one(alone)).count() == 0
+    assert preferences.format_pairs(*preferences.replies_of_the_next_with_one(alone.limit(0))).count() == 0
+
+
 # -- vector search --------------------------------------------------------------------------------------
 
 
