@@ -3,7 +3,7 @@
 Documents are encoded in ascending doc_id order and collected into shards of about ``SHARD`` ids.  Each shard has
 a grammar of its own: in rounds, the frequent pairs of neighbouring symbols (never across documents) get
 nonterminals and are replaced, where two overlap the more frequent one; pairs that have a rule already are
-replaced too.  A shard stores its rules, the length each rule expands to, and the symbols, so that any span of
+replaced too.  Rounds end when no pair is frequent, or when the rules have run out and none is left to apply.  A shard stores its rules, the length each rule expands to, and the symbols, so that any span of
 a document is decoded without the rest: lengths are summed to find the symbols that cover it.
 
 The files are a Parquet table in the shared folder, a row for each shard: ``part, seq`` (their order),
@@ -21,6 +21,7 @@ no shards; further columns are left alone.
 
 from __future__ import annotations
 
+import itertools
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,7 +37,6 @@ from loreworks.llm.token_counts import cuts_at_spaces, library, lowers
 from loreworks.llm.units import UnitTable, text_slices
 
 SHARD = 1 << 20
-ROUNDS = 4
 #: A pair is frequent from this number of occurrences on.
 FREQUENT = 8
 NEW_RULES = 4096
@@ -85,14 +85,14 @@ def _rules_of(pairs: np.ndarray, key: np.ndarray, slot: np.ndarray) -> np.ndarra
     return rule
 
 
-def compress(ids: np.ndarray, counts: np.ndarray, base: int, rounds: int = ROUNDS, least: int = FREQUENT, limit: int | None = None) -> Grammar:
-    """Re-Pair grammar of documents given end to end.  ``limit``: rules at most; None fills 16 bits, or has no bound."""
+def compress(ids: np.ndarray, counts: np.ndarray, base: int, rounds: int | None = None, least: int = FREQUENT, limit: int | None = None) -> Grammar:
+    """Re-Pair grammar of documents given end to end.  ``rounds``: at most; None goes on to the end.  ``limit``: rules at most; None fills 16 bits, or has no bound."""
     symbols = ids.astype(np.uint32)
     ends = np.cumsum(counts)
     if limit is None:
         limit = (1 << 16) - base if base < 1 << 16 else (1 << 31) - base
     pairs, left, right = np.zeros(0, np.uint64), [], []
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         if len(symbols) < 2:
             break
         key = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]

@@ -104,6 +104,19 @@ def test_grammar_round_trip_and_random_access():
     assert token_files.expand(wide, token_files.unpack(token_files.pack(wide)).symbols).tolist() == [70_000, 70_001] * 50
 
 
+def test_grammar_leaves_no_frequent_pair():
+    rng = np.random.default_rng(8)
+    passage = rng.integers(2, 1000, 300)
+    docs = [passage] * 400 + [rng.integers(2, 1000, 300) for _ in range(50)] + [np.full(5000, 7)]
+    counts = np.array([len(d) for d in docs])
+    grammar = token_files.compress(np.concatenate(docs), counts, 1000)
+    assert token_files.expand(grammar, grammar.symbols).tolist() == np.concatenate(docs).tolist()
+    begin = np.concatenate([[0], grammar.ends[:-1]])
+    left = Counter(p for b, e in zip(begin, grammar.ends) for p in itertools.pairwise(grammar.symbols[b:e].tolist()))
+    assert max(left.values()) < token_files.FREQUENT and grammar.length.max() >= 300
+    assert all(e - b == 1 for b, e in zip(begin[:400], grammar.ends))
+
+
 @pytest.mark.parametrize("shard", [1 << 20, 40])
 def test_token_files_keep_order(spark, tmp_path, shard):
     texts = odd_texts(80, 9) + [None, "", "The same", "The same", prose(500, 2)]
