@@ -37,7 +37,7 @@ ROWS = 4
 CENTRES = 2
 SIMILARITY = 0.8
 #: Standard deviations by which the registers may understate the similarity of a pair that is verified.
-SLACK = 4.0
+SLACK = 5.0
 TILE = 4096
 SLICE = 1 << 19
 _U = np.uint64

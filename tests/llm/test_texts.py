@@ -162,6 +162,14 @@ def test_registers_estimate_weighted_similarity():
     assert len(set(neardup.prob_minhash(np.zeros(1, int), rng.integers(0, 9, 1).astype(np.uint64), np.ones(1), 1, 16)[0])) == 1
 
 
+@pytest.mark.parametrize("seed", [48469, 70472])  # 63 and 61 equal registers of 100, at a similarity of exactly 0.8
+def test_pairs_whose_registers_understate_them_are_verified(spark, seed):
+    words = [f"w{seed}x{i}" for i in range(14)]
+    texts = [" ".join(words), " ".join(words[:12])]
+    assert brute_classes(texts) == [0, 0]
+    assert [r.class_id for r in neardup.near_duplicates(table(spark, texts)).collect()] == [0, 0]
+
+
 def test_near_duplicates_edge_cases(spark):
     text = prose(50, 1)
     rows = [(None, text, "en", "s", 1), (4, text, "en", "s", 1), (4, text, "en", "s", 1), (7, text, None, None, None), (9, None, None, None, None)]
