@@ -10,7 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loreworks.llm import block_search, bpe, decontaminate, neardup, pitman_yor, preferences, quality, suffix_dedup, token_counts, token_files
+from loreworks.llm import (
+    block_search,
+    bpe,
+    cover_tree,
+    decontaminate,
+    grouped_join,
+    neardup,
+    pitman_yor,
+    preferences,
+    prefix_trie,
+    quality,
+    suffix_dedup,
+    token_counts,
+    token_files,
+)
 from loreworks.session import shared_dir, ship_package
 
 
@@ -67,6 +81,19 @@ def op10_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouped_join.linked_components(_table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(*prefix_trie.with_shared_heads(prefix_trie.numbered_turns(_table(spark, sf_dir, "conversations"))))
+
+
+def op13_cover_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cover_tree.noisy_labels(cover_tree.whole_vectors(_table(spark, sf_dir, "embeddings")))
+    return cover_tree.hard_negatives(rows, rows.where("vec_id % 100 = 0"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -83,6 +110,9 @@ _QUERIES = [
     op8_preference_pairs_all,
     op9_trie_bpe,
     op10_prob_minhash,
+    op11_grouped_prefix_join,
+    op12_prefix_trie,
+    op13_cover_tree_negatives,
     pipeline,
 ]
 
@@ -103,4 +133,7 @@ def twins() -> dict[str, str]:
         "op1_block_matrix_search": block_search.TWIN,
         "op8_preference_pairs": preferences.TWIN,
         "op8_preference_pairs_all": preferences.TWIN_ALL,
+        "op11_grouped_prefix_join": grouped_join.TWIN,
+        "op12_prefix_trie": prefix_trie.TWIN,
+        "op13_cover_tree_negatives": cover_tree.TWIN,
     }
