@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loreworks.operators.scale import attach_row, contains_join, first_rows
+from loreworks.session import save_point
 
 RECALL_GATE = 0.80
 NEGLIGIBLE_SHARE, MARGINAL_SHARE = 0.02, 0.15
-BUCKETS = 4096
 
 
 def ranked_files(ranked: DataFrame, kmax: int) -> DataFrame:
@@ -113,16 +113,18 @@ def order_stats(samples: DataFrame, by: list[str], value: str, picks: dict[str,
     """{by…, n, min, picks…}: the samples at given zero-based positions (columns over ``n``).
 
     Exact, and without sorting a group in one task.  Samples are counted per distinct value
-    (map-side), the values of a group are put into at most ``BUCKETS`` ranges, the ranges'
-    counts tell which range holds a position, and only that range is walked.
+    (map-side) and the values are dealt into ranges whose bounds Spark samples, so that ranges
+    are alike in size wherever the values lie.  The ranges' counts tell which range holds a
+    position, and only that range is walked.  The ranges are saved, so a lost executor cannot shift them.
     """
     have = samples.where(F.col(value).isNotNull())
     hist = have.groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    size = hist.groupBy(*by).agg(F.sum("_c").alias("n"), F.min("_v").alias("min"), F.max("_v").alias("_hi"))
-    spot = F.floor((F.col("_v") - F.col("min")) / (F.col("_hi") - F.col("min")) * BUCKETS)
-    ranged = _match(hist, size, by).withColumn("_b", F.when(F.col("_hi") > F.col("min"), spot).otherwise(0)).drop("_hi")
+    parts = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = save_point(hist.repartitionByRange(parts, *by, "_v").withColumn("_b", F.spark_partition_id()))
+    size = ranged.groupBy(*by).agg(F.sum("_c").alias("n"), F.min("_v").alias("min"))
     upto = lambda keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    coarse = ranged.groupBy(*by, "n", "_b").agg(F.sum("_c").alias("_c")).withColumn("_cum", F.sum("_c").over(upto(by, "_b")))
+    counted = ranged.groupBy(*by, "_b").agg(F.sum("_c").alias("_c")).withColumn("_cum", F.sum("_c").over(upto(by, "_b")))
+    coarse = _match(counted, size.select(*by, "n"), by)
     asked = F.array(*[F.struct(F.lit(k).alias("name"), v.cast("long").alias("at")) for k, v in picks.items()])
     here = (F.col("_p.at") < F.col("_cum")) & (F.col("_p.at") >= F.col("_cum") - F.col("_c"))
     target = coarse.withColumn("_p", F.explode(asked)).where(here).select(
@@ -133,7 +135,7 @@ def order_stats(samples: DataFrame, by: list[str], value: str, picks: dict[str,
     )
     found = walked.where((F.col("_rest") < F.col("_cum")) & (F.col("_rest") >= F.col("_cum") - F.col("_c")))
     wide = found.groupBy(*by).agg(*[F.max(F.when(F.col("_name") == k, F.col("_v"))).alias(k) for k in picks])
-    return _match(size.drop("_hi"), wide, by).select(*by, "n", "min", *picks)
+    return _match(size, wide, by).select(*by, "n", "min", *picks)
 
 
 def _middle() -> dict[str, Column]:

@@ -218,10 +218,7 @@ def fuse_and_select(
 
 def lexical_list(terms: DataFrame, index: Index, k: int = CANDIDATES) -> DataFrame:
     """BM25 list of the given terms; weights are corpus-wide, a scope only filters the hits."""
-    scores = lexical.bm25_scores(terms, index.hits)
-    if index.scope:
-        scores = scores.join(index.chunks.select("chunk_id"), "chunk_id", "left_semi")
-    return lexical.ranked(scores, k).withColumnRenamed("chunk_id", "id")
+    return lexical.bm25_best(terms, index.hits, k, chunks=index.chunks if index.scope else None).withColumnRenamed("chunk_id", "id")
 
 
 def retrieve(

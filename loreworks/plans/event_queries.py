@@ -145,9 +145,8 @@ def _(t):
     return ev.fold_turns(t("log"))
 
 
-@query(
-    "l11_pair_tool_calls", "log",
-    f"""
+#: Twin of L-11 on tables and on streams.
+CALL_PAIRS = f"""
 WITH c AS (SELECT seq, turn_id, {js('tool')} AS tool, CASE WHEN type = 'tool.started' THEN 1 ELSE -1 END AS step,
   coalesce({js('ok')}, 'false') = 'true' AS ok FROM log WHERE type IN ('tool.started', 'tool.finished') AND turn_id IS NOT NULL),
 s AS (SELECT *, sum(step) OVER (PARTITION BY turn_id, tool ORDER BY seq) AS s FROM c),
@@ -156,8 +155,10 @@ m AS (SELECT *, coalesce(min(s) OVER (PARTITION BY turn_id, tool ORDER BY seq RO
 v AS (SELECT *, s - least(low, 0) + CASE WHEN step < 0 THEN 1 ELSE 0 END AS lvl FROM m WHERE NOT (step < 0 AND s < least(was, 0))),
 p AS (SELECT *, lag(seq) OVER (PARTITION BY turn_id, tool, lvl ORDER BY seq) AS opened FROM v)
 SELECT b.turn_id, b.tool, b.seq AS start_seq, e.seq AS finish_seq, e.ok FROM p b
-LEFT JOIN p e ON e.step < 0 AND e.opened = b.seq WHERE b.step > 0""",
-)
+LEFT JOIN p e ON e.step < 0 AND e.opened = b.seq WHERE b.step > 0"""
+
+
+@query("l11_pair_tool_calls", "log", CALL_PAIRS)
 def _(t):
     return ev.pair_tool_calls(t("log"), segment=500)
 

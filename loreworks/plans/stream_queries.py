@@ -5,14 +5,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from loreworks.operators import corpus
-from loreworks.plans.event_queries import js
+from loreworks.plans.event_queries import CALL_PAIRS, js
 from loreworks.plans.registry import query
 from loreworks.session import shared_dir
 from loreworks.sources.files import Rules
-from loreworks.sources.tables import read_index, write_index
 from loreworks.streaming import changes as ch
+from loreworks.streaming import late
 from loreworks.streaming import state as st
+from loreworks.streaming import stateful as sf
 
 CHANGE_RULES = Rules(deny=("**/private/**", "private/*"), exclude=("**/node_modules/**", "node_modules/*"))
 DELAY = "10 minutes"
@@ -63,32 +63,63 @@ def _(t):
     return _run(t, ch.admit_changes(changed, CHANGE_RULES).select("event_id", "rel_path"), "admitted")
 
 
+def _lines(live):
+    """Chunks of a document: its lines that are not empty, as SQL can cut them too."""
+    cut = live.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "text")).where("text <> ''")
+    return cut.select("doc_id", F.concat_ws("-", "doc_id", "ordinal").alias("chunk_id"), "ordinal", F.lit("").alias("anchor"), "text")
+
+
+def _sizes(frames):
+    """A stand-in for an embedding that SQL can compute: characters, and those of the first word."""
+    for pdf in frames:
+        pdf["vec"] = [[float(len(x)), float(len(x.split(" ")[0]))] for x in pdf["text"]]
+        yield pdf[["text_hash", "vec"]]
+
+
+def _reindexed(t):
+    """Folder of an index that took the old half of the documents in one batch and then the changes as a stream."""
+    root = _work(t, "index")
+    docs = t("docs").select("doc_id", "collection", "project", "rel_path", "kind", "text").withColumn("deleted", F.lit(False))
+    old = F.when(F.col("doc_id") % 4 == 0, F.col("text")).otherwise(F.concat(F.lit("old\n"), F.substring("text", 1, 40)))
+    ch.create_index(t.spark, root)
+    ch.reindex_batch(docs.where("doc_id % 4 < 2").withColumn("text", old), root, _sizes, _lines)
+    feed = _work(t, "feed")
+    docs.withColumn("deleted", F.col("doc_id") % 13 == 5).withColumn("ts", F.timestamp_seconds("doc_id")).write.parquet(feed)
+    stream = t.spark.readStream.schema(t.spark.read.parquet(feed).schema).parquet(feed)
+    ch.reindex_stream(stream, root, root + "-state", _sizes, _lines).awaitTermination()
+    return root
+
+
+LIVE_LINES = """l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS ordinal FROM docs WHERE doc_id % 13 <> 5),
+k AS (SELECT doc_id, doc_id || '-' || ordinal AS chunk_id, ordinal, line FROM l WHERE line <> '')"""
+
+
 @query(
     "w03_reindex_stream", "docs",
     """
 SELECT CASE WHEN doc_id % 13 = 5 THEN 'removed' WHEN doc_id % 4 = 0 THEN 'unchanged' WHEN doc_id % 4 = 1 THEN 'changed' ELSE 'new' END AS action, count(*) AS n FROM docs GROUP BY 1""",
 )
 def _(t):
-    root = _work(t, "index")
-    docs = t("docs").select("doc_id", "collection", "project", "rel_path", "kind", "text")
-    old = docs.where("doc_id % 4 < 2").withColumn("content_hash", F.when(F.col("doc_id") % 4 == 0, F.sha2("text", 256)).otherwise("old"))
-    write_index(old.select("doc_id", "content_hash"), f"{root}/hashes")
-    seed = t("docs").limit(0)
-    write_index(
-        seed.select("doc_id", F.lit("").alias("chunk_id"), F.lit(0).cast("long").alias("ordinal"), F.lit("").alias("anchor"), "text", F.lit("").alias("text_hash"))
-        .unionByName(t("docs").where("doc_id % 4 < 2").select("doc_id", F.concat(F.lit("o"), F.col("doc_id").cast("string")).alias("chunk_id"), F.lit(0).cast("long").alias("ordinal"), F.lit("a").alias("anchor"), "text", F.sha2("text", 256).alias("text_hash"))),
-        f"{root}/chunks",
-    )
-    write_index(
-        t("docs").where("doc_id % 4 < 2").select("doc_id", F.concat(F.lit("o"), F.col("doc_id").cast("string")).alias("chunk_id"), F.array(F.lit(1.0).cast("float")).alias("vec")),
-        f"{root}/vectors",
-    )
-    feed = _work(t, "feed")
-    docs.withColumn("deleted", F.col("doc_id") % 13 == 5).withColumn("ts", F.timestamp_seconds("doc_id")).write.parquet(feed)
-    stream = t.spark.readStream.schema(t.spark.read.parquet(feed).schema).parquet(feed)
-    ch.reindex_stream(stream, root, root + "-state", corpus.hashing_embedder(8)).awaitTermination()
-    assert not read_index(t.spark, f"{root}/hashes").where("doc_id % 13 = 5").limit(1).collect()
-    return t.spark.read.parquet(f"{root}/log").groupBy("action").agg(F.sum("n").alias("n"))
+    return t.spark.read.parquet(f"{_reindexed(t)}/log").groupBy("action").agg(F.sum("n").alias("n"))
+
+
+@query("w03_index_hashes", "docs", "SELECT doc_id, sha256(text) AS content_hash FROM docs WHERE doc_id % 13 <> 5")
+def _(t):
+    return ch.index_tables(t.spark, _reindexed(t))[0].read()
+
+
+@query("w03_index_chunks", "docs", f"WITH {LIVE_LINES} SELECT doc_id, chunk_id, ordinal, sha256(line) AS text_hash FROM k")
+def _(t):
+    return ch.index_tables(t.spark, _reindexed(t))[1].read().select("doc_id", "chunk_id", F.col("ordinal").cast("long").alias("ordinal"), "text_hash")
+
+
+@query(
+    "w03_index_vectors", "docs",
+    f"WITH {LIVE_LINES} SELECT doc_id, chunk_id, length(line)::DOUBLE AS size, length(string_split(line, ' ')[1])::DOUBLE AS head FROM k",
+)
+def _(t):
+    v = ch.chunk_vectors(t.spark, _reindexed(t))
+    return v.select("doc_id", "chunk_id", F.col("vec")[0].cast("double").alias("size"), F.col("vec")[1].cast("double").alias("head"))
 
 
 def _approvals(t):
@@ -197,3 +228,72 @@ def _(t):
     return out.select(F.unix_micros("start").alias("start_us"), "type", "n")
 
 
+def _in_parts(t, table: str, parts: list, start, name: str) -> None:
+    """Feed a table to a stream part by part; the stream is stopped after each and goes on from its checkpoint."""
+    feed = _work(t, name)
+    rows = t(table).withColumn("ts", F.col("ts").cast("timestamp"))
+    for part in parts:
+        rows.where(part).write.mode("append").parquet(feed)
+        start(t.spark.readStream.schema(t.spark.read.parquet(feed).schema).parquet(feed)).awaitTermination()
+
+
+def _halves(t) -> list:
+    middle = t("log").agg(F.percentile_approx("seq", 0.5)).first()[0]
+    return [F.col("seq") <= middle, F.col("seq") > middle]
+
+
+@query("l11_tool_calls_stream", "log", CALL_PAIRS)
+def _(t):
+    out = _work(t, "calls")
+    _in_parts(t, "log", _halves(t), lambda s: _updates(sf.tool_calls(s), out), "calls-feed")
+    return sf.settle_calls(t.spark.read.parquet(out))
+
+
+def _updates(stream, out: str):
+    return st.run_updates(stream, out, out + "-state")
+
+
+UNTIL_BOOT = f"""WITH {APPROVALS}, b AS (SELECT seq FROM log WHERE type = 'system.boot'),
+qq AS (SELECT approval_id, seq FROM q WHERE waits AND approval_id IS NOT NULL),
+a AS (SELECT qq.approval_id, qq.seq, min(r.seq) AS answered, arg_min(coalesce(resolution, 'resolved'), r.seq) AS res FROM qq JOIN r ON r.approval_id = qq.approval_id AND r.seq > qq.seq GROUP BY 1, 2),
+n AS (SELECT qq.seq, min(b.seq) AS boot FROM qq JOIN b ON b.seq > qq.seq GROUP BY 1)
+SELECT approval_id, seq, CASE WHEN boot IS NOT NULL AND (answered IS NULL OR boot < answered) THEN 'cleared' ELSE coalesce(res, 'open') END AS outcome
+FROM qq LEFT JOIN a USING (approval_id, seq) LEFT JOIN n USING (seq)"""
+
+
+@query("w04_dispatched_until_boot", "log", UNTIL_BOOT)
+def _(t):
+    return sf.dispatched_until_boot(t("log")).select("approval_id", "seq", "outcome")
+
+
+@query("w04_dispatched_stream", "log", UNTIL_BOOT)
+def _(t):
+    out = _work(t, "requests")
+    _in_parts(t, "log", _halves(t), lambda s: _updates(sf.dispatched_requests(s), out), "requests-feed")
+    return sf.settle_requests(t.spark.read.parquet(out)).select("approval_id", "seq", "outcome")
+
+
+def _routed(t) -> str:
+    """Every third row of the log comes a batch later than it should."""
+    out = _work(t, "routed")
+    _in_parts(t, "log", [F.col("seq") % 3 == k for k in range(3)], lambda s: late.route_late(s, out, out + "-state", delay_s=86_400, width_s=3600), "routed-feed")
+    return out
+
+
+ROUTED = """n AS (SELECT seq % 3 AS batch, max(ts) AS newest FROM log GROUP BY 1),
+m AS (SELECT batch, make_timestamp(epoch_ms((SELECT max(newest) FROM n x WHERE x.batch < n.batch)) * 1000 - 86400000000) AS watermark FROM n),
+d AS (SELECT l.*, batch, watermark, coalesce(epoch_us(ts) - epoch_us(ts) % 3600000000 + 3600000000 <= epoch_us(watermark), false) AS late FROM log l JOIN m ON m.batch = l.seq % 3)"""
+
+
+@query("w09_late_rows", "log", f"WITH {ROUTED} SELECT batch, seq, type, epoch_us(watermark) AS watermark_us FROM d WHERE late")
+def _(t):
+    return late.late_rows(t.spark, _routed(t)).select(F.col("batch").cast("long").alias("batch"), "seq", "type", F.unix_micros("watermark").alias("watermark_us"))
+
+
+@query(
+    "w09_late_census", "log",
+    f"""WITH {ROUTED} SELECT batch, count(*) FILTER (WHERE NOT late) AS on_time, count(*) FILTER (WHERE late) AS late,
+  max((epoch_us(watermark) - epoch_us(ts)) / 1e6) FILTER (WHERE late) AS worst_s FROM d GROUP BY 1""",
+)
+def _(t):
+    return late.late_census(t.spark, _routed(t))

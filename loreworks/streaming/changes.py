@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreworks.functions import text as tx
 from loreworks.operators import chunking, corpus
 from loreworks.session import save_point
 from loreworks.sources.files import Rules, matches_any, whole_dirs
-from loreworks.sources.tables import read_index, replace_documents
+from loreworks.sources.tables import IndexTable
 
 DEFAULT_DELAY = "10 minutes"
 
@@ -57,19 +58,50 @@ def event_rates(stream: DataFrame, width: str = "1 minute", delay: str = DEFAULT
     )
 
 
+def whole_chunks(live: DataFrame) -> DataFrame:
+    """{doc_id, chunk_id, ordinal, anchor, text} of documents, cut by content kind."""
+    docs = live.select("doc_id", "collection", "project", "rel_path", "kind", "text")
+    return chunking.chunk_documents(docs).select("doc_id", "chunk_id", "ordinal", "anchor", "text")
+
+
+def index_tables(spark: SparkSession, root: str) -> tuple[IndexTable, IndexTable, IndexTable]:
+    """(hashes {doc_id, content_hash}, chunks {doc_id, chunk_id, ordinal, anchor, text, text_hash}, vectors {text_hash, vec}).
+
+    Vectors belong to contents, not to documents: a text has one, however many chunks share it or come back to it.
+    """
+    return IndexTable(spark, f"{root}/hashes"), IndexTable(spark, f"{root}/chunks"), IndexTable(spark, f"{root}/vectors", "text_hash", by_prefix=True)
+
+
+def create_index(spark: SparkSession, root: str) -> None:
+    """The three tables without rows."""
+    hashes, chunks, vectors = index_tables(spark, root)
+    hashes.append(spark.createDataFrame([], "doc_id long, content_hash string"))
+    chunks.append(spark.createDataFrame([], "doc_id long, chunk_id string, ordinal int, anchor string, text string, text_hash string"))
+    vectors.append(spark.createDataFrame([], "text_hash string, vec array<float>"))
+
+
+def chunk_vectors(spark: SparkSession, root: str) -> DataFrame:
+    """{doc_id, chunk_id, vec} of the whole index."""
+    _, chunks, vectors = index_tables(spark, root)
+    return chunks.read().select("doc_id", "chunk_id", "text_hash").join(vectors.read(), "text_hash").select("doc_id", "chunk_id", "vec")
+
+
 def reindex_batch(
-    changes: DataFrame, hashes_path: str, chunks_path: str, vectors_path: str, embed_fn: Callable | None = None
+    changes: DataFrame, root: str, embed_fn: Callable | None = None, chunk_fn: Callable[[DataFrame], DataFrame] = whole_chunks, tag: str = ""
 ) -> DataFrame:
-    """Apply one batch of changed documents to the index tables and return {action, n}.
+    """Apply one batch of changed documents to the index tables below ``root`` and return {action, n}.
 
-    ``changes`` is {doc_id, collection, project, rel_path, kind, text, deleted}.  Unchanged texts
-    (by hash) touch nothing; the others have chunks and vectors replaced, deleted ones lose both.
+    ``changes`` is {doc_id, collection, project, rel_path, kind, text, deleted}.  Unchanged texts (by hash) touch
+    nothing; the others have their chunks replaced, deleted ones lose them.  Only the stored hashes of these
+    documents and the vectors of their chunks' contents are looked up, and each table gets one delta, so the work
+    follows the batch and not the index.  The hashes are written last: a batch that failed midway is judged as
+    before when it is replayed, and a ``tag`` that was written is not written again.
     """
-    spark = changes.sparkSession
-    known = read_index(spark, hashes_path)
+    hashes, chunks, vectors = index_tables(changes.sparkSession, root)
+    known = hashes.lookup(changes).select("doc_id", F.col("content_hash").alias("_was"))
     judged = save_point(
         changes.withColumn("content_hash", F.sha2("text", 256))
-        .join(known.select("doc_id", F.col("content_hash").alias("_was")), "doc_id", "left")
+        .join(known, "doc_id", "left")
         .withColumn(
             "action",
             F.when(F.col("deleted"), "removed").when(F.col("_was").isNull(), "new")
@@ -78,40 +110,36 @@ def reindex_batch(
     )
     live = judged.where(F.col("action").isin("new", "changed"))
     gone = judged.where("action = 'removed'").select("doc_id")
-    chunks = save_point(
-        chunking.chunk_documents(live.select("doc_id", "collection", "project", "rel_path", "kind", "text"))
-        .select("doc_id", "chunk_id", "ordinal", "anchor", "text").withColumn("text_hash", F.sha2("text", 256))
-    )
-    # a document that shrank to nothing is removed like a deleted one
-    empty = live.join(chunks.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id")
-    cache = (
-        read_index(spark, chunks_path).select("chunk_id", "text_hash")
-        .join(read_index(spark, vectors_path).select("chunk_id", "vec"), "chunk_id")
-        .join(chunks.select("text_hash").distinct(), "text_hash", "left_semi")
-        .groupBy("text_hash").agg(F.min_by("vec", "chunk_id").alias("vec"))
-    )
-    vectors, _, _ = corpus.embed_with_cache(chunks, save_point(cache), embed_fn)
-    vectors = save_point(vectors.join(chunks.select("chunk_id", "doc_id"), "chunk_id").select("doc_id", "chunk_id", "vec"))
-    dropped = gone.unionByName(empty)
-    stale = gone.unionByName(live.select("doc_id"))
-    replace_documents(vectors, vectors_path, removed=stale)
-    replace_documents(chunks, chunks_path, removed=dropped.unionByName(live.select("doc_id")))
-    replace_documents(live.select("doc_id", "content_hash"), hashes_path, removed=gone)
+    cut = save_point(chunk_fn(live).withColumn("text_hash", F.sha2("text", 256)))
+    cache = save_point(vectors.lookup(cut.select("text_hash").distinct()))
+    _, fresh, _ = corpus.embed_with_cache(cut, cache, embed_fn)
+    vectors.append(fresh, tag=tag)
+    # a document that shrank to nothing has no rows, and is removed like a deleted one
+    chunks.append(cut, removed=gone.unionByName(live.select("doc_id")), tag=tag)
+    hashes.append(live.select("doc_id", "content_hash"), removed=gone, tag=tag)
     return judged.groupBy("action").agg(F.count(F.lit(1)).alias("n"))
 
 
-def reindex_stream(stream: DataFrame, index_path: str, checkpoint: str, embed_fn: Callable | None = None):
-    """Keep the index tables below ``index_path`` current from a change stream.
+def drop_unused_vectors(spark: SparkSession, root: str) -> None:
+    """Remove the vectors of contents that no chunk has any more: one pass over the index, for quiet times."""
+    _, chunks, vectors = index_tables(spark, root)
+    unused = save_point(vectors.read().select("text_hash").join(chunks.read().select("text_hash"), "text_hash", "left_anti"))
+    vectors.append(vectors.read().limit(0), removed=unused)
+    vectors.compact()
 
-    Within one micro-batch only a document's latest change counts.  A batch that is replayed
-    after a failure finds its hashes already stored and changes nothing.
-    """
 
-    def apply(batch: DataFrame, _: int) -> None:
+def reindex_stream(
+    stream: DataFrame, root: str, checkpoint: str, embed_fn: Callable | None = None, chunk_fn: Callable[[DataFrame], DataFrame] = whole_chunks
+):
+    """Keep the index tables below ``root`` current from a change stream; what each batch did is in ``log/batch=N``.
+
+    Within one micro-batch only a document's latest change counts.  A batch that is replayed after a failure is known
+    by its tag and finds its hashes already stored, so it changes nothing.
+    """
+    def apply(batch: DataFrame, number: int) -> None:
         columns = [c for c in batch.columns if c not in ("doc_id", "ts")]
         latest = batch.groupBy("doc_id").agg(F.max_by(F.struct(*columns), "ts").alias("_r")).select("doc_id", "_r.*")
-        reindex_batch(latest, f"{index_path}/hashes", f"{index_path}/chunks", f"{index_path}/vectors", embed_fn).write.mode(
-            "append"
-        ).parquet(f"{index_path}/log")
+        tag = f"{hashlib.sha256(checkpoint.encode()).hexdigest()[:12]}-{number}"
+        reindex_batch(latest, root, embed_fn, chunk_fn, tag).write.mode("overwrite").parquet(f"{root}/log/batch={number}")
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

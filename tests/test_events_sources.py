@@ -150,12 +150,53 @@ def test_yaml_cases(spark, tmp_path, rows):
     assert rows(logs.load_cases(spark, str(path)), "qid", "expected") == [("a", "x.md"), ("a", "y.md")]
 
 
-def test_replace_empties_a_bucket(spark, rows):
-    path = shared_dir(spark) + "/index-test"
-    tables.write_index(spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "doc_id long, body string"), path, buckets=4)
-    new = spark.createDataFrame([(2, "d")], "doc_id long, body string")
-    tables.replace_documents(new, path, buckets=4, removed=spark.createDataFrame([(1,)], "doc_id long"))
-    assert rows(tables.read_index(spark, path), "doc_id", "body") == [(2, "d")]
+def test_index_table_keeps_the_latest_version(spark, rows):
+    """Random batches against a dictionary, through merges and compactions."""
+    rng = random.Random(4)
+    table = tables.IndexTable(spark, shared_dir(spark) + "/index-test", bucket_keys=3)
+    held: dict[int, list[str]] = {}
+    for n in range(14):
+        new = {rng.randrange(12): [f"{n}-{k}" for k in range(rng.randint(1, 2))] for _ in range(rng.randint(0, 2))}
+        gone = [i for i in range(12) if rng.random() < 0.1]
+        frame = spark.createDataFrame([(i, v) for i, vs in new.items() for v in vs], "doc_id long, body string")
+        assert table.append(frame, spark.createDataFrame([(i,) for i in gone], "doc_id long"), tag=f"t/{n}")
+        assert not table.append(frame, tag=f"t/{n}")  # a replay
+        for i in gone:
+            held.pop(i, None)
+        held |= new
+        if n in (3, 8, 13):
+            want = sorted((i, v) for i, vs in held.items() for v in vs)
+            assert rows(table.read(), "doc_id", "body") == want
+            some = spark.createDataFrame([(1,), (5,), (7,), (99,)], "doc_id long")
+            assert rows(table.lookup(some), "doc_id", "body") == [x for x in want if x[0] in (1, 5, 7)]
+        if n == 6:
+            table.compact()
+    base, deltas = table.snapshot()
+    assert base is not None and len(deltas) <= tables.MAX_DELTAS + 1
+    table.vacuum()
+    assert rows(table.read(), "doc_id", "body") == want
+
+
+def test_index_table_writes_in_proportion_to_the_batch(spark, rows):
+    table = tables.write_index(spark.range(5000).selectExpr("id AS doc_id", "'x' AS body"), shared_dir(spark) + "/index-big", bucket_keys=100)
+    assert table.snapshot()[0].buckets == 64
+    table.append(spark.createDataFrame([(7, "y")], "doc_id long, body string"), spark.createDataFrame([(8,)], "doc_id long"))
+    base, deltas = table.snapshot()
+    assert base.version == 1 and [d.keys for d in deltas] == [2]
+    found = table.lookup(spark.createDataFrame([(7,), (8,), (9,)], "doc_id long"))
+    assert rows(found, "doc_id", "body") == [(7, "y"), (9, "x")]
+    assert table.read().count() == 4999
+
+
+def test_index_table_emptied_and_a_failed_write(spark, rows):
+    path = shared_dir(spark) + "/index-empty"
+    table = tables.write_index(spark.createDataFrame([("aa", "x"), ("ff", "y")], "h string, body string"), path, "h", by_prefix=True)
+    spark.createDataFrame([("aa", "never committed")], "h string, body string").write.parquet(f"{path}/delta-2-2/rows")
+    assert rows(table.read(), "h", "body") == [("aa", "x"), ("ff", "y")]
+    table.append(spark.createDataFrame([], "h string, body string"), spark.createDataFrame([("aa",), ("ff",)], "h string"))
+    assert table.read().columns == ["h", "body"] and table.read().count() == 0
+    table.append(spark.createDataFrame([("bb", "z")], "h string, body string"))
+    assert rows(table.read(), "h", "body") == [("bb", "z")]
 
 
 def test_guard_refuses_another_model(spark):
@@ -169,24 +210,25 @@ def test_incremental_reindex_equals_a_rebuild(spark, rows):
     root = shared_dir(spark) + "/reindex-test"
     cols = "doc_id long, collection string, project string, rel_path string, kind string, text string, deleted boolean"
     body = "some words to keep " * 10
+    ch.create_index(spark, root)
 
-    def batch(*docs):
-        return spark.createDataFrame([(i, "c", "p", f"d{i}.txt", "text", t, t is None) for i, t in docs], cols)
+    def embed(frames):
+        for pdf in frames:
+            pdf["vec"] = [[float(len(x))] for x in pdf["text"]]
+            yield pdf[["text_hash", "vec"]]
 
-    empty = spark.createDataFrame([], "doc_id long, content_hash string")
-    tables.write_index(empty.unionByName(spark.createDataFrame([(999, "x")], empty.schema)), f"{root}/hashes")
-    tables.write_index(
-        spark.createDataFrame([(999, "c999", 0, "a", "t", "h")], "doc_id long, chunk_id string, ordinal long, anchor string, text string, text_hash string"), f"{root}/chunks"
-    )
-    tables.write_index(spark.createDataFrame([(999, "c999", [1.0])], "doc_id long, chunk_id string, vec array<float>"), f"{root}/vectors")
-    embed = corpus.hashing_embedder(4)
-
-    def apply(*docs):
-        return rows(ch.reindex_batch(batch(*docs), f"{root}/hashes", f"{root}/chunks", f"{root}/vectors", embed))
+    def apply(*docs, tag=""):
+        changes = spark.createDataFrame([(i, "c", "p", f"d{i}.txt", "text", t, t is None) for i, t in docs], cols)
+        return rows(ch.reindex_batch(changes, root, embed, tag=tag))
 
     assert apply((1, body), (2, body + "two")) == [("new", 2)]
-    assert apply((1, body), (2, body + "changed"), (3, body)) == [("changed", 1), ("new", 1), ("unchanged", 1)]
+    assert apply((1, body), (2, body + "changed"), (3, body), tag="b1") == [("changed", 1), ("new", 1), ("unchanged", 1)]
+    assert apply((1, body), (2, body + "changed"), (3, body), tag="b1") == [("unchanged", 3)]
     assert apply((1, None)) == [("removed", 1)]
-    chunks = rows(tables.read_index(spark, f"{root}/chunks").where("doc_id <> 999"), "doc_id", "text")
-    assert chunks == [(2, "p / d2.txt\n\n" + body + "changed"), (3, "p / d3.txt\n\n" + body)]
-    assert rows(tables.read_index(spark, f"{root}/vectors").where("doc_id <> 999"), "doc_id") == [(2,), (3,)]
+    hashes, chunks, vectors = ch.index_tables(spark, root)
+    assert rows(chunks.read(), "doc_id", "text") == [(2, "p / d2.txt\n\n" + body + "changed"), (3, "p / d3.txt\n\n" + body)]
+    assert rows(hashes.read(), "doc_id") == [(2,), (3,)]
+    assert rows(ch.chunk_vectors(spark, root), "doc_id", "vec") == [(2, [len("p / d2.txt\n\n" + body + "changed")]), (3, [len("p / d3.txt\n\n" + body)])]
+    assert vectors.read().count() == 4
+    ch.drop_unused_vectors(spark, root)
+    assert vectors.read().count() == 2 and ch.chunk_vectors(spark, root).count() == 2

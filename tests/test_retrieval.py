@@ -46,6 +46,45 @@ def test_bm25_matches_brute_force_on_every_path(spark):
     assert {(r["qid"], r["chunk_id"], r["score"]) for r in stored.collect()} == {(r["qid"], r["chunk_id"], r["score"]) for r in got}
 
 
+def test_best_chunks_by_score_bounds_equal_all_scores(spark, monkeypatch):
+    """Blocks of few chunks, copies that tie, common and rare words, a scope, and the path without bags."""
+    monkeypatch.setattr(lexical, "BLOCK", 16)
+    rng = random.Random(2)
+    words = [f"w{int(rng.paretovariate(0.6))}" for _ in range(4000)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 30))) for _ in range(150)]
+    texts += [texts[3]] * 60 + ["", " "]
+    asked = [(i, " ".join(rng.choices(words, k=rng.randint(1, 12)))) for i in range(12)] + [(90, texts[3]), (91, "nowhere"), (92, "")]
+    q = spark.createDataFrame(asked, "qid long, text string")
+    docs = chunks(spark, texts).withColumn("text", F.when(F.length("text") > 1, F.col("text")))
+    terms = lexical.question_terms(q)
+    every = {i: brute_bm25(texts, text) for i, text in asked}
+
+    def best(found, allowed=lambda i: True):
+        want = {i: sorted(((-s, c) for c, s in scores.items() if allowed(c)))[:7] for i, scores in every.items()}
+        got = {i: [] for i, _ in asked}
+        for r in sorted(found.collect(), key=lambda r: (r.qid, r["rank"])):
+            got[r.qid].append((-r.score, r.chunk_id))
+        return got == want
+
+    hits = lexical.term_hits(docs, terms)
+    assert hits.bags is not None and best(lexical.bm25_best(terms, hits, 7))
+    assert best(lexical.bm25_best(terms, hits, 7, small=3))
+    assert best(lexical.bm25_best(terms, lexical.term_hits(docs, terms, limit=10), 7))
+    assert best(lexical.bm25_best(terms, hits, 7, chunks=docs.where("chunk_id % 3 = 0")), lambda i: i % 3 == 0)
+    index = lexical.build_postings(docs)
+    assert best(lexical.bm25_from_index(q, *index, 7)) and best(lexical.bm25_from_index(q, *index, 7, limit=10))
+    named = docs.select(F.format_string("c%05d", "chunk_id").alias("chunk_id"), "text")
+    by_name = lexical.bm25_best(terms, lexical.term_hits(named, terms), 7).withColumn("chunk_id", F.expr("cast(substr(chunk_id, 2) as long)"))
+    assert best(by_name)
+
+
+def test_bounds_leave_out_chunks_that_cannot_be_among_the_best():
+    lists = {0: (np.arange(0, 1000), np.full(1000, 1.0)), 1: (np.array([5, 700]), np.array([2.0, 2.0])), 2: (np.array([5]), np.array([2.0]))}
+    read = []
+    here, score = lexical.max_score(np.array([0, 1, 2]), np.array([0.1, 3.0, 3.0]), lambda t: read.append(t) or lists[t], 6.05)
+    assert here.tolist() == [5, 700] and score.round(6).tolist() == [12.1, 6.1]
+
+
 def test_gate(spark):
     docs = [f"common word{i} the" for i in range(60)] + ["редкий термин common the"]
     q = spark.createDataFrame(
