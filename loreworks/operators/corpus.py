@@ -6,14 +6,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreworks.functions import text as tx
 from loreworks.functions.vectors import normalise
 from loreworks.operators.scale import running
+from loreworks.session import save_point
+from loreworks.sources.tables import IndexTable
 
 KEY = ("collection", "rel_path")
+#: Children of a node of the fingerprint, and levels above the texts.
+FAN, HEIGHT = 4096, 4
 
 
 def kind_counts(files: DataFrame) -> DataFrame:
@@ -179,37 +183,73 @@ def pool_vectors(chunk_vectors: DataFrame, key: str = "doc_id") -> DataFrame:
     return ordered.select(key, normalise(F.col("_s._m")).alias("vec"))
 
 
-def fingerprint(chunks: DataFrame, key: str, order: str = "ordinal", block: int = 4096) -> DataFrame:
-    """{digest}: order-sensitive digest of the texts plus the model key.
+def _parents(level: DataFrame, fan: int) -> DataFrame:
+    """The level above: digests of runs of at most ``fan`` neighbours, in order."""
+    kids = F.array_sort(F.collect_list(F.struct("node", "digest")))
+    return level.groupBy(F.floor(F.col("node") / fan).alias("parent")).agg(
+        F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(kids, lambda s: s["digest"]), ""), 256).alias("digest")
+    ).select(F.col("parent").alias("node"), "n", "digest")
 
-    A tree of digests: each block of consecutive texts is hashed on its own, then the block
-    digests are hashed in order, so no task ever holds the whole corpus.
+
+def fingerprint_levels(chunks: DataFrame, order: str = "ordinal", fan: int = FAN, height: int = HEIGHT) -> list[DataFrame]:
+    """Levels {node, n, digest} of a hash tree over texts: the texts first, the root (node 0) last.
+
+    Every node has at most ``fan`` children, so no array grows with the corpus; ``fan ** height`` must
+    exceed the largest ``order``.
     """
-    leaf = chunks.select(
-        F.col(order).alias("_o"),
-        F.floor(F.col(order) / block).alias("_b"),
-        F.sha2("text", 256).alias("_h"),
-    )
-    blocks = leaf.groupBy("_b").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.sha2(
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_h"))), lambda s: s["_h"]), ""),
-            256,
-        ).alias("_h"),
-    )
-    return blocks.agg(
-        F.sha2(
-            F.concat(
-                F.lit(f"{key}|"),
-                F.coalesce(F.sum("_n"), F.lit(0)).cast("string"),
-                F.lit("|"),
-                F.array_join(
-                    F.transform(F.array_sort(F.collect_list(F.struct("_b", "_h"))), lambda s: s["_h"]), ""
-                ),
-            ),
-            256,
-        ).alias("digest")
-    )
+    levels = [chunks.select(F.col(order).cast("long").alias("node"), F.lit(1).cast("long").alias("n"), F.sha2("text", 256).alias("digest"))]
+    for _ in range(height):
+        levels.append(_parents(levels[-1], fan))
+    return levels
+
+
+def _sealed(root: DataFrame, key: str) -> DataFrame:
+    whole = root.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max("digest"), F.lit("")).alias("digest"))
+    return whole.select(F.sha2(F.concat(F.lit(f"{key}|"), F.col("n").cast("string"), F.lit("|"), "digest"), 256).alias("digest"))
+
+
+def fingerprint(chunks: DataFrame, key: str, order: str = "ordinal", fan: int = FAN, height: int = HEIGHT) -> DataFrame:
+    """{digest}: order-sensitive digest of the texts plus the model key."""
+    return _sealed(fingerprint_levels(chunks, order, fan, height)[-1], key)
+
+
+class FingerprintTree:
+    """The hash tree of a corpus, stored by level and renewed along changed paths only.
+
+    Levels are index tables keyed by parent, so that a parent's children are looked up together; a change of m
+    texts reads and writes at most m runs of ``fan`` siblings on each level.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, fan: int = FAN, height: int = HEIGHT):
+        self.fan, self.height = fan, height
+        self.levels = [IndexTable(spark, f"{path}/level={i}", "parent") for i in range(height + 1)]
+
+    def _with_parent(self, level: DataFrame) -> DataFrame:
+        return level.withColumn("parent", F.floor(F.col("node") / self.fan).cast("long"))
+
+    def build(self, chunks: DataFrame, order: str = "ordinal") -> None:
+        level = fingerprint_levels(chunks, order, self.fan, 0)[0]
+        for table in self.levels:
+            table.append(self._with_parent(level).select("parent", "node", "n", "digest"))
+            level = _parents(table.read(), self.fan)
+
+    def renew(self, changed: DataFrame, removed: DataFrame, order: str = "ordinal") -> None:
+        """Put the texts of ``changed`` in their places and take those of ``removed`` out."""
+        fresh = save_point(self._with_parent(fingerprint_levels(changed, order, self.fan, 0)[0]))
+        gone = save_point(self._with_parent(removed.select(F.col(order).cast("long").alias("node"))))
+        for table in self.levels:
+            touched = save_point(fresh.select("parent").unionByName(gone.select("parent")).distinct())
+            out = fresh.select("node").unionByName(gone.select("node"))
+            kept = table.lookup(touched).join(out, "node", "left_anti").select("parent", "node", "n", "digest")
+            now = save_point(kept.unionByName(fresh.select("parent", "node", "n", "digest")))
+            table.append(now, removed=touched)
+            # a parent that lost all its children goes, the others have a new digest
+            above = self._with_parent(_parents(now, self.fan))
+            gone = save_point(self._with_parent(touched.withColumnRenamed("parent", "node")).join(above.select("node"), "node", "left_anti"))
+            fresh = save_point(above)
+
+    def digest(self, key: str) -> DataFrame:
+        return _sealed(self.levels[-1].read(), key)
 
 
 def index_health(documents: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -429,9 +429,20 @@ def prefix_document_frequency(terms: DataFrame, postings: DataFrame) -> DataFram
     )
 
 
-def lexical_only(questions: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
-    """Search without vectors: every term of two letters or more, no gate, flagged degraded."""
+def lexical_only(questions: DataFrame, chunks: DataFrame, limit: int, collection: str | None = None, project: str | None = None) -> DataFrame:
+    """Search without vectors: every term of two letters or more, no gate; says how it was done.
+
+    A scope restricts the hits (``chunks`` then has collection and project); frequencies stay corpus-wide.
+    """
     terms = question_terms(questions, min_len=2)
-    return bm25_topk(questions, chunks, limit, terms=terms).withColumn("degraded", F.lit(True))
+    within = None
+    for column, value in (("collection", collection), ("project", project)):
+        if value is not None:
+            within = (chunks if within is None else within).where(F.col(column) == value)
+    found = bm25_best(terms, term_hits(chunks, terms), limit, chunks=within)
+    return found.withColumns({"strategy": F.lit("lexical"), "degraded": F.lit(True)})
 
 
+def identifier_search(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """{qid, chunk_id, score, rank}: BM25 over text, anchor and the parts of identifiers, so a part finds the whole."""
+    return bm25_topk(questions, searchable_text(chunks), k, text="searchable")

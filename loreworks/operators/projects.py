@@ -332,7 +332,7 @@ def named_project(requests: DataFrame, projects: DataFrame) -> DataFrame:
 
 
 def route_requests(requests: DataFrame, pipelines: DataFrame) -> DataFrame:
-    """{id, kind, command, args}: slash command, stop word, named agent, pipeline name, or none."""
+    """{id, kind, command, args, reason}: slash command, stop word, named agent, pipeline name, or none, and why."""
     raw = F.trim("text")
     name = F.lower(F.regexp_extract(raw, SLASH, 1))
     rest = F.trim(F.regexp_extract(raw, SLASH, 2))
@@ -364,7 +364,17 @@ def route_requests(requests: DataFrame, pipelines: DataFrame) -> DataFrame:
         .when(F.col("kind") == "pipeline", F.col("_pipeline"))
     )
     args = F.when(F.col("kind") == "command", F.when(known.isNull(), name).otherwise(rest)).otherwise("")
+    reason = (
+        F.when(raw == "", "empty")
+        .when(slash & (known == "halt"), "slash halt")
+        .when(slash & known.isNull(), F.concat(F.lit("unknown command /"), name))
+        .when(slash, "slash command")
+        .when(F.col("kind") == "halt", "bare stop word")
+        .when(F.col("kind") == "delegate", "named an external agent")
+        .when(F.col("kind") == "pipeline", F.concat(F.lit("registered pipeline '"), F.col("_pipeline"), F.lit("'")))
+        .otherwise("no deterministic match")
+    )
     return (
         requests.join(best, "id", "left").withColumn("kind", kind)
-        .select("id", "kind", command.alias("command"), args.alias("args"))
+        .select("id", "kind", command.alias("command"), args.alias("args"), reason.alias("reason"))
     )

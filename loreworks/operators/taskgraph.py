@@ -258,7 +258,8 @@ def root_status(tasks: DataFrame) -> DataFrame:
 def longest_path_rank(tasks: DataFrame, edges: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
     """{root_id, id, column}: length of the longest dependency chain below each task.
 
-    Unknown dependencies are ignored; the edges must be acyclic (see :func:`find_cycles`).
+    Unknown dependencies are ignored.  Tasks on a cycle, and those that depend on one, have no such length: they stand
+    together in the column behind all others of their root (see :func:`find_cycles`).
     """
     ids = tasks.select("root_id", F.col("id").alias("dep"))
     known = (
@@ -280,7 +281,9 @@ def longest_path_rank(tasks: DataFrame, edges: DataFrame, small: int = SMALL_GRA
         while waiting:
             held = [t for t in waiting if any(d in deps and d not in level for d in deps[t])]
             if len(held) == len(waiting):
-                raise ValueError("the dependencies contain a cycle")
+                last = 1 + max(level.values(), default=0)
+                level.update({t: last for t in held})
+                break
             free = set(waiting) - set(held)
             level.update({t: 1 + max(level.get(d, 0) for d in deps[t]) for t in free})
             waiting = held
@@ -295,7 +298,7 @@ def longest_path_rank(tasks: DataFrame, edges: DataFrame, small: int = SMALL_GRA
 
 
 def _large_ranks(edges: DataFrame) -> DataFrame:
-    """Ranks by peeling: each round places the tasks whose dependencies are all placed."""
+    """Ranks by peeling: each round places the tasks whose dependencies are all placed; what never is, is cyclic."""
     left = save_point(edges)
     placed = None
     n = 0
@@ -307,8 +310,13 @@ def _large_ranks(edges: DataFrame) -> DataFrame:
             left.select("root_id", "task").distinct().join(held, ["root_id", "task"], "left_anti")
             .select("root_id", F.col("task").alias("id"), F.lit(n).cast("long").alias("column"))
         )
-        if not now.limit(1).collect():
-            raise ValueError("the dependencies contain a cycle")
+        if now.isEmpty():
+            cyclic = left.select("root_id", F.col("task").alias("id")).distinct()
+            if placed is None:
+                return cyclic.withColumn("column", F.lit(1).cast("long"))
+            last = placed.groupBy("root_id").agg(F.max("column").alias("_last"))
+            behind = cyclic.join(last, "root_id", "left").select("root_id", "id", (F.coalesce("_last", F.lit(0)) + 1).cast("long").alias("column"))
+            return placed.unionByName(behind)
         left = save_point(left.join(now.select("root_id", F.col("id").alias("task")), ["root_id", "task"], "left_anti"))
         placed = now if placed is None else placed.unionByName(now)
     return placed

@@ -1,11 +1,14 @@
 """Registered queries: corpus preparation and the index."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from loreworks.functions import text as tx
 from loreworks.functions.vectors import truncate_normalise
 from loreworks.operators import chunking, corpus
 from loreworks.plans.registry import query
+from loreworks.session import shared_dir
 
 CAMEL_SQL = (
     r"regexp_extract_all(regexp_replace(w, '([A-Z])([A-Z][a-z])', '\1 \2', 'g'),"
@@ -362,15 +365,30 @@ def _(t):
     return pooled.select("doc_id", (F.col("d") + 1).cast("long").alias("d"), F.round("v", 6).alias("v"))
 
 
-@query(
-    "c25_fingerprint", "chunks",
-    """
-WITH o AS (SELECT chunk_id AS o, sha256(text) AS h FROM chunks),
-b AS (SELECT CAST(floor(o / 4096) AS BIGINT) AS b, count(*) AS n, sha256(string_agg(h, '' ORDER BY o)) AS h FROM o GROUP BY 1)
-SELECT sha256('model|' || CAST(CAST(sum(n) AS BIGINT) AS VARCHAR) || '|' || string_agg(h, '' ORDER BY b)) AS digest FROM b""",
-)
+def tree_sql(fan: int, height: int, table: str = "chunks", node: str = "chunk_id", text: str = "text", key: str = "model") -> str:
+    levels = [f"l0 AS (SELECT {node} AS node, CAST(1 AS BIGINT) AS n, sha256({text}) AS h FROM {table})"]
+    levels += [
+        f"l{i + 1} AS (SELECT CAST(floor(node / {fan}) AS BIGINT) AS node, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(h, '' ORDER BY l{i}.node)) AS h FROM l{i} GROUP BY 1)"
+        for i in range(height)
+    ]
+    return f"{', '.join(levels)} SELECT sha256('{key}|' || CAST(n AS VARCHAR) || '|' || h) AS digest FROM l{height}"
+
+
+@query("c25_fingerprint", "chunks", f"WITH {tree_sql(64, 4)}")
+def _(t):
+    return corpus.fingerprint(t("chunks"), "model", order="chunk_id", fan=64)
+
+
+CHANGED = "CASE WHEN chunk_id % 10 = 3 THEN text || ' changed' ELSE text END"
+
+
+@query("c25_fingerprint_renewed", "chunks", f"WITH c AS (SELECT chunk_id, {CHANGED} AS text FROM chunks WHERE chunk_id % 100 <> 7), {tree_sql(64, 4, 'c')}")
 def _(t):
-    return corpus.fingerprint(t("chunks"), "model", order="chunk_id")
+    tree = corpus.FingerprintTree(t.spark, f"{shared_dir(t.spark)}/trees/{uuid.uuid4().hex}", fan=64)
+    tree.build(t("chunks"), "chunk_id")
+    changed = t("chunks").where("chunk_id % 10 = 3 and chunk_id % 100 <> 7").withColumn("text", F.concat("text", F.lit(" changed")))
+    tree.renew(changed, t("chunks").where("chunk_id % 100 = 7"), "chunk_id")
+    return tree.digest("model")
 
 
 @query(

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from loreworks.operators import graph as kg
+from loreworks.plans.corpus_queries import tree_sql
 from loreworks.plans.registry import query
 from loreworks.session import save_point
 
@@ -131,19 +132,34 @@ HOPS = f"""{EDGES}, {PICKS}, sym AS (SELECT a AS u, b AS v FROM edges UNION SELE
 one AS (SELECT p.id, v AS n FROM picks p JOIN sym ON u = p.id), two AS (SELECT one.id, v AS n FROM one JOIN sym ON u = one.n)"""
 
 
-def _reach(t, apart=False):
-    picks = kg.sample_nodes(t("page_docs").withColumnRenamed("doc_id", "id"))
-    return kg.two_hop(_edges(t), picks, apart)
+def _picks(t):
+    return kg.sample_nodes(t("page_docs").withColumnRenamed("doc_id", "id"))
 
 
-@query(
-    "g07_two_hop", TABLES,
-    f"""WITH {HOPS} SELECT p.id, count(DISTINCT n) AS reach FROM picks p LEFT JOIN (SELECT * FROM one UNION SELECT * FROM two) x ON x.id = p.id AND x.n <> p.id GROUP BY 1""",
-)
+def _reach(t, apart=False, **options):
+    return kg.two_hop(_edges(t), _picks(t), apart, **options)
+
+
+REACH = f"""WITH {HOPS} SELECT p.id, count(DISTINCT n) AS reach FROM picks p LEFT JOIN (SELECT * FROM one UNION SELECT * FROM two) x ON x.id = p.id AND x.n <> p.id GROUP BY 1"""
+
+
+@query("g07_two_hop", TABLES, REACH)
 def _(t):
     return _reach(t)
 
 
+@query("g07_two_hop_hubs", TABLES, REACH)
+def _(t):
+    return _reach(t, hub=4)
+
+
+@query("g07_reach_sketch", TABLES, f"SELECT id, TRUE AS close FROM ({REACH}) r")
+def _(t):
+    exact = _reach(t).withColumnRenamed("reach", "exact")
+    off = F.abs(F.col("reach") - F.col("exact"))
+    return kg.reach_sketch(_edges(t), _picks(t)).join(exact, "id").select("id", (off <= 0.08 * F.col("exact")).alias("close"))
+
+
 @query(
     "g07_two_hop_apart", TABLES,
     f"""WITH {HOPS} SELECT p.id, count(DISTINCT n) AS reach FROM picks p LEFT JOIN (SELECT * FROM two EXCEPT SELECT * FROM one) x ON x.id = p.id AND x.n <> p.id GROUP BY 1""",
@@ -189,12 +205,13 @@ def _(t):
 
 @query(
     "g10_corpus_census", "page_docs links",
-    """
+    f"""
 SELECT 'documents' AS facet, '' AS value, count(*) AS n FROM page_docs
 UNION ALL SELECT 'kind', kind, count(*) FROM page_docs GROUP BY 2 UNION ALL SELECT 'collection', collection, count(*) FROM page_docs GROUP BY 2
 UNION ALL SELECT 'unembeddable', '', count(*) FROM page_docs WHERE kind = 'config'
 UNION ALL SELECT 'parse_error', '', count(*) FROM page_docs WHERE parse_error IS NOT NULL
-UNION ALL SELECT 'links', '', count(*) FROM links""",
+UNION ALL SELECT 'links', '', count(*) FROM links
+UNION ALL SELECT 'fingerprint', digest, 1 FROM (WITH {tree_sql(4096, 4, 'page_docs', 'doc_id', "doc_id || '|' || kind || '|' || collection", 'census')}) f""",
 )
 def _(t):
     return kg.corpus_census(t("page_docs"), t("links"))

@@ -111,14 +111,20 @@ def _(t):
     return pj.system_brief(t("log"), 5).withColumn("degraded", F.array_join("degraded", "|"))
 
 
-@query(
-    "p10_briefing_since", "projects log",
-    """
-WITH w AS (SELECT coalesce(min(watermark), 0) AS since_seq FROM projects WHERE status <> 'archived' AND watermark > 0)
-SELECT since_seq, (SELECT epoch_us(ts) FROM log WHERE seq = since_seq) AS since_us FROM w""",
-)
+def _since(where: str) -> str:
+    return f"""
+WITH w AS (SELECT coalesce(min(watermark), 0) AS since_seq FROM projects WHERE status <> 'archived' AND {where})
+SELECT since_seq, (SELECT epoch_us(ts) FROM log WHERE seq = since_seq) AS since_us FROM w"""
+
+
+@query("p10_briefing_since", "projects log", _since("TRUE"))
+def _(t):
+    return pj.briefing_since(t("projects"), t("log"))
+
+
+@query("p10_briefing_since_read", "projects log", _since("watermark > 0"))
 def _(t):
-    # projects that were read before: the lowest mark of all is 0 in these tables
+    # those of which something was read: the lowest mark of all is 0 in these tables
     return pj.briefing_since(t("projects").where("watermark > 0"), t("log"))
 
 
@@ -219,7 +225,10 @@ d AS (SELECT *, CASE WHEN raw = '' THEN 'none' WHEN name <> '' AND known = 'halt
   WHEN regexp_matches(raw, '(?i)\b(?:ask|tell|have|get|use|delegate|send)\b[^.?!]{0,24}?\b(?:claude|antigravity|agy)\b') THEN 'delegate'
   WHEN pipeline IS NOT NULL THEN 'pipeline' ELSE 'none' END AS kind FROM k)
 SELECT id, kind, CASE kind WHEN 'halt' THEN 'halt' WHEN 'command' THEN coalesce(known, 'help') WHEN 'pipeline' THEN pipeline END AS command,
-  CASE WHEN kind = 'command' THEN CASE WHEN known IS NULL THEN name ELSE rest END ELSE '' END AS args FROM d""",
+  CASE WHEN kind = 'command' THEN CASE WHEN known IS NULL THEN name ELSE rest END ELSE '' END AS args,
+  CASE WHEN raw = '' THEN 'empty' WHEN name <> '' AND known = 'halt' THEN 'slash halt' WHEN name <> '' AND known IS NULL THEN 'unknown command /' || name WHEN name <> '' THEN 'slash command'
+    WHEN kind = 'halt' THEN 'bare stop word' WHEN kind = 'delegate' THEN 'named an external agent' WHEN kind = 'pipeline' THEN 'registered pipeline ' || chr(39) || pipeline || chr(39)
+    ELSE 'no deterministic match' END AS reason FROM d""",
 )
 def _(t):
     return pj.route_requests(t("requests"), t("pipelines"))

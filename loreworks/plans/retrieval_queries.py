@@ -211,6 +211,18 @@ def _(t):
     return s.select("chunk_id", F.size(F.array_distinct(tx.lex_tokens(F.col("searchable")))).cast("long").alias("terms"))
 
 
+SEARCHABLE = f"""(SELECT doc_id, text || ' ' || collection || ' ' || array_to_string(list_distinct(flatten(list_transform(
+    regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*'), lambda w: CASE WHEN len({CAMEL_SQL}) > 1 THEN list_concat([w], {CAMEL_SQL}) ELSE [] END))), ' ') AS text FROM docs)"""
+
+
+@query(
+    "q07_identifier_ranked", "docs questions",
+    f"WITH {BAGS.replace('FROM docs)', f'FROM {SEARCHABLE} d)', 1)}, {ALL_TERMS}, {scores('qt', 'lx')} SELECT qid, id AS chunk_id, score, rank FROM lx WHERE rank <= {K}",
+)
+def _(t):
+    return lexical.identifier_search(t("questions"), _chunks(t).withColumn("anchor", F.col("collection")), K)
+
+
 @query(
     "q08_knn_topk", "vectors",
     f"WITH {nearest('(SELECT id AS qid, vec FROM vectors)', 'nn', K, 'q.qid <> v.id')} SELECT * FROM nn",
@@ -386,12 +398,22 @@ def _(t):
 @query(
     "q18_lexical_only", "docs questions",
     f"""WITH {BAGS}, {ALL_TERMS}, q2 AS (SELECT * FROM qt WHERE length(term) >= 2), {scores('q2', 'lx')}
-SELECT qid, id AS chunk_id, score, rank, true AS degraded FROM lx WHERE rank <= 8""",
+SELECT qid, id AS chunk_id, score, rank, 'lexical' AS strategy, true AS degraded FROM lx WHERE rank <= 8""",
 )
 def _(t):
     return lexical.lexical_only(t("questions"), _chunks(t), 8)
 
 
+@query(
+    "q18_lexical_scoped", "docs questions",
+    f"""WITH {BAGS}, {ALL_TERMS}, q2 AS (SELECT * FROM qt WHERE length(term) >= 2), {scores('q2', 'lx')},
+s AS (SELECT lx.* EXCLUDE (rank), row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM lx JOIN docs ON doc_id = id WHERE collection = 'en' AND project = 'src3')
+SELECT qid, id AS chunk_id, score, rank, 'lexical' AS strategy, true AS degraded FROM s WHERE rank <= 8""",
+)
+def _(t):
+    return lexical.lexical_only(t("questions"), _chunks(t), 8, collection="en", project="src3")
+
+
 @query(
     "q19_citations", HIT_TABLES,
     f"""WITH {HITS} SELECT qid, rank, id AS chunk_id, collection, project, rel_path AS path, abs_path, anchor,

@@ -232,3 +232,17 @@ def test_incremental_reindex_equals_a_rebuild(spark, rows):
     assert vectors.read().count() == 4
     ch.drop_unused_vectors(spark, root)
     assert vectors.read().count() == 2 and ch.chunk_vectors(spark, root).count() == 2
+
+
+def test_fingerprint_tree_is_renewed_along_changed_paths(spark):
+    texts = {i: f"text {i}" for i in range(200) if i % 7}
+    frame = lambda d: spark.createDataFrame(sorted(d.items()), "ordinal long, text string")
+    tree = corpus.FingerprintTree(spark, shared_dir(spark) + "/tree-test", fan=4, height=4)
+    tree.build(frame(texts))
+    whole = lambda d: corpus.fingerprint(frame(d), "m", fan=4, height=4).first()[0]
+    assert tree.digest("m").first()[0] == whole(texts)
+    for changed, removed in (({5: "new", 199: "last", 7: "put in"}, [1, 2, 3, 100]), ({}, [4, 5, 6, 7]), ({6: "back"}, [])):
+        texts = {i: t for i, t in texts.items() if i not in removed} | changed
+        gone = spark.createDataFrame([(i,) for i in removed], "ordinal long")
+        tree.renew(frame(changed) if changed else frame({0: ""}).limit(0), gone)
+        assert tree.digest("m").first()[0] == whole(texts)

@@ -1,4 +1,5 @@
 import random
+from collections import defaultdict
 
 
 from loreworks.operators import graph as kg
@@ -124,6 +125,24 @@ def test_two_hop_variants(spark, rows):
     assert rows(kg.two_hop(e, picks, hops_apart=True)) == [(1, 1), (9, 0)]
 
 
+def test_reach_through_hubs_and_by_sketches(spark, rows):
+    rng = random.Random(6)
+    edges = {tuple(sorted(rng.sample(range(40_000), 2))) for _ in range(300)}
+    edges |= {(0, i) for i in range(1, 6000, 7)} | {(1, i) for i in range(2, 90_000, 211)}  # two hubs, ids over several bitmaps
+    near = defaultdict(set)
+    for a, b in edges:
+        near[a].add(b), near[b].add(a)
+    ids = [0, 1, 8, 15, 213, *rng.sample(sorted(near), 40), 999_999]
+    e = spark.createDataFrame(sorted(edges), "a long, b long")
+    picks = spark.createDataFrame([(i,) for i in sorted(set(ids))], "id long")
+    both = {i: len((near[i] | {x for v in near[i] for x in near[v]}) - {i}) for i in set(ids)}
+    apart = {i: len({x for v in near[i] for x in near[v]} - near[i] - {i}) for i in set(ids)}
+    for hub in (1, 50, 10_000):
+        assert dict(rows(kg.two_hop(e, picks, hub=hub))) == both
+    assert dict(rows(kg.two_hop(e, picks, hops_apart=True, hub=50))) == apart
+    assert all(abs(n - both[i]) <= max(1, 0.08 * both[i]) for i, n in rows(kg.reach_sketch(e, picks)))
+
+
 def test_semantic_edges_threshold(spark, rows):
     import math
 
@@ -133,3 +152,11 @@ def test_semantic_edges_threshold(spark, rows):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, at(0.851)), (3, at(0.849)), (4, [0.0, -1.0]), (5, [0.0, 0.0])], "id long, vec array<double>")
     assert (1, 2) in rows(kg.semantic_edges(v)) and (1, 3) not in rows(kg.semantic_edges(v))
     assert all(5 not in pair for pair in rows(kg.semantic_edges(v)))
+
+
+def test_cyclic_roots_are_placed_behind_and_others_are_ranked(spark, rows):
+    tasks = spark.createDataFrame([(1, i) for i in range(1, 7)] + [(2, i) for i in (10, 11)] + [(3, 7)], "root_id long, id long")
+    edges = spark.createDataFrame([(1, 2, 1), (1, 3, 2), (1, 4, 5), (1, 5, 4), (1, 6, 4), (2, 11, 10), (3, 7, 7)], EDGES)
+    want = sorted([(1, 1, 0), (1, 2, 1), (1, 3, 2), (1, 4, 3), (1, 5, 3), (1, 6, 3), (2, 10, 0), (2, 11, 1), (3, 7, 1)])
+    for small in (5000, 0):
+        assert rows(tg.longest_path_rank(tasks, edges, small=small)) == want

@@ -192,3 +192,15 @@ def test_sample_keeps_answers_and_repeats(spark):
     one = {r[0] for r in evaluation.sample_keeping(c, a, 20, 7).collect()}
     two = {r[0] for r in evaluation.sample_keeping(c.repartition(9), a, 20, 7).collect()}
     assert one == two and len(one) == 20 and set(range(5)) <= one
+
+
+def test_order_statistics_with_an_outlier_and_repeated_values(spark):
+    rng = random.Random(1)
+    values = [rng.random() for _ in range(500)] + [1e12] + [0.25] * 200 + [-1e9]
+    df = spark.createDataFrame([("a", v) for v in values] + [(None, 3.0)], "by string, ms double")
+    got = {r["by"]: r for r in evaluation.latency_stats(df, ["by"]).collect()}
+    ordered = sorted(values)
+    n = len(ordered)
+    assert got["a"]["p50"] == (ordered[(n - 1) // 2] + ordered[n // 2]) / 2
+    assert got["a"]["p95"] == ordered[min(n - 1, int(0.95 * n))] and got["a"]["min"] == -1e9
+    assert got[None]["n"] == 1 and got[None]["p50"] == 3.0
