@@ -129,23 +129,35 @@ def _ask(length: int, shards: int):
     return run
 
 
-def _answer(blobs: pd.DataFrame) -> pd.DataFrame:
-    """Of each document, the hashes that occur again anywhere."""
-    grams = [np.frombuffer(x, np.uint64) for x in blobs.grams]
-    seen, count = np.unique(np.concatenate(grams), return_counts=True)
-    again = seen[count > 1]
-    prints, hashes = [], []
-    for mine, ids, n in zip(grams, blobs.prints, blobs.counts, strict=True):
-        at = np.searchsorted(again, mine)
-        hit = np.zeros(len(mine), bool)
-        hit[at < len(again)] = again[at[at < len(again)]] == mine[at < len(again)]
-        owner = np.repeat(np.frombuffer(ids, np.int64), np.frombuffer(n, np.uint32))[hit]
-        mine = mine[hit]
-        edges = np.flatnonzero(np.diff(owner, prepend=owner[:1] - 1)) if len(owner) else np.zeros(0, np.int64)
-        for s, e in zip(edges, np.append(edges[1:], len(mine))):
-            prints.append(owner[s])
-            hashes.append(mine[s:e].tobytes())
-    return pd.DataFrame({"print": np.array(prints, np.int64), "again": pd.Series(hashes, dtype=object)})
+def _answer(shards: int):
+    """The hashes of a shard that occur again anywhere, with the prints of their documents, by range of prints."""
+
+    def run(blobs: pd.DataFrame) -> pd.DataFrame:
+        grams = np.concatenate([np.frombuffer(x, np.uint64) for x in blobs.grams])
+        owner = np.concatenate([np.repeat(np.frombuffer(ids, np.int64), np.frombuffer(n, np.uint32)) for ids, n in zip(blobs.prints, blobs.counts, strict=True)])
+        _, at, count = np.unique(grams, return_inverse=True, return_counts=True)
+        hit = np.flatnonzero(count[at] > 1)
+        target = owner[hit].view(np.uint64) % _U(shards)
+        order = hit[np.argsort(target, kind="stable")]
+        edges = np.searchsorted(np.sort(target), np.arange(shards + 1, dtype=np.uint64))
+        some = np.flatnonzero(np.diff(edges))
+        cut = [order[edges[k] : edges[k + 1]] for k in some]
+        return pd.DataFrame({
+            "target": some.astype(np.int32), "prints": pd.Series([owner[x].tobytes() for x in cut], dtype=object), "grams": pd.Series([grams[x].tobytes() for x in cut], dtype=object),
+        })
+
+    return run
+
+
+def _by_print(blobs: pd.DataFrame) -> pd.DataFrame:
+    """One row for each document of a range of prints: its hashes that occur again."""
+    owner = np.concatenate([np.frombuffer(x, np.int64) for x in blobs.prints])
+    grams = np.concatenate([np.frombuffer(x, np.uint64) for x in blobs.grams])
+    order = np.argsort(owner, kind="stable")
+    owner, grams = owner[order], grams[order]
+    head = np.flatnonzero(np.diff(owner, prepend=owner[:1] - 1))
+    lists = [grams[s:e].tobytes() for s, e in zip(head, np.append(head[1:], len(owner)), strict=True)]
+    return pd.DataFrame({"print": owner[head], "again": pd.Series(lists, dtype=object)})
 
 
 FRAME = "shard int, ids binary, prints binary, firsts binary, lefts binary, starts binary, bytes binary, repeated binary"
@@ -153,7 +165,7 @@ FRAME = "shard int, ids binary, prints binary, firsts binary, lefts binary, star
 
 def _frames_of(length: int, shards: int, doc_id: int, text: int):
     """By shard: frames of anchors that occur again.  Rows: those of the table (``doc_id`` and ``text`` are places
-    of columns), print, lists of hashes."""
+    of columns), print, its hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,7 +173,7 @@ def _frames_of(length: int, shards: int, doc_id: int, text: int):
             data, offsets = text_bytes(batch.column(text))
             prints, ids = np.asarray(batch.column(batch.num_columns - 2)), np.asarray(batch.column(doc_id).cast(pa.int64()))
             owner, first, last, anchor, gram = _all_frames(data, offsets, length)
-            lists = [np.sort(np.frombuffer(b"".join(x), np.uint64)) for x in batch.column(batch.num_columns - 1).to_pylist()]
+            lists = [np.sort(np.frombuffer(x, np.uint64)) for x in batch.column(batch.num_columns - 1).to_pylist()]
             edges = np.searchsorted(owner, np.arange(len(lists) + 1))
             keep = [np.isin(gram[s:e], x, kind="sort") for s, e, x in zip(edges, edges[1:], lists)]
             keep = np.flatnonzero(np.concatenate(keep)) if keep else np.zeros(0, np.int64)
@@ -297,7 +309,8 @@ def _with_ranges(docs: DataFrame, length: int) -> DataFrame:
         docs.where("doc_id is not null").where(F.octet_length("text") >= length).select(_print().alias("print"), "text")
         .mapInArrow(_ask(length, shards), "shard int, prints binary, counts binary, grams binary")
     )
-    again = asked.groupBy("shard").applyInPandas(_answer, "print long, again binary").groupBy("print").agg(F.collect_list("again").alias("again"))
+    hits = asked.groupBy("shard").applyInPandas(_answer(shards), "target int, prints binary, grams binary")
+    again = hits.groupBy("target").applyInPandas(_by_print, "print long, again binary")
     own, other, lists = fresh(docs, "_print"), fresh(docs, "_ranges"), fresh(docs, "_again")
     base = docs.withColumn(own, _print())
     place = docs.columns.index
