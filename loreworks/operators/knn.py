@@ -232,16 +232,16 @@ def knn_topk(
     out the pair of equal ids.  Scope filters belong on ``vectors`` before the call.
     """
     schema = _schema(queries, vectors)
-    queries = save_point(queries.select("qid", "vec"))  # read several times below, and perhaps dear to make
     # Row count and width are both proven before anything is shipped to the executors.
-    head = queries.select("qid", "vec").limit(small + 1)
-    width = queries.select(F.size("vec")).limit(1).collect()
-    dim = width[0][0] if width else 0
-    is_small = dim * 8 * small <= SMALL_BYTES and head.count() <= small
-    if is_small:
-        hits = _scan(head.collect(), vectors, k, skip_self, floor, metric, schema) if dim else None
+    head = queries.select("qid", "vec").limit(small + 1).persist()
+    n, dim = head.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vec")), F.lit(0))).first()
+    if n <= small and dim * 8 * n <= SMALL_BYTES:
+        hits = _scan(head.collect(), vectors, k, skip_self, floor, metric, schema) if dim > 0 else None
+        head.unpersist()
     else:
-        hits = _tiled(queries, vectors, k, skip_self, floor, metric, schema, block)
+        head.unpersist()
+        # read several times below, and perhaps dear to make
+        hits = _tiled(save_point(queries.select("qid", "vec")), vectors, k, skip_self, floor, metric, schema, block)
     if hits is None:
         hits = vectors.sparkSession.createDataFrame([], schema)
     return first_rows(hits, ["qid"], [F.col("sim").desc(), F.col("id")], k, "rank")

@@ -19,6 +19,7 @@ from loreworks.session import save_point
 
 SEGMENT_ROWS = 65_536
 NEEDLE_LIMIT = 256
+GRAM = 5
 
 
 def running(
@@ -122,6 +123,37 @@ def dense_number(df: DataFrame, order: Sequence[str], name: str = "seq", start:
     )
 
 
+def _grams(chars: Column, size: int) -> Column:
+    """Hashes of the distinct pieces of ``size`` characters; none of a shorter text."""
+    last = F.size(chars) - size + 1
+    pieces = F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.array_join(F.slice(chars, i, size), "")))
+    return F.when(last > 0, F.array_distinct(pieces)).otherwise(F.array().cast("array<long>"))
+
+
+def _by_rarest_gram(texts: DataFrame, needles: DataFrame, size: int) -> DataFrame:
+    """{_digest, _needle}: texts {_digest, _text} that have the rarest piece of a needle {_needle}.
+
+    A text gives a row for each of its pieces that some needle has, and a needle meets only the texts that share
+    its rarest piece, so rows follow the hits of rare pieces.  Needles of fewer than ``size`` characters are
+    pieces themselves.
+    """
+    width = F.least(F.char_length("_needle"), F.lit(size))
+    named = needles.select("_needle", F.col("_needle").alias("_text")).withColumn("_chars", F.split("_text", "")).withColumn("_w", width)
+    own = F.lit(None).cast("array<long>")
+    for w in range(1, size + 1):
+        own = F.when(F.col("_w") == w, _grams(F.col("_chars"), w)).otherwise(own)
+    wanted = save_point(named.select("_needle", "_w", F.explode(own).alias("_gram")))
+    widths = [r[0] for r in wanted.select("_w").distinct().collect()]  # at most ``size`` numbers
+    chars = F.split("_text", "")
+    pieces = F.array_distinct(F.concat(*[_grams(F.col("_chars"), w) for w in sorted(widths)])) if widths else F.array().cast("array<long>")
+    held = texts.select("_digest", chars.alias("_chars")).select("_digest", F.explode(pieces).alias("_gram"))
+    held = save_point(held.join(wanted.select("_gram").distinct(), "_gram", "left_semi"))
+    counted = wanted.join(held.groupBy("_gram").agg(F.count(F.lit(1)).alias("_df")), "_gram", "left")
+    # a piece that no text has rules its needle out
+    rarest = counted.groupBy("_needle").agg(F.min_by("_gram", F.struct(F.coalesce("_df", F.lit(0)), "_gram")).alias("_gram"), F.min(F.coalesce("_df", F.lit(0))).alias("_df"))
+    return held.join(rarest.where("_df > 0").select("_needle", "_gram"), "_gram").select("_digest", "_needle").distinct()
+
+
 def contains_join(
     texts: DataFrame,
     needles: DataFrame,
@@ -132,9 +164,9 @@ def contains_join(
     """Rows of ``texts`` paired with the rows of ``needles`` whose ``needle`` occurs in ``text``.
 
     Literal, case-sensitive matching (callers lower-case both sides).  A needle set proven to
-    have at most ``limit`` values is tested in a single narrow pass over the texts.  A larger
-    one is found by equi-join of whole needles to all pieces of a text of a needle's length, by
-    hash, and verified.  Equal texts are searched once.  Empty needles match nothing.
+    have at most ``limit`` values is tested in a single narrow pass over the texts.  In a larger
+    one each needle is looked up by the rarest of its pieces of ``GRAM`` characters, and the texts that
+    have this piece are verified.  Equal texts are searched once.  Empty needles match nothing.
     """
     distinct = needles.select(F.col(needle).alias("_needle")).where(F.length("_needle") > 0).distinct()
     head = [r[0] for r in distinct.limit(limit + 1).collect()]
@@ -147,20 +179,9 @@ def contains_join(
             )
             hits = texts.withColumn("_needle", F.explode(found))
     else:
-        # only digests of texts and hashes of their pieces are shuffled, and the whole needle is the key
-        widths = [r[0] for r in distinct.select(F.length("_needle")).distinct().collect()]
-        pieces = F.transform(
-            F.sequence(F.lit(1), F.size("_chars") - F.col("_w") + 1),
-            lambda i: F.xxhash64(F.array_join(F.slice("_chars", i, F.col("_w")), "")),
-        )
         keyed = texts.withColumn("_digest", F.sha2(F.col(text), 256))
-        seen = (
-            keyed.select("_digest", F.col(text).alias("_text")).where(F.col("_text") != "").dropDuplicates(["_digest"])
-            .select("_digest", F.split("_text", "").alias("_chars"), F.explode(F.array(*[F.lit(w) for w in widths])).alias("_w"))
-            .where(F.size("_chars") >= F.col("_w"))
-            .select("_digest", F.explode(F.array_distinct(pieces)).alias("_hash"))
-        )
-        found = seen.join(distinct.withColumn("_hash", F.xxhash64("_needle")), "_hash").select("_digest", "_needle").distinct()
+        seen = keyed.select("_digest", F.col(text).alias("_text")).where(F.col("_text") != "").dropDuplicates(["_digest"])
+        found = _by_rarest_gram(seen, distinct, GRAM)
         hits = keyed.join(found, "_digest").where(F.contains(F.col(text), F.col("_needle"))).drop("_digest")
     return hits.join(needles, F.col("_needle") == needles[needle]).drop("_needle")
 
