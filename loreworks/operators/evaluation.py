@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loreworks.operators.scale import attach_row, contains_join, first_rows
+from loreworks.operators.scale import attach_row, contains_join, dense_number, first_rows
 from loreworks.session import save_point
 
 RECALL_GATE = 0.80
@@ -72,14 +72,16 @@ def split_reachable(cases: DataFrame, files: DataFrame) -> tuple[DataFrame, Data
 def sample_keeping(chunks: DataFrame, answers: DataFrame, n: int, seed: int = 0xC0FFEE) -> DataFrame:
     """Every answer chunk plus a repeatable random filling, ``n`` rows in all (sampling operator).
 
-    ``answers`` is {chunk_id}.  The filling is ordered by a seeded hash of the id, so the same
-    seed always picks the same chunks however the table is partitioned.
+    ``answers`` is {chunk_id}.  The filling is ordered by a seeded digest of the id, so the same
+    seed always picks the same chunks however the table is partitioned.  The order is numbered in
+    ranges, so no task holds the sample.
     """
     keep = chunks.join(answers.select("chunk_id").distinct(), "chunk_id", "left_semi")
     rest = chunks.join(answers.select("chunk_id"), "chunk_id", "left_anti")
     room = max(0, n - keep.count())
-    filler = rest.orderBy(F.xxhash64(F.lit(seed), F.col("chunk_id")), "chunk_id").limit(room)
-    return keep.unionByName(filler)
+    drawn = rest.withColumn("_draw", F.md5(F.concat_ws(":", F.lit(seed), F.col("chunk_id").cast("string"))))
+    filler = dense_number(drawn, ["_draw", "chunk_id"], "_nth").where(F.col("_nth") <= room)
+    return keep.unionByName(filler.select(*chunks.columns))
 
 
 def arm_verdict(scores: DataFrame, arm: str, base: str, gate: float = RECALL_GATE) -> DataFrame:

@@ -291,6 +291,27 @@ def _(t):
     return vectors.select("chunk_id", F.size("vec").alias("dim"), F.round(F.aggregate("vec", F.lit(0.0), lambda a, v: a + v), 4).alias("total"))
 
 
+def sizes(frames):
+    """A stand-in for a model that SQL can compute: characters, and those before the first space."""
+    for pdf in frames:
+        pdf["vec"] = [[float(len(x)), float(len(x.split(" ")[0]))] for x in pdf["text"]]
+        yield pdf[["text_hash", "vec"]]
+
+
+@query(
+    "c18_embed_missing", "chunks",
+    """
+WITH c AS (SELECT sha256(text) AS text_hash FROM chunks WHERE kind = 'markdown')
+SELECT chunk_id, CASE WHEN sha256(text) IN (SELECT text_hash FROM c) THEN -1.0 ELSE length(text)::DOUBLE END AS size,
+  CASE WHEN sha256(text) IN (SELECT text_hash FROM c) THEN -2.0 ELSE length(string_split(text, ' ')[1])::DOUBLE END AS head FROM chunks""",
+)
+def _(t):
+    stored = F.array(F.lit(-1.0), F.lit(-2.0)).cast("array<float>")  # tells cached vectors from those that were made
+    cache = _hashed(t).where("kind = 'markdown'").select("text_hash", stored.alias("vec")).distinct()
+    vectors, _, _ = corpus.embed_with_cache(_hashed(t), cache, sizes)
+    return vectors.select("chunk_id", F.col("vec")[0].cast("double").alias("size"), F.col("vec")[1].cast("double").alias("head"))
+
+
 @query(
     "c19_warm_cache", "chunks cache_rows",
     """

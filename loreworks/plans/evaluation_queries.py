@@ -60,7 +60,13 @@ def _(t):
     return ok.withColumn("reachable", F.lit(True)).unionByName(dropped.withColumn("reachable", F.lit(False)))
 
 
-@query("e04_sample_keeping")
+@query(
+    "e04_sample_keeping", "chunks",
+    """
+WITH a AS (SELECT chunk_id, doc_id FROM chunks WHERE project = 'src1'),
+r AS (SELECT chunk_id, doc_id, row_number() OVER (ORDER BY md5('12648430:' || chunk_id), chunk_id) AS nth FROM chunks WHERE project <> 'src1')
+SELECT chunk_id, doc_id FROM a UNION ALL SELECT chunk_id, doc_id FROM r WHERE nth <= greatest(0, 1000 - (SELECT count(*) FROM a))""",
+)
 def _(t):
     answers = t("chunks").where("project = 'src1'").select("chunk_id")
     return ev.sample_keeping(t("chunks").select("chunk_id", "doc_id"), answers, 1000)

@@ -5,6 +5,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from loreworks.plans.corpus_queries import sizes
 from loreworks.plans.event_queries import CALL_PAIRS, js
 from loreworks.plans.registry import query
 from loreworks.session import shared_dir
@@ -69,24 +70,17 @@ def _lines(live):
     return cut.select("doc_id", F.concat_ws("-", "doc_id", "ordinal").alias("chunk_id"), "ordinal", F.lit("").alias("anchor"), "text")
 
 
-def _sizes(frames):
-    """A stand-in for an embedding that SQL can compute: characters, and those of the first word."""
-    for pdf in frames:
-        pdf["vec"] = [[float(len(x)), float(len(x.split(" ")[0]))] for x in pdf["text"]]
-        yield pdf[["text_hash", "vec"]]
-
-
 def _reindexed(t):
     """Folder of an index that took the old half of the documents in one batch and then the changes as a stream."""
     root = _work(t, "index")
     docs = t("docs").select("doc_id", "collection", "project", "rel_path", "kind", "text").withColumn("deleted", F.lit(False))
     old = F.when(F.col("doc_id") % 4 == 0, F.col("text")).otherwise(F.concat(F.lit("old\n"), F.substring("text", 1, 40)))
     ch.create_index(t.spark, root)
-    ch.reindex_batch(docs.where("doc_id % 4 < 2").withColumn("text", old), root, _sizes, _lines)
+    ch.reindex_batch(docs.where("doc_id % 4 < 2").withColumn("text", old), root, sizes, _lines)
     feed = _work(t, "feed")
     docs.withColumn("deleted", F.col("doc_id") % 13 == 5).withColumn("ts", F.timestamp_seconds("doc_id")).write.parquet(feed)
     stream = t.spark.readStream.schema(t.spark.read.parquet(feed).schema).parquet(feed)
-    ch.reindex_stream(stream, root, root + "-state", _sizes, _lines).awaitTermination()
+    ch.reindex_stream(stream, root, root + "-state", sizes, _lines).awaitTermination()
     return root
 
 
