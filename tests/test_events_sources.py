@@ -8,7 +8,7 @@ from loreworks.operators import events as ev
 from loreworks.operators import projects as pj
 from loreworks.session import shared_dir
 from loreworks.sources import files as fl
-from loreworks.sources import logs, tables
+from loreworks.sources import logs, reports, tables
 from loreworks.streaming import changes as ch
 
 LOG = "seq long, ts timestamp, type string, session_id string, turn_id string, task_id string, trace_id string, payload string"
@@ -246,3 +246,27 @@ def test_fingerprint_tree_is_renewed_along_changed_paths(spark):
         gone = spark.createDataFrame([(i,) for i in removed], "ordinal long")
         tree.renew(frame(changed) if changed else frame({0: ""}).limit(0), gone)
         assert tree.digest("m").first()[0] == whole(texts)
+
+
+def test_report_details(spark):
+    long = "m" * 700
+    junit = [
+        ("a", '<testsuites><testsuite tests="3" failures="2" errors="1" skipped="0" time="1.5"><testcase classname="m.C" name="x"><failure message="bad &lt;1&gt;">trace</failure><error message="">text only</error></testcase>'
+              f'<testcase name="y"><failure>{long}</failure></testcase><testcase name="z"/></testsuite><testsuite tests="1" time="0.25"/></testsuites>'),
+        ("b", '<testsuite tests="1" failures="0" errors="0" skipped="1" time="2"><testcase name="q"/></testsuite>'),
+        ("c", "no xml"),
+    ]
+    frame = lambda rows: spark.createDataFrame(rows, "run string, raw string")
+    got = {r.run: r for r in reports.parse_junit(frame(junit)).collect()}
+    assert [tuple(d) for d in got["a"].details] == [("m.C::x", "bad <1>"), ("m.C::x", "text only"), ("y", long[:500])]
+    assert got["a"].failures == ["m.C::x", "m.C::x", "y"] and got["a"].duration_s == 1.75 and got["b"].duration_s == 2.0
+    js = [
+        ("a", '{"numPassedTests":1,"numFailedTests":2,"startTime":1000,"endTime":3500,"testResults":[{"assertionResults":[{"status":"failed","fullName":"f g","failureMessages":["first","second"]},'
+              '{"status":"failed","title":"t"},{"status":"passed","title":"p"}]}]}'),
+        ("b", '{"numPassedTests":1,"startTime":5000,"endTime":1}'), ("c", '{"numPassedTests":1}'),
+    ]
+    got = {r.run: r for r in reports.parse_js_json(frame(js)).collect()}
+    assert [tuple(d) for d in got["a"].details] == [("f g", "first"), ("t", "")]
+    assert [got[k].duration_s for k in "abc"] == [2.5, 0.0, 0.0]
+    cargo = reports.parse_cargo(frame([("a", "test result: FAILED. 1 passed; 1 failed; 0 ignored\nfailures:\n    m::t\n")])).first()
+    assert [tuple(d) for d in cargo.details] == [("m::t", "see the log for the assertion")] and cargo.duration_s == 0.0
