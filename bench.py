@@ -17,6 +17,7 @@ from loreworks.plans import registry  # noqa: E402
 from loreworks.session import build_session  # noqa: E402
 
 HEADLINE = (
+    "s15_replace_documents",
     "c13_chunk_documents",
     "c16_incremental_diff",
     "c18_cache_hits",
@@ -33,6 +34,7 @@ HEADLINE = (
     "g11_place_new",
     "l08_timeline_groups",
     "l12_project_tasks",
+    "w09_late_rows",
     "p06_briefing_totals",
     "p12_open_tasks",
     "t07_longest_path_rank",
