@@ -165,7 +165,10 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20) -> DataFrame:
     asked = usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     kinds = "block long, width int, ids binary, data binary"
     q = save_point(asked.mapInArrow(_pack, kinds))
-    c = save_point(usable(vectors).mapInArrow(_pack, kinds))
+    # of equal vectors only the k + 1 least ids can be among the k nearest of a query, which may be one of them
+    nth = F.dense_rank().over(Window.partitionBy("embedding").orderBy("vec_id"))
+    least = usable(vectors).withColumn("nth", nth).where(F.col("nth") <= k + 1).select("vec_id", "embedding")
+    c = save_point(least.mapInArrow(_pack, kinds))
     rows, columns = (max(1, -(-(t.agg(F.sum(F.length("ids"))).first()[0] or 0) // (8 * GROUP))) for t in (q, c))
     own = lambda n: F.pmod(F.xxhash64("block"), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
