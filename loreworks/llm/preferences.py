@@ -73,20 +73,10 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
 def replies_of_the_next(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chosen and rejected turns from a table of single conversations.
 
-    Chosen is each conversation; in the rejected one, its last assistant turn is replaced by that of the conversation
-    with the next number, and ends it.  Conversations without such a turn, or without such a next one, are left out.
-    """
-    turns = conversations.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
-    last = turns.where(F.col("role") == ASSISTANT).groupBy("pair_id").agg(F.max(F.struct("turn", "text")).alias("own"))
-    other = last.select((F.col("pair_id") - 1).alias("pair_id"), F.col("own.text").alias("reply"))
-    return _sides(turns, last.join(other, "pair_id").select("pair_id", F.col("own.turn").alias("end"), "reply"))
-
-
-def replies_of_the_next_with_one(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """As ``replies_of_the_next``, with the reply of the next conversation that has one, however far its number is.
-
-    Conversations with an assistant turn are numbered by conv_id without gaps; after the last comes the first.  Left
-    out are those without such a turn (they have no completion), and one that is alone in having it.
+    Chosen is each conversation; in the rejected one, its last assistant turn is replaced by that of the next
+    conversation that has one, and ends it.  Conversations with an assistant turn are numbered by conv_id without gaps;
+    after the last comes the first.  Left out are those without such a turn (they have no completion), and one
+    that is alone in having it.
     """
     turns = conversations.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text").where("pair_id is not null and turn is not null")
     last = turns.where(F.col("role") == ASSISTANT).groupBy("pair_id").agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("own"))
@@ -109,9 +99,11 @@ TWIN = """
 WITH turns AS (
   SELECT conv_id AS pair_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 last AS (
-  SELECT pair_id, max(turn) AS "end", arg_max(text, turn) AS reply FROM turns WHERE role = 'assistant' GROUP BY 1),
+  SELECT pair_id, max(turn) AS "end", arg_max(coalesce(text, ''), row(turn, coalesce(text, ''))) AS reply,
+         row_number() OVER (ORDER BY pair_id) - 1 AS nth, count(*) OVER () AS n
+  FROM turns WHERE role = 'assistant' GROUP BY 1),
 ends AS (
-  SELECT a.pair_id, a."end", b.reply FROM last a JOIN last b ON b.pair_id = a.pair_id + 1),
+  SELECT a.pair_id, a."end", b.reply FROM last a JOIN last b ON b.nth = (a.nth + 1) % a.n WHERE a.n > 1),
 sides AS (
   SELECT t.pair_id, t.turn, 'c' AS side, role, text FROM turns t JOIN ends USING (pair_id)
   UNION ALL SELECT t.pair_id, t.turn, 'r', role, text FROM turns t JOIN ends USING (pair_id) WHERE t.turn < "end"
@@ -138,17 +130,3 @@ parts AS (
   FROM placed GROUP BY 1)
 SELECT *, chosen_loss <> '' AND rejected_loss <> '' AS usable FROM parts
 """
-
-#: The same rows by SQL, for ``format_pairs(*replies_of_the_next_with_one(conversations))``: only the ends differ.
-TWIN_ALL = TWIN.replace(
-    """
-  SELECT pair_id, max(turn) AS "end", arg_max(text, turn) AS reply FROM turns WHERE role = 'assistant' GROUP BY 1),
-ends AS (
-  SELECT a.pair_id, a."end", b.reply FROM last a JOIN last b ON b.pair_id = a.pair_id + 1),""",
-    """
-  SELECT pair_id, max(turn) AS "end", arg_max(coalesce(text, ''), row(turn, coalesce(text, ''))) AS reply,
-         row_number() OVER (ORDER BY pair_id) - 1 AS nth, count(*) OVER () AS n
-  FROM turns WHERE role = 'assistant' GROUP BY 1),
-ends AS (
-  SELECT a.pair_id, a."end", b.reply FROM last a JOIN last b ON b.nth = (a.nth + 1) % a.n WHERE a.n > 1),""",
-)

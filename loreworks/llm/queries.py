@@ -69,10 +69,6 @@ def op8_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preferences.format_pairs(*preferences.replies_of_the_next(_table(spark, sf_dir, "conversations")))
 
 
-def op8_preference_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preferences.format_pairs(*preferences.replies_of_the_next_with_one(_table(spark, sf_dir, "conversations")))
-
-
 def op9_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -107,7 +103,6 @@ _QUERIES = [
     op6_suffix_order_dedup,
     op7_importance_resampling,
     op8_preference_pairs,
-    op8_preference_pairs_all,
     op9_trie_bpe,
     op10_prob_minhash,
     op11_grouped_prefix_join,
@@ -132,7 +127,6 @@ def twins() -> dict[str, str]:
     return {
         "op1_block_matrix_search": block_search.TWIN,
         "op8_preference_pairs": preferences.TWIN,
-        "op8_preference_pairs_all": preferences.TWIN_ALL,
         "op11_grouped_prefix_join": grouped_join.TWIN,
         "op12_prefix_trie": prefix_trie.TWIN,
         "op13_cover_tree_negatives": cover_tree.TWIN,

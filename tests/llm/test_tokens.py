@@ -236,13 +236,13 @@ def test_every_conversation_with_a_reply_is_paired(spark):
     rows = [(c, t, r, x) for c, reply in ((3, "a"), (7, "b"), (8, None), (20, "c")) for t, r, x in ((0, "user", f"q{c}"), (1, "assistant", reply))]
     rows += [(5, 0, "user", "no reply"), (None, 0, "assistant", "x"), (9, None, "assistant", "x")]
     table_ = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    found = {r.pair_id: r for r in preferences.format_pairs(*preferences.replies_of_the_next_with_one(table_)).collect()}
+    found = {r.pair_id: r for r in preferences.format_pairs(*preferences.replies_of_the_next(table_)).collect()}
     said = lambda text: text.removeprefix("<|im_start|>assistant\n").removesuffix("<|im_end|>\n")
     assert {k: (said(r.chosen), said(r.rejected)) for k, r in found.items()} == {3: ("a", "b"), 7: ("b", ""), 8: ("", "c"), 20: ("c", "a")}
     assert all(r.prompt_turns == 1 for r in found.values())
     alone = table_.where("conv_id = 3")
-    assert preferences.format_pairs(*preferences.replies_of_the_next_with_one(alone)).count() == 0
-    assert preferences.format_pairs(*preferences.replies_of_the_next_with_one(alone.limit(0))).count() == 0
+    assert preferences.format_pairs(*preferences.replies_of_the_next(alone)).count() == 0
+    assert preferences.format_pairs(*preferences.replies_of_the_next(alone.limit(0))).count() == 0
 
 
 # -- vector search --------------------------------------------------------------------------------------
@@ -288,6 +288,16 @@ def test_bounds_hold():
     assert (np.abs(x.data @ y.data.T - value) <= off).all() and (off < 0.06 * x.norm[:, None] * y.norm).all()
 
 
+def test_search_among_many_equal_vectors(spark):
+    """10,000 copies of one vector and rows that repeat an id: the least ids are found, the query itself apart."""
+    rows = [(i, [1.0, 2.0, 0.5]) for i in range(10_000)] + [(20, [1.0, 2.0, 0.5])] * 30 + [(20_001, [5.0, 1.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = block_search.nearest(frame.where("vec_id in (20, 9000)"), frame, 3)
+    got = {(r.query_id, r["rank"]): r.vec_id for r in found.collect()}
+    assert {got[q, 1] for q in (20, 9000)} == {20_001}
+    assert (got[20, 2], got[20, 3]) == (0, 1) and (got[9000, 2], got[9000, 3]) == (0, 1)
+
+
 def test_search_edge_cases(spark):
     rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, [float("inf"), 1.0]), (None, [1.0, 1.0]), (6, [1.0, 1.0]), (7, []), (6, [1.0, 1.0]), (20, [2.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS rank", "2 AS score", "3 AS block")
