@@ -5,8 +5,8 @@ that many documents have come last.  Two sets of similarity ``percent`` or more
 n - ceil(percent n / 100) + 1, the prefix.
 
 * Documents with the same set are one vertex; vertices with the same prefix and the same size are one group.  Only
-  groups are indexed, by each shingle of their prefix, and group pairs are filtered by size and by the places of the
-  shared shingle (what precedes it differs, so at most what follows can be common).
+  groups are indexed, by each shingle of their prefix, and group pairs are filtered by size, by the number of shingles
+  that their prefixes share and by the places of these (up to the last of them nothing else can be common).
 * Group pairs are expanded to their members, which are verified on whole sets in integers.
 * What counts is who is connected, so pairs that are connected already are not expanded: in a first round each group
   meets the first of every list it is in, and the first member of its own; lists that still hold several
@@ -42,6 +42,8 @@ COMMON = 1 << 17
 TILE = 2048
 #: Bytes of text whose shingles are held at once, and shingles counted before rare ones are forgotten.
 SLICE, HELD = 1 << 20, 1 << 21
+#: Ids (of 16-byte digests) that may be sent to every task to pick out texts where they are read.
+SENT = 1_000_000
 
 
 def distinct_shingles(batch: pa.RecordBatch, column: int):
@@ -165,21 +167,36 @@ def _linked(percent: int):
 
 
 def _may(percent: int, n: Column, pos: Column, m: Column, at: Column) -> Column:
-    """Whether sets of n and m shingles whose first common one is at these places can be similar."""
-    return (100 + percent) * F.least(n - pos, m - at) >= percent * (n + m)
+    """Whether a shared shingle at these places can belong to similar sets of n and m shingles."""
+    return (100 + percent) * (F.least(pos, at) + F.least(n - pos, m - at)) >= percent * (n + m)
 
 
 def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _candidates(percent: int, met: DataFrame, x: str, y: str) -> DataFrame:
+    """Pairs ``a, b`` that can be similar, of rows for each shingle that two prefixes share.
+
+    ``met`` has n, pos of ``x`` and m, at of ``y``.  Shared shingles stand in the same order in both sets, so up to the
+    last of them nothing else is common.  The prefix that ends first in the order has nothing more in common with
+    the other either, so of its set only what follows the prefix can be.  Members of a group (place -1) share their
+    prefix.
+    """
+    pair = met.where(_may(percent, F.col("n"), F.col("pos"), F.col("m"), F.col("at"))).groupBy(x, y, "n", "m")
+    seen = pair.agg(F.count("*").alias("shared"), F.max("pos").alias("pos"), F.max("at").alias("at"), F.min("pos").alias("least"))
+    behind = lambda size: F.floor((F.lit(percent) * size + 99) / 100).cast("long") - 1  # noqa: E731 - shingles that follow the prefix
+    rest = F.greatest(F.least(behind(F.col("n")), F.col("m") - F.col("at") - 1), F.least(F.col("n") - F.col("pos") - 1, behind(F.col("m"))))
+    similar = (100 + percent) * (F.col("shared") + rest) >= percent * (F.col("n") + F.col("m"))
+    return seen.where(similar | (F.col("least") < 0)).select(*_ordered(x, y))
+
+
 def _other_centres(rows: DataFrame, percent: int, tile: int) -> DataFrame:
     """Pairs of the picked member of each list and those of other components."""
     centre = rows.where(F.xxhash64("vertex") == F.col("pick")).select(
-        "token", F.col("vertex").alias("centre"), F.col("n").alias("cn"), F.col("pos").alias("cpos"), F.col("label").alias("clabel")
+        "token", F.col("vertex").alias("centre"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("label").alias("clabel")
     )
-    may = (F.col("label") != F.col("clabel")) & _may(percent, F.col("n"), F.col("pos"), F.col("cn"), F.col("cpos"))
-    return rows.join(centre, "token").where(may).select(*_ordered("vertex", "centre"))
+    return _candidates(percent, rows.join(centre, "token").where(F.col("label") != F.col("clabel")), "vertex", "centre")
 
 
 def _tiled_pairs(rows: DataFrame, percent: int, tile: int) -> DataFrame:
@@ -191,12 +208,16 @@ def _tiled_pairs(rows: DataFrame, percent: int, tile: int) -> DataFrame:
         "token", (F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")).alias("tile"), "vertex", "n", "pos", "label", "mine", "other"
     )
     x = tiled.where("mine <= other").select(
-        "token", "tile", F.col("vertex").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xpos"), F.col("label").alias("xlabel"), F.col("mine").alias("xmine")
+        "token", "tile", F.col("vertex").alias("x"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("label").alias("xlabel"), F.col("mine").alias("xmine")
     )
     y = tiled.where("mine >= other")
-    once = (F.col("mine") != F.col("xmine")) | (F.col("x") < F.col("vertex"))
-    may = (F.col("label") != F.col("xlabel")) & once & _may(percent, F.col("n"), F.col("pos"), F.col("xn"), F.col("xpos"))
-    return x.join(y, ["token", "tile"]).where(may).select(*_ordered("x", "vertex"))
+    apart = (F.col("label") != F.col("xlabel")) & ((F.col("mine") != F.col("xmine")) | (F.col("x") < F.col("vertex")))
+    # a pair of one block and one of two blocks may come in either order, so the smaller id is put first
+    both = x.join(y, ["token", "tile"]).where(apart)
+    turned = F.col("x") > F.col("vertex")
+    swap = lambda p, q: F.when(turned, F.col(q)).otherwise(F.col(p))
+    met = both.select(swap("x", "vertex").alias("x"), swap("m", "n").alias("m"), swap("at", "pos").alias("at"), swap("vertex", "x").alias("vertex"), swap("n", "m").alias("n"), swap("pos", "at").alias("pos"))
+    return _candidates(percent, met, "vertex", "x")
 
 
 def linked_components(docs: DataFrame, percent: int = PERCENT, tile: int = TILE) -> DataFrame:
@@ -217,27 +238,31 @@ def linked_components(docs: DataFrame, percent: int = PERCENT, tile: int = TILE)
     shared = entries.groupBy("token").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi")).where("lo < hi")
     lists = save_point(entries.join(shared.select("token", "lo"), "token"))
 
-    used = lists.select("gid").distinct()
     crowd = member.where("members > 1")
-    needed = member.join(used, "gid", "left_semi").unionByName(crowd.join(used, "gid", "left_anti")).select(F.col("vertex").alias("doc_id"), "digest")
-    sets = save_point(docs.select("doc_id", "text").join(needed.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "digest").mapInArrow(_sets, f"id {id_type}, shingles binary"))
+    digest = member.select(F.col("vertex").alias("doc_id"), "digest")
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """The similar ones of ``pairs``; only texts that are in a pair are read again."""
+        pairs = save_point(pairs)
+        needed = save_point(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(digest, "doc_id"))
+        if needed.count() <= SENT:  # else the texts are shuffled to them
+            needed = F.broadcast(needed)
+        sets = save_point(docs.select("doc_id", "text").join(needed, "doc_id").select("doc_id", "text", "digest").mapInArrow(_sets, f"id {id_type}, shingles binary"))
         left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("of_a"))
         right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b"))
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b")
-        return save_point(both.mapInArrow(_linked(percent), f"a {id_type}, b {id_type}"))
+        return save_point(both.mapInArrow(_linked(percent), f"a {id_type}, b {id_type}").distinct())
 
     # first round: the first group of each list, the first member of each group
-    centre = lists.where("gid = lo").select("token", F.col("gid").alias("centre"), F.col("n").alias("cn"), F.col("pos").alias("cpos"))
-    stars = lists.where("gid <> lo").join(centre, "token").where(_may(percent, F.col("n"), F.col("pos"), F.col("cn"), F.col("cpos"))).select(*_ordered("gid", "centre"))
-    links = verified(stars.distinct().unionByName(crowd.where("vertex <> gid").select(*_ordered("vertex", "gid"))))
+    centre = lists.where("gid = lo").select("token", F.col("gid").alias("centre"), F.col("n").alias("m"), F.col("pos").alias("at"))
+    stars = _candidates(percent, lists.where("gid <> lo").join(centre, "token"), "gid", "centre")
+    links = verified(stars.unionByName(crowd.where("vertex <> gid").select(*_ordered("vertex", "gid"))))
 
     # lists of members, and a list for each group
     rows = lists.join(member.select("vertex", "gid"), "gid").select("token", "vertex", "n", "pos")
-    own = crowd.select(F.xxhash64(F.lit("group"), "gid").alias("token"), "vertex", "n", F.lit(0).alias("pos"))
+    own = crowd.select(F.xxhash64(F.lit("group"), "gid").alias("token"), "vertex", "n", F.lit(-1).alias("pos"))
     rows = rows.unionByName(own)
-    nodes = needed.select(F.col("doc_id").alias("id"))
+    nodes = member.select(F.col("vertex").alias("id"))
 
     def labels() -> DataFrame:
         return save_point(components(nodes, links).select(F.col("id").alias("vertex"), F.col("component").alias("label")))
@@ -253,7 +278,7 @@ def linked_components(docs: DataFrame, percent: int = PERCENT, tile: int = TILE)
         rows = apart(rows, label)
         if rows.isEmpty():
             break
-        links = links.unionByName(verified(pairs(rows, percent, tile).distinct()))
+        links = links.unionByName(verified(pairs(rows, percent, tile)))
     else:
         label = labels()
 
