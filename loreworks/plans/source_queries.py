@@ -237,7 +237,7 @@ FROM chunks WHERE doc_id % 7 <> 1 AND NOT (doc_id % 3 = 0 AND ordinal > 0)""",
 def _(t):
     path = fresh(t, "index")
     rows = t("chunks").select("doc_id", "chunk_id", F.sha2("text", 256).alias("body"))
-    tables.write_index(rows, path, bucket_keys=100)
+    tables.write_index(rows, path, bucket_keys=500)
     new = t("chunks").where("doc_id % 3 = 0 AND doc_id % 7 <> 1 AND ordinal = 0").select(
         "doc_id", "chunk_id", F.concat(F.lit("new "), F.char_length("text").cast("string")).alias("body")
     )
