@@ -244,7 +244,8 @@ def _(t):
 
 
 def _updates(stream, out: str):
-    return st.run_updates(stream, out, out + "-state")
+    with sf.rocksdb(stream.sparkSession):
+        return st.run_updates(stream, out, out + "-state")
 
 
 UNTIL_BOOT = f"""WITH {APPROVALS}, b AS (SELECT seq FROM log WHERE type = 'system.boot'),

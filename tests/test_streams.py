@@ -1,9 +1,13 @@
 """Streams with state: stopped and started again, against plain Python."""
 
+import os
 import random
+import subprocess
+import sys
 from collections import defaultdict
 from datetime import datetime, timedelta
 
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from loreworks.operators import events as ev
@@ -115,3 +119,23 @@ def test_late_rows_are_set_aside_and_on_time_results_stay(spark, rows):
     # a batch that is replayed gives the same files
     late.route_batch(parts[2], 2, out, "ts", 600, 600)
     assert sorted((r.batch, r.type) for r in late.late_rows(spark, out).collect()) == got
+
+
+def test_processors_load_without_the_package(tmp_path):
+    payload = tmp_path / "processors"
+    payload.write_bytes(cloudpickle.dumps((sf.OpenCalls(None), sf.OpenRequests())))
+    code = "import sys; from pyspark import cloudpickle; print([type(p).__name__ for p in cloudpickle.loads(open(sys.argv[1], 'rb').read())])"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code, str(payload)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=60)
+    assert done.stdout.strip() == "['OpenCalls', 'OpenRequests']", done.stderr
+
+
+def test_state_store_is_set_for_the_start_only(spark):
+    before = spark.conf.get(sf.PROVIDER, None)
+    spark.conf.set(sf.PROVIDER, "other")
+    try:
+        with sf.rocksdb(spark):
+            assert spark.conf.get(sf.PROVIDER) == sf.ROCKS
+        assert spark.conf.get(sf.PROVIDER) == "other"
+    finally:
+        spark.conf.set(sf.PROVIDER, before)
