@@ -195,7 +195,7 @@ def fingerprint_levels(chunks: DataFrame, order: str = "ordinal", fan: int = FAN
     """Levels {node, n, digest} of a hash tree over texts: the texts first, the root (node 0) last.
 
     Every node has at most ``fan`` children, so no array grows with the corpus; ``fan ** height`` must
-    exceed the largest ``order``.
+    exceed the largest ``order``, or the digest fails instead of leaving texts out.
     """
     levels = [chunks.select(F.col(order).cast("long").alias("node"), F.lit(1).cast("long").alias("n"), F.sha2("text", 256).alias("digest"))]
     for _ in range(height):
@@ -204,7 +204,9 @@ def fingerprint_levels(chunks: DataFrame, order: str = "ordinal", fan: int = FAN
 
 
 def _sealed(root: DataFrame, key: str) -> DataFrame:
-    whole = root.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max("digest"), F.lit("")).alias("digest"))
+    one = F.coalesce(F.min("node") == 0, F.lit(True)) & F.coalesce(F.max("node") == 0, F.lit(True))
+    digest = F.when(one, F.coalesce(F.max("digest"), F.lit(""))).otherwise(F.raise_error(F.lit("the tree is too low for its order: not one root but several")))
+    whole = root.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), digest.alias("digest"))
     return whole.select(F.sha2(F.concat(F.lit(f"{key}|"), F.col("n").cast("string"), F.lit("|"), "digest"), 256).alias("digest"))
 
 

@@ -395,17 +395,21 @@ def tree_sql(fan: int, height: int, table: str = "chunks", node: str = "chunk_id
     return f"{', '.join(levels)} SELECT sha256('{key}|' || CAST(n AS VARCHAR) || '|' || h) AS digest FROM l{height}"
 
 
-@query("c25_fingerprint", "chunks", f"WITH {tree_sql(64, 4)}")
+#: Small runs, so that small tables have several levels too; the ids may be as large as with the defaults (2^48).
+TREE = {"fan": 64, "height": 8}
+
+
+@query("c25_fingerprint", "chunks", f"WITH {tree_sql(**TREE)}")
 def _(t):
-    return corpus.fingerprint(t("chunks"), "model", order="chunk_id", fan=64)
+    return corpus.fingerprint(t("chunks"), "model", order="chunk_id", **TREE)
 
 
 CHANGED = "CASE WHEN chunk_id % 10 = 3 THEN text || ' changed' ELSE text END"
 
 
-@query("c25_fingerprint_renewed", "chunks", f"WITH c AS (SELECT chunk_id, {CHANGED} AS text FROM chunks WHERE chunk_id % 100 <> 7), {tree_sql(64, 4, 'c')}")
+@query("c25_fingerprint_renewed", "chunks", f"WITH c AS (SELECT chunk_id, {CHANGED} AS text FROM chunks WHERE chunk_id % 100 <> 7), {tree_sql(**TREE, table='c')}")
 def _(t):
-    tree = corpus.FingerprintTree(t.spark, f"{shared_dir(t.spark)}/trees/{uuid.uuid4().hex}", fan=64)
+    tree = corpus.FingerprintTree(t.spark, f"{shared_dir(t.spark)}/trees/{uuid.uuid4().hex}", **TREE)
     tree.build(t("chunks"), "chunk_id")
     changed = t("chunks").where("chunk_id % 10 = 3 and chunk_id % 100 <> 7").withColumn("text", F.concat("text", F.lit(" changed")))
     tree.renew(changed, t("chunks").where("chunk_id % 100 = 7"), "chunk_id")

@@ -1,11 +1,13 @@
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from loreworks.operators import corpus
 from loreworks.operators import events as ev
 from loreworks.operators import projects as pj
+from loreworks.plans import registry
 from loreworks.session import shared_dir
 from loreworks.sources import files as fl
 from loreworks.sources import logs, reports, tables
@@ -248,6 +250,19 @@ def test_fingerprint_tree_is_renewed_along_changed_paths(spark):
         assert tree.digest("m").first()[0] == whole(texts)
 
 
+def test_fingerprint_of_large_ids(spark, tmp_path):
+    frame = lambda *ids: spark.createDataFrame([(i, f"text {i}") for i in ids], "ordinal long, text string")
+    with pytest.raises(Exception, match="too low"):
+        corpus.fingerprint(frame(1, 256), "m", fan=4, height=4).first()
+    docs = str(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT doc_id * 1000 AS doc_id, * EXCLUDE doc_id FROM '/root/testdata/sf0.001/documents.parquet') TO '{docs}'")
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{docs}'")
+    for name in ("c25_fingerprint", "c25_fingerprint_renewed"):
+        got = registry.queries()[name](spark, str(tmp_path)).collect()
+        assert [tuple(r) for r in got] == con.sql(registry.twins()[name]).fetchall()
+
+
 def test_report_details(spark):
     long = "m" * 700
     junit = [
