@@ -276,7 +276,8 @@ def _routed(t) -> str:
 
 
 ROUTED = """n AS (SELECT seq % 3 AS batch, max(ts) AS newest FROM log GROUP BY 1),
-m AS (SELECT batch, make_timestamp(epoch_ms((SELECT max(newest) FROM n x WHERE x.batch < n.batch)) * 1000 - 86400000000) AS watermark FROM n),
+w AS (SELECT batch, epoch_us((SELECT max(newest) FROM n x WHERE x.batch < n.batch)) AS us FROM n),
+m AS (SELECT batch, make_timestamp(us - us % 1000 - 86400000000) AS watermark FROM w),
 d AS (SELECT l.*, batch, watermark, coalesce(epoch_us(ts) - epoch_us(ts) % 3600000000 + 3600000000 <= epoch_us(watermark), false) AS late FROM log l JOIN m ON m.batch = l.seq % 3)"""
 
 

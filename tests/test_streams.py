@@ -7,10 +7,12 @@ import sys
 from collections import defaultdict
 from datetime import datetime, timedelta
 
+import duckdb
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from loreworks.operators import events as ev
+from loreworks.plans import registry
 from loreworks.session import shared_dir
 from loreworks.streaming import changes as ch
 from loreworks.streaming import late
@@ -139,3 +141,13 @@ def test_state_store_is_set_for_the_start_only(spark):
         assert spark.conf.get(sf.PROVIDER) == "other"
     finally:
         spark.conf.set(sf.PROVIDER, before)
+
+
+def test_late_rows_of_fractions_of_a_millisecond(spark, tmp_path):
+    con = duckdb.connect()
+    stamp = "date_trunc('milliseconds', ts) + INTERVAL 600 MICROSECOND"
+    con.execute(f"COPY (SELECT * REPLACE ({stamp} AS ts) FROM '/root/testdata/sf0.001/events.parquet') TO '{tmp_path}/events.parquet'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got = registry.queries()["w09_late_rows"](spark, str(tmp_path))
+    want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({registry.twins()['w09_late_rows']}) q").fetchall()
+    assert want and sorted(tuple(r) for r in got.collect()) == sorted(want)
