@@ -6,7 +6,9 @@ Two exact plans:
   one matrix product per batch, giving at most ``k`` rows per query and partition;
 * otherwise both sides are assigned to pivot cells, cell pairs that cannot hold a neighbour are
   ruled out with the triangle inequality, and the remaining pairs are compared in bounded
-  blocks (the k-nearest-neighbour join of Lu et al., PVLDB 2012).  Products of vectors of any
+  blocks (the k-nearest-neighbour join of Lu et al., PVLDB 2012).  A block is one packed row, and
+  blocks meet in a Cartesian product of few partitions: nothing is copied by block pair, so what is
+  written grows with the rows; only the products grow with their square.  Products of vectors of any
   length are ranked by lifting them to distances first, so both plans give the same rows.
 
 Similarity is rounded to six digits before ranking and ties are broken by id, so the result does
@@ -19,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +33,12 @@ SMALL_QUERIES = 4096
 SMALL_BYTES = 64 << 20
 BLOCK_ROWS = 2048
 MAX_PIVOTS = 256
+TILE_ROWS = 4096
+SEED_COLUMNS = 256
+PRODUCTS = 1 << 20
+#: Unit roundoff of single precision, taken twice as the factors are rounded too; products beyond SAFE stay in double.
+ERROR, SAFE = 2.0**-23, 1e30
+RIGHT_PARTS, RIGHT_BYTES = 4, 64 << 20
 DIGITS = 6
 
 
@@ -159,7 +168,8 @@ def _tiled(queries: DataFrame, vectors: DataFrame, k: int, skip_self: bool, floo
         queries, vectors, longest = _lifted(queries, vectors)
     # At most MAX_PIVOTS rows reach the driver, chosen by hash so that a rerun picks the same,
     # and no more than it takes for a cell to fill a block.  Copies of one vector are one pivot.
-    wanted = int(min(MAX_PIVOTS, max(1, -(-vectors.count() // block))))
+    total = vectors.count()
+    wanted = int(min(MAX_PIVOTS, max(1, -(-total // block))))
     picked = vectors.select("id", "vec").orderBy(F.md5(F.col("id").cast("string"))).limit(wanted).collect()
     pivots = np.unique(np.array([r["vec"] for r in picked], dtype=np.float64), axis=0)
     qa, va = _assign(queries, "qid", pivots), _assign(vectors, "id", pivots)
@@ -176,42 +186,142 @@ def _tiled(queries: DataFrame, vectors: DataFrame, k: int, skip_self: bool, floo
             radius = float(np.sqrt(max(0.0, q2 + v2 - 2 * (floor - 1e-5))))
     pairs = _cell_pairs(q_stats, v_stats, pivots, k + int(skip_self), radius, slack)
 
-    def blocks(stats: list) -> dict[int, int]:
-        return {s["cell"]: max(1, -(-s["n"] // block)) for s in stats}
-
-    qb, vb = blocks(q_stats), blocks(v_stats)
-    plan = spark.createDataFrame(
-        [(a, b, qb[a], vb[b]) for a, b in pairs], "qcell int, vcell int, nq int, nv int"
+    # Blocks grow with the table up to a bound, so that their number, and with it what is sent about, does not.
+    size = max(block, min(TILE_ROWS, -(-total // MAX_PIVOTS)))
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, []).append(b)
+    plan = F.broadcast(spark.createDataFrame(sorted(near.items()), "cell int, reach array<int>"))
+    width = 8 * pivots.shape[1]
+    rights = min(len(v_stats) + total // size, max(RIGHT_PARTS, -(-total * width // RIGHT_BYTES)))
+    lefts = min(len(q_stats) + sum(s["n"] for s in q_stats) // size, 2 * spark.sparkContext.defaultParallelism)
+    left = _packed(qa, "qid", q_stats, size).join(plan, "cell").select(
+        F.col("tile").alias("qtile"), F.col("ids").alias("qids"), F.col("mat").alias("qmat"), "reach"
+    ).repartition(lefts, "qtile")
+    right = _packed(va, "id", v_stats, size).repartition(rights, "tile")
+    met = left.hint("shuffle_replicate_nl").join(right, F.array_contains("reach", F.col("cell"))).select("qtile", "qids", "qmat", "ids", "mat")
+    return met.mapInArrow(_compare(k, skip_self, floor, metric, pivots.shape[1]), schema)
+
+
+def _packed(df: DataFrame, key: str, stats: list, size: int) -> DataFrame:
+    """{cell, tile, ids, mat}: the rows of a cell in blocks of about ``size``, each one row with its ids in order."""
+    counts = {s["cell"]: max(1, -(-s["n"] // size)) for s in stats}
+    count = F.try_element_at(F.create_map(*[F.lit(x) for kv in counts.items() for x in kv]), F.col("cell"))
+    dealt = df.select(F.col(key).alias("id"), "vec", "cell", F.pmod(F.xxhash64(F.col(key)), count).cast("long").alias("_b"))
+    schema = T.StructType(
+        [T.StructField("cell", T.IntegerType()), T.StructField("tile", T.StringType()), T.StructField("ids", T.ArrayType(df.schema[key].dataType)), T.StructField("mat", T.BinaryType())]
     )
-    tiles = plan.select(
-        "qcell", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qblock"), "vcell", "nv"
-    ).select("qcell", "qblock", "vcell", F.explode(F.sequence(F.lit(0), F.col("nv") - 1)).alias("vblock"))
-
-    def cut(df: DataFrame, key: str, prefix: str, sizes: dict[int, int]) -> DataFrame:
-        count = F.try_element_at(
-            F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]), F.col("cell")
-        )
-        return df.select(
-            key, "vec", F.col("cell").alias(f"{prefix}cell"),
-            F.pmod(F.xxhash64(F.col(key)), count).cast("int").alias(f"{prefix}block"),
-        )
-
-    tile = ["qcell", "qblock", "vcell", "vblock"]
-    left = cut(qa, "qid", "q", qb).join(tiles, ["qcell", "qblock"]).groupBy(*tile)
-    right = cut(va, "id", "v", vb).join(tiles, ["vcell", "vblock"]).groupBy(*tile)
-
-    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"qid": [], "id": [], "sim": []})
-        b = b.sort_values("id", kind="stable")
-        sims = _measure(_matrix(a["vec"]), _matrix(b["vec"]), metric)
-        ids, vid = a["qid"].to_numpy(dtype=object), b["id"].to_numpy(dtype=object)
-        if skip_self:
-            sims[ids[:, None] == vid[None, :]] = -np.inf
-        r, c = _top(sims, k, floor)
-        return pd.DataFrame({"qid": ids[r], "id": vid[c], "sim": np.round(sims[r, c], DIGITS)})
-
-    return left.cogroup(right).applyInPandas(compare, schema)
+
+    def pack(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", kind="stable")
+        return pd.DataFrame({"cell": [group[0]], "tile": [f"{group[0]}-{group[1]}"], "ids": [pdf["id"].tolist()], "mat": [_matrix(pdf["vec"]).tobytes()]})
+
+    return dealt.groupBy("cell", "_b").applyInPandas(pack, schema)
+
+
+class _Best:
+    """The best ``k`` so far of each query of a block: pairs that can't be among them are dropped by one comparison."""
+
+    def __init__(self, qids: np.ndarray, mat: np.ndarray, k: int, skip_self: bool, floor: float | None, metric: str):
+        self.qids, self.mat, self.k, self.skip_self, self.floor, self.metric = qids, mat, k, skip_self, floor, metric
+        self.bound = np.full(len(qids), -np.inf if floor is None else np.round(floor * 10**DIGITS))
+        self.single, self.length = mat.astype(np.float32), np.sqrt((mat * mat).sum(1))
+        self.row, self.id, self.sim, self.fresh = np.zeros(0, dtype=np.int64), None, np.zeros(0), True
+
+    def meet(self, ids: np.ndarray, mat: np.ndarray) -> None:
+        step = SEED_COLUMNS if self.fresh else max(SEED_COLUMNS, PRODUCTS // max(1, len(self.qids)))
+        at = 0
+        while at < len(ids):
+            self._meet(ids[at : at + step], mat[at : at + step])
+            at, step = at + step, max(SEED_COLUMNS, PRODUCTS // max(1, len(self.qids)))
+
+    def _meet(self, ids: np.ndarray, mat: np.ndarray) -> None:
+        found = None if self.fresh else self._above(ids, mat)
+        r, c, sims = self._all(ids, mat) if found is None else found  # no bounds yet, or many ties, as copies make
+        self.fresh = False
+        s = np.round(sims * 10**DIGITS)
+        good = s >= self.bound[r]
+        if good.any():
+            self._add(r[good], ids[c[good]], s[good])
+
+    def _above(self, ids: np.ndarray, mat: np.ndarray) -> tuple | None:
+        """Pairs that reach the bounds: products in single precision less their greatest error, then in double."""
+        reach = (self.bound - 0.51) / 10**DIGITS
+        if self.metric == "cosine":
+            far = np.sqrt((mat * mat).sum(1).max(initial=0.0))
+            if not self.length.max(initial=0.0) * far < SAFE:
+                return None
+            rough = self.single @ mat.astype(np.float32).T
+            # to single precision downwards
+            low = np.nextafter((reach - ERROR * (mat.shape[1] + 4) * self.length * far).astype(np.float32), np.float32(-np.inf))
+        else:
+            rough, low = _measure(self.mat, mat, self.metric), reach
+        hit = np.flatnonzero(rough >= low[:, None])
+        if len(hit) > 4 * self.k * len(self.qids):
+            return None
+        r, c = np.divmod(hit, len(ids))
+        if self.skip_self:
+            other = self.qids[r] != ids[c]
+            r, c, hit = r[other], c[other], hit[other]
+        sims = np.einsum("ij,ij->i", self.mat[r], mat[c]) if self.metric == "cosine" else rough.ravel()[hit]
+        good = np.isfinite(sims)
+        return r[good], c[good], sims[good]
+
+    def _all(self, ids: np.ndarray, mat: np.ndarray) -> tuple:
+        sims = _measure(self.mat, mat, self.metric)
+        if self.skip_self:
+            lo, hi = np.searchsorted(ids, self.qids, "left"), np.searchsorted(ids, self.qids, "right")
+            for extra in range(int((hi - lo).max(initial=0))):
+                own = np.nonzero(hi - lo > extra)[0]
+                sims[own, lo[own] + extra] = -np.inf
+        r, c = _top(sims, self.k, self.floor)
+        return r, c, sims[r, c]
+
+    def _add(self, row: np.ndarray, ids: np.ndarray, sim: np.ndarray) -> None:
+        if self.id is not None:
+            row, ids, sim = np.concatenate([self.row, row]), np.concatenate([self.id, ids]), np.concatenate([self.sim, sim])
+        order = np.lexsort((ids, -sim, row))
+        row = row[order]
+        nth = np.arange(len(row)) - np.searchsorted(row, row, "left")
+        keep = nth < self.k
+        self.row, self.id, self.sim = row[keep], ids[order][keep], sim[order][keep]
+        last = nth[keep] == self.k - 1
+        self.bound[self.row[last]] = self.sim[last]
+
+    def rows(self) -> tuple:
+        return self.qids[self.row], self.id, self.sim / 10**DIGITS
+
+
+def _plain(ids) -> np.ndarray:
+    ids = np.asarray(ids)
+    return ids.astype(str) if ids.dtype == object else ids
+
+
+def _compare(k: int, skip_self: bool, floor: float | None, metric: str, dim: int):
+    def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(best: _Best) -> Iterator[pa.RecordBatch]:
+            if best.id is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in best.rows()], names=["qid", "id", "sim"])
+
+        def block(batch: pa.RecordBatch, i: int, ids: str, mat: str) -> tuple:
+            flat = np.frombuffer(batch.column(mat)[i].as_buffer(), dtype=np.float64)
+            return _plain(batch.column(ids)[i].values.to_numpy(zero_copy_only=False)), flat.reshape(-1, dim)
+
+        # the blocks that a block of queries meets follow each other
+        tile, best = None, None
+        for batch in it:
+            for i in range(batch.num_rows):
+                if batch.column("qtile")[i].as_py() != tile:
+                    if best is not None:
+                        yield from out(best)
+                    tile = batch.column("qtile")[i].as_py()
+                    qids, qmat = block(batch, i, "qids", "qmat")
+                    best = _Best(qids.copy(), qmat.copy(), k, skip_self, floor, metric)
+                best.meet(*block(batch, i, "ids", "mat"))
+        if best is not None:
+            yield from out(best)
+
+    return compare
 
 
 def knn_topk(

@@ -126,6 +126,20 @@ def test_knn_paths_match_brute_force(spark, unit):
             assert {(r["qid"], r["id"], r["rank"]) for r in got.collect()} == want
 
 
+def test_knn_blocks_are_not_copied_by_pair(spark):
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(90, 5))
+    v[20:60] = v[0]
+    names = [f"d{i:03}" for i in range(90)]
+    df = spark.createDataFrame([(n, [float(x) for x in r]) for n, r in zip(names, v)], "id string, vec array<double>")
+    got = knn.knn_topk(df.withColumnRenamed("id", "qid"), df, 3, skip_self=True, small=0, block=2)
+    plan = got._jdf.queryExecution().toString()
+    assert "CartesianProduct" in plan and "CoGroup" not in plan
+    sims = np.round(v @ v.T, 6)
+    want = {(names[i], names[j]) for i in range(90) for j in sorted((j for j in range(90) if j != i), key=lambda j: (-sims[i, j], j))[:3]}
+    assert {(r["qid"], r["id"]) for r in got.collect()} == want
+
+
 def test_knn_distance_metric(spark):
     df = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(20)], "id long, vec array<double>")
     q = df.withColumnRenamed("id", "qid")
