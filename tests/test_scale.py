@@ -61,3 +61,15 @@ def test_map_groups_keeps_groups_whole(spark, rows):
     got = scale.map_groups(df, ["k"], ["seq"], lambda g: [(len(g), g[0][0])], ["seq"], schema)
     want = df.groupBy("k").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
+
+
+def test_many_needles_are_searched_in_one_pass(spark, rows):
+    words = [f"w{i}" for i in range(300)] + ["a", "éa", "w1 w2", ""]
+    texts = [(1, "w1 w2 w299"), (2, "éa"), (3, ""), (4, None), (5, "w300"), (6, "w1 w2 w299")]
+    t = spark.createDataFrame(texts, "id long, t string")
+    n = spark.createDataFrame([(w,) for w in words], "n string")
+    want = sorted((i, w) for i, s in texts if s for w in words if w and w in s)
+    found = scale.contains_join(t, n, "t", "n")
+    assert rows(found, "id", "n") == want
+    assert "ArrowEvalPython" in found._jdf.queryExecution().toString()
+    assert rows(scale.contains_join(t, n, "t", "n", ship=0), "id", "n") == want
