@@ -54,7 +54,8 @@ s AS (SELECT collection, grp, min(ts) AS b, max(ts) AS e, count(DISTINCT rel_pat
 SELECT collection, epoch_us(b) AS start_us, paths FROM s WHERE epoch_us(e) + 600000000 <= (SELECT epoch_ms(max(ts)) * 1000 FROM change_events) - 600000000""",
 )
 def _(t):
-    out = _run(t, ch.quiet_batches(_stream(t, "change_events", "changes"), "10 minutes", delay=DELAY), "quiet")
+    with ch.merged_early(t.spark):
+        out = _run(t, ch.quiet_batches(_stream(t, "change_events", "changes"), "10 minutes", delay=DELAY), "quiet")
     return out.select("collection", F.unix_micros("start").alias("start_us"), F.size("paths").cast("long").alias("paths"))
 
 

@@ -151,3 +151,34 @@ def test_late_rows_of_fractions_of_a_millisecond(spark, tmp_path):
     got = registry.queries()["w09_late_rows"](spark, str(tmp_path))
     want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({registry.twins()['w09_late_rows']}) q").fetchall()
     assert want and sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_sessions_of_a_hot_key_are_merged_before_the_exchange(spark):
+    rng = random.Random(12)
+    at = sorted(rng.sample(range(40_000), 600))
+    events = [(BASE + timedelta(seconds=s), "hot", f"p{rng.randrange(9)}") for s in at]
+    want, last = [], None
+    for ts, _, path in events:
+        if last is None or ts - last >= timedelta(seconds=120.5):
+            want.append((ts, set()))
+        want[-1][1].add(path)
+        last = ts
+    want = [(start, len(paths)) for start, paths in want]
+    feed = shared_dir(spark) + "/hot-feed"
+    frame = spark.createDataFrame(events, "ts timestamp, collection string, rel_path string")
+    frame.repartition(4).write.parquet(feed)
+    spark.createDataFrame([(BASE + timedelta(days=9), "end", "")], frame.schema).write.mode("append").parquet(feed)
+    before = spark.conf.get(ch.MERGE_EARLY, None)
+    with ch.merged_early(spark):
+        stream = ch.quiet_batches(spark.readStream.schema(frame.schema).parquet(feed), "120500 milliseconds")
+        query = (
+            stream.select("start", F.size("paths").alias("n")).writeStream.format("parquet").option("path", feed + "-out")
+            .option("checkpointLocation", feed + "-state").outputMode("append").trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    assert spark.conf.get(ch.MERGE_EARLY, None) == before
+    got = sorted((r.start, r.n) for r in spark.read.parquet(feed + "-out").collect())
+    assert got == want and len(want) > 10
+    updated = max(p["stateOperators"][0]["numRowsUpdated"] for p in query.recentProgress)
+    assert updated <= len(want) + 1
+    assert query._jsq.explainInternal(False).split("== Physical Plan ==")[-1].count("MergingSessions") == 2
