@@ -84,27 +84,19 @@ def _scan(queries: list, vectors: DataFrame, k: int, skip_self: bool, floor, met
     spark = vectors.sparkSession
     qids = [r[0] for r in queries]
     qmat = np.array([r[1] for r in queries], dtype=np.float64)
-    shared = spark.sparkContext.broadcast((np.array(qids, dtype=object), qmat))
+    shared = spark.sparkContext.broadcast((np.array(qids), qmat))
 
     def scan(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, mat = shared.value
-        best = None
+        # only the best of the whole partition leave it, and products are made in tiles, however many the queries are
+        best = _Best(_plain(ids), mat, k, skip_self, floor, metric)
         for pdf in it:
             if pdf.empty:
                 continue
             pdf = pdf.sort_values("id", kind="stable")
-            sims = _measure(mat, _matrix(pdf["vec"]), metric)
-            vid = pdf["id"].to_numpy(dtype=object)
-            if skip_self:
-                sims[ids[:, None] == vid[None, :]] = -np.inf
-            r, c = _top(sims, k, floor)
-            new = pd.DataFrame({"q": r, "id": vid[c], "sim": np.round(sims[r, c], DIGITS)})
-            # only the best of the whole partition leave it, however many batches it has
-            best = new if best is None else pd.concat([best, new]).sort_values(
-                ["q", "sim", "id"], ascending=[True, False, True], kind="stable"
-            ).groupby("q").head(k)
-        if best is not None and len(best):
-            yield pd.DataFrame({"qid": ids[best["q"].to_numpy()], "id": best["id"].to_numpy(), "sim": best["sim"].to_numpy()})
+            best.meet(_plain(pdf["id"].to_numpy()), _matrix(pdf["vec"]))
+        if best.id is not None:
+            yield pd.DataFrame({"qid": ids[best.row], "id": best.id, "sim": best.sim / 10**DIGITS})
 
     return vectors.select("id", "vec").mapInPandas(scan, schema)
 

@@ -27,6 +27,8 @@ POSTINGS_PER_SALT = 200_000
 SMALL_TERMS = 500_000
 #: Bytes of asked terms that may be sent to every task, and chunks that are searched at once.
 WORDS_BYTES, BLOCK = 16 << 20, 2048
+#: Tokens that are counted at once.
+TOKENS = 1 << 18
 
 
 def searchable_text(chunks: DataFrame) -> DataFrame:
@@ -91,11 +93,19 @@ def asked_words(terms: DataFrame, limit: int = WORDS_BYTES) -> pa.Array | None:
     return pa.array(sorted(distinct.toArrow()["term"].to_pylist()), pa.string())
 
 
+def _some_tokens(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows ``chunk_id, bag`` of a batch, cut so that a part has about ``TOKENS`` tokens or a single row."""
+    upto = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(upto // TOKENS)) + 1, [batch.num_rows]])
+    for a, b in zip(edges, edges[1:]):
+        yield batch.slice(int(a), int(b - a))
+
+
 def _count_words(words: pa.Array):
     """Rows ``chunk_id, bag`` to ``chunk_id, len, tids, tfs`` of the words that are asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _some_tokens(whole)):
             bag = pc.fill_null(batch.column(1), pa.scalar([], batch.column(1).type))
             size = pc.list_value_length(bag).to_numpy(zero_copy_only=False).astype(np.int64)
             tid = pc.index_in(bag.flatten(), value_set=words)

@@ -218,3 +218,50 @@ def test_order_statistics_with_an_outlier_and_repeated_values(spark):
     assert got["a"]["p50"] == (ordered[(n - 1) // 2] + ordered[n // 2]) / 2
     assert got["a"]["p95"] == ordered[min(n - 1, int(0.95 * n))] and got["a"]["min"] == -1e9
     assert got[None]["n"] == 1 and got[None]["p50"] == 3.0
+
+
+class _Inline:
+    """Stands for a DataFrame; keeps the function that would run in the workers."""
+
+    def __init__(self, spark):
+        self.sparkSession = spark
+
+    def select(self, *_):
+        return self
+
+    def mapInPandas(self, run, _):  # noqa: N802 - name of the interface
+        return run
+
+
+def test_a_scan_for_many_queries_stays_small(spark):
+    import tracemalloc
+
+    import pandas as pd
+
+    rng = np.random.default_rng(27)
+    q, v = rng.normal(size=(2_000, 8)), rng.normal(size=(10_000, 8))
+    run = knn._scan(list(zip(range(len(q)), q.tolist())), _Inline(spark), 3, False, None, "cosine", None)
+    whole = pd.DataFrame({"id": np.arange(len(v)), "vec": list(v)})
+    tracemalloc.start()
+    got = pd.concat(run(iter([whole[:6_000], whole[6_000:]])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    sims = np.round(q @ v.T, 6)
+    want = np.sort(sims, axis=1)[:, -3:]
+    found = np.sort(got.sort_values(["qid", "sim"])["sim"].to_numpy().reshape(-1, 3), axis=1)
+    assert np.allclose(found, want) and np.allclose(sims[got["qid"], got["id"]], got["sim"])
+    assert peak < 100e6, peak  # all products of a batch at once take 96 MB and several copies
+
+
+def test_tokens_are_counted_in_bounded_parts(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(lexical, "TOKENS", 10)
+    bags = [["a"] * n for n in (0, 3, 4, 25, 0, 9, 9, 1, 1)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(bags))), pa.array(bags, pa.list_(pa.string()))], ["chunk_id", "bag"])
+    parts = list(lexical._some_tokens(batch))
+    assert pa.Table.from_batches(parts).to_pylist() == batch.to_pylist() and len(parts) > 3
+    assert all(p.num_rows == 1 or sum(len(b or ()) for b in p["bag"].to_pylist()[1:]) <= 10 for p in parts)
+    counted = pa.Table.from_batches(lexical._count_words(pa.array(["a"]))(iter([batch])))
+    assert counted["len"].to_pylist() == [len(b or ()) for b in bags]
+    assert [sum(t) for t in counted["tfs"].to_pylist()] == [len(b or ()) for b in bags]
