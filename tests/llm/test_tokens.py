@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -305,3 +306,21 @@ def test_search_edge_cases(spark):
     assert found == [(0, 1, 6, 1.0), (0, 2, 6, 1.0)]
     assert block_search.nearest(frame.limit(0), frame, 5).count() == 0
     assert block_search.nearest(frame, frame.limit(0), 5).count() == 0
+
+
+def test_sums_of_cells_travel_packed():
+    rng = np.random.default_rng(3)
+    parts = []
+    for _ in range(40):  # cells of a task
+        uid = np.unique(rng.integers(0, 500, 300))
+        parts.append((uid, rng.integers(0, 9, len(uid)), rng.normal(size=len(uid)), rng.normal(size=len(uid))))
+    parcels = pitman_yor._parcels(parts, 8)
+    assert len(parcels) <= 8 and parcels.target.is_unique
+    sent = [pitman_yor._parcels(parts[:15], 8), pitman_yor._parcels(parts[15:], 8)]
+    whole = [r for target in range(8) for r in pitman_yor._totals(pd.concat([x[x.target == target] for x in sent])).itertuples(index=False)]
+    want = {}
+    for cell in parts:
+        for uid, *values in zip(*cell):
+            want[uid] = want.get(uid, 0) + np.array(values)
+    assert sorted(r.uid for r in whole) == sorted(want)
+    assert all(np.allclose(want[r.uid], [r.n_known, r.base_score, r.score]) for r in whole)
