@@ -94,14 +94,14 @@ def _counter(buckets: int):
     return count
 
 
-def _weigher(ratio, passage: int, name: str, keep: int):
-    """``ratio``: a broadcast of the buckets' log ratios; ``keep``: how many leading columns stay."""
+def _weigher(ratio, passage: int):
+    """``ratio``: a broadcast of the buckets' log ratios."""
 
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def weigh(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = ratio.value
-        for batch in batches:
-            weight = np.zeros(batch.num_rows)
-            for a, b, words in _parts(batch.column(batch.num_columns - 1)):
+        for column in texts:
+            weight = np.zeros(len(column))
+            for a, b, words in _parts(column):
                 if not len(words.hash):
                     continue
                 slot, at = _ngrams(words, len(table))
@@ -114,17 +114,18 @@ def _weigher(ratio, passage: int, name: str, keep: int):
                 heads = np.repeat(begin, runs) + passage * (np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs))
                 sums = np.add.reduceat(by_word, heads)
                 weight[a + has] = np.minimum.reduceat(sums, np.cumsum(runs) - runs)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:keep], pa.array(weight)], [*batch.schema.names[:keep], name])
+            yield pa.array(weight)
 
     return weigh
 
 
 def weigh(docs: DataFrame, model: ImportanceModel, name: str = "log_weight", passage: int = PASSAGE) -> DataFrame:
-    """All rows and columns of ``docs`` and the log importance weight of ``text`` as ``name``."""
+    """All rows and columns of ``docs`` and the log importance weight of ``text`` as ``name``.
+
+    Only texts go to the workers and only weights come back; the other columns stay where they are.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model.ratio)
-    text = docs.select("*", F.col("text").alias(fresh(docs, "_text")))
-    schema = docs.withColumn(name, F.lit(0.0)).schema
-    return text.mapInArrow(_weigher(sent, passage, name, len(docs.columns)), schema)
+    return docs.withColumn(name, F.arrow_udf(_weigher(sent, passage), "double")("text"))
 
 
 def _labelled(labels: DataFrame, sample: int) -> DataFrame:

@@ -91,6 +91,18 @@ def test_quality_edge_cases(spark, graded):
     assert len({r.kept for r in quality.select(twice, labels).where("doc_id = 3").collect()}) == 1
 
 
+def test_weighing_sends_texts_and_takes_weights_back(spark, graded):
+    docs, _ = graded
+    wide = docs.selectExpr("*", "repeat(text, 50) AS other")
+    model = quality.ImportanceModel(np.linspace(-2, 2, 1 << 10, dtype=np.float32))
+    found = quality.weigh(wide, model)
+    assert found.columns == [*wide.columns, "log_weight"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
+    narrow = {r.doc_id: r.log_weight for r in quality.weigh(docs, model).collect()}
+    assert {r.doc_id: r.log_weight for r in found.collect()} == narrow and len(set(narrow.values())) > 1
+
+
 # -- near duplicates ------------------------------------------------------------------------------------
 
 
