@@ -12,6 +12,9 @@ n - ceil(percent n / 100) + 1, the prefix.
   meets the first of every list it is in, and the first member of its own; lists that still hold several
   components get another centre; what is then still apart is paired completely, in tiles of ``TILE`` entries.
   A list of copies costs one pair for each member, and no pair of different components is left out.
+* Each vertex has a bitmap of ``BITS`` bits, the parities of its shingles by hash.  Two bitmaps differ in no more bits than
+  the sets in shingles, so where they differ in more than similar sets can, the pair is not made (the bitmap filter of
+  Sandes et al.).
 
 The order is only a matter of speed, any order gives the same result: shingles that ``SEEN`` or more documents of
 one partition have are counted, and the ``COMMON`` most frequent of them (2 MB) are sent to all tasks.
@@ -40,6 +43,7 @@ PERCENT = 80
 SEEN = 8
 COMMON = 1 << 17
 TILE = 2048
+BITS = 256
 #: Bytes of text whose shingles are held at once, and shingles counted before rare ones are forgotten.
 SLICE, HELD = 1 << 20, 1 << 21
 #: Ids (of 16-byte digests) that may be sent to every task to pick out texts where they are read.
@@ -89,8 +93,18 @@ def common_shingles(docs: DataFrame, most: int = COMMON) -> tuple[np.ndarray, np
     return token[order], (len(token) - np.arange(len(token)))[order]
 
 
+def parities(owner: np.ndarray, h: np.ndarray, many: int) -> np.ndarray:
+    """Whether an odd number of a set's shingles falls to each bit; ``BITS`` bits as rows of 64-bit words."""
+    odd = np.bincount(owner * BITS + (h >> np.uint64(56)).astype(np.int64) % BITS, minlength=many * BITS) & 1
+    return np.ascontiguousarray(np.packbits(odd.astype(np.uint8).reshape(many, BITS), axis=1).view(np.int64).T)
+
+
+#: Columns of the bitmap.
+PARITIES = [f"b{i}" for i in range(BITS // 64)]
+
+
 def _sketch(common: tuple[np.ndarray, np.ndarray], percent: int):
-    """Size, digest of the set, digest of (size, prefix) and prefix of each document."""
+    """Size, digest of the set, digest of (size, prefix), prefix and bitmap of each document."""
     token, rank = common
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,8 +128,8 @@ def _sketch(common: tuple[np.ndarray, np.ndarray], percent: int):
                     group.append(hashlib.blake2b(b"%d:" % (e - s) + head, digest_size=16).digest())
                     prefix.append(head)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[a:b], pa.array(size.astype(np.int64)), *(pa.array(c, pa.binary()) for c in (digest, group, prefix))],
-                    ["doc_id", "n", "digest", "grp", "prefix"],
+                    [batch.column(0)[a:b], pa.array(size.astype(np.int64)), *(pa.array(c, pa.binary()) for c in (digest, group, prefix)), *map(pa.array, parities(owner, h, b - a))],
+                    ["doc_id", "n", "digest", "grp", "prefix", *PARITIES],
                 )
 
     return run
@@ -204,16 +218,20 @@ def _tiled_pairs(rows: DataFrame, percent: int, tile: int) -> DataFrame:
     blocks = F.ceil(F.col("many") / tile)
     mine = F.pmod(F.xxhash64(F.lit("block"), "vertex"), blocks)
     other = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
-    tiled = rows.select("token", "vertex", "n", "pos", "label", blocks.alias("blocks"), mine.alias("mine"), other.alias("other")).select(
-        "token", (F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")).alias("tile"), "vertex", "n", "pos", "label", "mine", "other"
+    tiled = rows.select("token", "vertex", "n", "pos", "label", blocks.alias("blocks"), mine.alias("mine"), other.alias("other"), *PARITIES).select(
+        "token", (F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")).alias("tile"), "vertex", "n", "pos", "label", "mine", "other", *PARITIES
     )
     x = tiled.where("mine <= other").select(
-        "token", "tile", F.col("vertex").alias("x"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("label").alias("xlabel"), F.col("mine").alias("xmine")
+        "token", "tile", F.col("vertex").alias("x"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("label").alias("xlabel"), F.col("mine").alias("xmine"),
+        *[F.col(b).alias(f"x{b}") for b in PARITIES],
     )
     y = tiled.where("mine >= other")
+    # parities that differ stand for shingles that only one of both sets has
+    differing = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"x{b}"))) for b in PARITIES[1:]), F.bit_count(F.col(PARITIES[0]).bitwiseXOR(F.col(f"x{PARITIES[0]}"))))
+    close = (100 + percent) * differing <= (100 - percent) * (F.col("n") + F.col("m"))
     apart = (F.col("label") != F.col("xlabel")) & ((F.col("mine") != F.col("xmine")) | (F.col("x") < F.col("vertex")))
     # a pair of one block and one of two blocks may come in either order, so the smaller id is put first
-    both = x.join(y, ["token", "tile"]).where(apart)
+    both = x.join(y, ["token", "tile"]).where(apart & close)
     turned = F.col("x") > F.col("vertex")
     swap = lambda p, q: F.when(turned, F.col(q)).otherwise(F.col(p))
     met = both.select(swap("x", "vertex").alias("x"), swap("m", "n").alias("m"), swap("at", "pos").alias("at"), swap("vertex", "x").alias("vertex"), swap("n", "m").alias("n"), swap("pos", "at").alias("pos"))
@@ -224,12 +242,12 @@ def linked_components(docs: DataFrame, percent: int = PERCENT, tile: int = TILE)
     """``doc_id, n_shingles, component_id`` for every row of ``docs``."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     sketch = save_point(
-        docs.select("doc_id", "text").mapInArrow(_sketch(common_shingles(docs), percent), f"doc_id {id_type}, n long, digest binary, grp binary, prefix binary")
+        docs.select("doc_id", "text").mapInArrow(_sketch(common_shingles(docs), percent), f"doc_id {id_type}, n long, digest binary, grp binary, prefix binary, " + ", ".join(f"{b} long" for b in PARITIES))
     )
-    named = sketch.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.min(F.struct("digest", "grp", "n")).alias("own")).select("doc_id", "own.*")
-    vertex = save_point(named.groupBy("digest", "grp", "n").agg(F.min("doc_id").alias("vertex")))
+    named = sketch.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.min(F.struct("digest", "grp", "n", *PARITIES)).alias("own")).select("doc_id", "own.*")
+    vertex = save_point(named.groupBy("digest", "grp", "n").agg(F.min("doc_id").alias("vertex"), *[F.first(b).alias(b) for b in PARITIES]))
     heads = vertex.groupBy("grp").agg(F.min("vertex").alias("gid"), F.count("*").alias("members"))
-    member = save_point(vertex.join(heads, "grp").select("vertex", "digest", "n", "gid", "members"))
+    member = save_point(vertex.join(heads, "grp").select("vertex", "digest", "n", "gid", "members", *PARITIES))
     prefix = sketch.where("n > 0").join(heads.select("grp", F.col("gid").alias("doc_id")), ["grp", "doc_id"], "left_semi")
     entries = (
         prefix.groupBy("doc_id", "grp", "n").agg(F.first("prefix").alias("prefix")).select("doc_id", "n", "prefix")
@@ -278,6 +296,8 @@ def linked_components(docs: DataFrame, percent: int = PERCENT, tile: int = TILE)
         rows = apart(rows, label)
         if rows.isEmpty():
             break
+        if pairs is _tiled_pairs:
+            rows = rows.join(member.select("vertex", *PARITIES), "vertex")
         links = links.unionByName(verified(pairs(rows, percent, tile)))
     else:
         label = labels()

@@ -222,3 +222,30 @@ def test_rows_that_take_no_part(spark):
     assert [tuple(r) for r in found.collect()] == [(100, 101, 1, 102, 256 * 256 + 128 * 102, 256 * 128 + 128 * 64)]
     assert cover_tree.hard_negatives(whole.limit(0), whole.limit(0)).collect() == []
     assert {r.vec_id: r.label for r in cover_tree.noisy_labels(whole).collect()}[105 - 5] == 1
+
+
+def test_bitmaps_rule_out_pairs_before_they_are_made(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    sets = [np.sort(rng.integers(0, 1 << 63, 40).astype(np.uint64)) for _ in range(30)]
+    sets.append(np.sort(np.append(sets[0][1:], np.uint64(5))))  # near the first
+    owner = np.repeat(np.arange(31), 40)
+    words = grouped_join.parities(owner, np.concatenate(sets), 31)
+    bits = lambda i: int.from_bytes(words[:, i].tobytes(), "little")
+    for i in range(31):
+        for j in range(31):
+            assert (bits(i) ^ bits(j)).bit_count() <= len(set(sets[i].tolist()) ^ set(sets[j].tolist()))
+    # all are in the lists of six shingles
+    rows = spark.createDataFrame(
+        [(t, i, 40, t, i, 31, *(int(x) for x in words[:, i])) for i in range(31) for t in range(6)],
+        "token long, vertex long, n long, pos int, label long, many long, " + ", ".join(f"{b} long" for b in grouped_join.PARITIES),
+    )
+    made, plain = [], grouped_join._candidates
+
+    def candidates(percent, met, x, y):
+        made.append(met.count())
+        return plain(percent, met, x, y)
+
+    monkeypatch.setattr(grouped_join, "_candidates", candidates)
+    pairs = grouped_join._tiled_pairs(rows, 80, 8).select("a", "b").collect()
+    assert made == [6]  # of 2,790
+    assert [(r.a, r.b) for r in pairs] == [(0, 30)]
