@@ -12,6 +12,7 @@ n - ceil(percent n / 100) + 1, the prefix.
   meets the first of every list it is in, and the first member of its own; lists that still hold several
   components get another centre; what is then still apart is paired completely, in tiles of ``TILE`` entries.
   A list of copies costs one pair for each member, and no pair of different components is left out.
+  Tiles of lists with the same least member meet in one task, where what a pair shares is counted before it is sent.
 * Each vertex has a bitmap of ``BITS`` bits, the parities of its shingles by hash.  Two bitmaps differ in no more bits than
   the sets in shingles, so where they differ in more than similar sets can, the pair is not made (the bitmap filter of
   Sandes et al.).
@@ -43,6 +44,8 @@ PERCENT = 80
 SEEN = 8
 COMMON = 1 << 17
 TILE = 2048
+#: Members of a list from which the lists of one picked member go to several tasks, rows held and pairs made at once in a task.
+PART, HELD_ROWS, PAIRS = 64, 1 << 17, 1 << 19
 BITS = 256
 #: Bytes of text whose shingles are held at once, and shingles counted before rare ones are forgotten.
 SLICE, HELD = 1 << 20, 1 << 21
@@ -198,7 +201,11 @@ def _candidates(percent: int, met: DataFrame, x: str, y: str) -> DataFrame:
     prefix.
     """
     pair = met.where(_may(percent, F.col("n"), F.col("pos"), F.col("m"), F.col("at"))).groupBy(x, y, "n", "m")
-    seen = pair.agg(F.count("*").alias("shared"), F.max("pos").alias("pos"), F.max("at").alias("at"), F.min("pos").alias("least"))
+    return _similar(percent, pair.agg(F.count("*").alias("shared"), F.max("pos").alias("pos"), F.max("at").alias("at"), F.min("pos").alias("least")), x, y)
+
+
+def _similar(percent: int, seen: DataFrame, x: str, y: str) -> DataFrame:
+    """Those pairs that can be similar by the number of shingles that their prefixes share and the last places of these."""
     behind = lambda size: F.floor((F.lit(percent) * size + 99) / 100).cast("long") - 1  # noqa: E731 - shingles that follow the prefix
     rest = F.greatest(F.least(behind(F.col("n")), F.col("m") - F.col("at") - 1), F.least(F.col("n") - F.col("pos") - 1, behind(F.col("m"))))
     similar = (100 + percent) * (F.col("shared") + rest) >= percent * (F.col("n") + F.col("m"))
@@ -213,8 +220,93 @@ def _other_centres(rows: DataFrame, percent: int, tile: int) -> DataFrame:
     return _candidates(percent, rows.join(centre, "token").where(F.col("label") != F.col("clabel")), "vertex", "centre")
 
 
+def _met(percent: int, most_rows: int = HELD_ROWS, most_pairs: int = PAIRS):
+    """Of rows ``token, tile, vertex, n, pos, label, side`` and bitmap, where a list's tile stands together: the pairs of different
+    components that share shingles, and how many, with the last places; a pair may come several times, with a part of these."""
+
+    def pairs(rows: pa.Table) -> pa.RecordBatch:
+        col = lambda name: rows[name].to_numpy()
+        ids, vertex = np.unique(col("vertex"), return_inverse=True)
+        token, tile, n, pos, label, side = (col(c) for c in ("token", "tile", "n", "pos", "label", "side"))
+        bits = [col(b).view(np.uint64) for b in PARITIES]  # of signed numbers numpy counts the bits of the absolute value
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (tile[1:] != tile[:-1])
+        end = np.append(np.flatnonzero(new)[1:], len(token))[np.cumsum(new) - 1]
+        later = end - np.arange(len(token)) - 1  # each row meets those behind it in its tile
+        edge = np.concatenate([[0], np.cumsum(later)])
+        found, at = [], 0
+        while at < len(later):
+            to = max(at + 1, int(np.searchsorted(edge, edge[at] + most_pairs, "right")) - 1)
+            i = np.repeat(np.arange(at, to), later[at:to])
+            j = i + 1 + np.arange(len(i)) - np.repeat(edge[at:to] - edge[at], later[at:to])
+            at = to
+            use = (label[i] != label[j]) & ((side[i] == 2) | (side[i] != side[j]))
+            i, j = i[use], j[use]
+            both = percent * (n[i] + n[j])
+            use = (100 + percent) * (np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])) >= both
+            # parities that differ stand for shingles that only one of both sets has
+            differing = sum(np.bitwise_count(b[i] ^ b[j]).astype(np.int64) for b in bits)
+            use &= (100 + percent) * differing <= (100 - percent) * (n[i] + n[j])
+            i, j = i[use], j[use]
+            i, j = np.where(vertex[i] < vertex[j], i, j), np.where(vertex[i] < vertex[j], j, i)
+            found.append(np.stack([vertex[i] * len(ids) + vertex[j], n[i], n[j], np.ones(len(i), np.int64), pos[i], pos[j]]))
+        key, n, m, shared, pos, at = np.concatenate(found, axis=1) if found else np.zeros((6, 0), np.int64)
+        order = np.argsort(key, kind="stable")
+        head = np.flatnonzero(np.diff(key[order], prepend=-1))
+        total = lambda f, x: f.reduceat(x[order], head) if len(head) else x[:0]
+        key, n, m = key[order][head], n[order][head], m[order][head]
+        name = lambda k: rows["vertex"].combine_chunks().take(pa.array(first[k]))
+        first = np.zeros(len(ids), np.int64)
+        first[vertex] = np.arange(len(vertex))
+        return pa.RecordBatch.from_arrays(
+            [name(key // max(len(ids), 1)), name(key % max(len(ids), 1)), *map(pa.array, (n, m, total(np.add, shared), total(np.maximum, pos), total(np.maximum, at), total(np.minimum, pos)))],
+            ["x", "y", "n", "m", "shared", "pos", "at", "least"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for batch in batches:
+            held.append(batch)
+            count += batch.num_rows
+            if count < most_rows:
+                continue
+            rows = pa.Table.from_batches(held)
+            token, tile = rows["token"].to_numpy(), rows["tile"].to_numpy()
+            last = np.flatnonzero((token != token[-1]) | (tile != tile[-1]))
+            whole = int(last[-1]) + 1 if len(last) else 0  # the last list may go on
+            if whole:
+                yield pairs(rows.slice(0, whole))
+            held, count = rows.slice(whole).to_batches(), len(rows) - whole
+        if count:
+            yield pairs(pa.Table.from_batches(held))
+
+    return run
+
+
+def _counted_pairs(rows: DataFrame, percent: int, tile: int) -> DataFrame:
+    """All pairs of members of a list that are in different components; a long list is cut into blocks, and each two blocks meet.
+
+    Lists with the same picked member, which mostly hold the same members, go to the same task: there the shingles that a pair
+    shares are counted before it leaves, so that a pair that shares many is sent once and not once for each.
+    """
+    blocks = F.ceil(F.col("many") / tile)
+    mine = F.pmod(F.xxhash64(F.lit("block"), "vertex"), blocks)
+    other = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
+    # long lists of one member are dealt to several tasks, by shingle
+    part = F.pmod(F.xxhash64(F.lit("part"), "token"), F.ceil(F.col("many") / PART))
+    tiled = rows.select("token", "pick", part.alias("part"), "vertex", "n", "pos", "label", blocks.alias("blocks"), mine.alias("mine"), other.alias("other"), *PARITIES).select(
+        "token", (F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")).alias("tile"), "pick", "part", "vertex", "n", F.col("pos").cast("long").alias("pos"), "label",
+        F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"), *PARITIES,
+    )
+    kind = rows.schema["vertex"].dataType.simpleString()
+    dealt = tiled.repartition("pick", "part", "tile").sortWithinPartitions("pick", "part", "token", "tile")
+    met = dealt.mapInArrow(_met(percent), f"x {kind}, y {kind}, n long, m long, shared long, pos long, at long, least long")
+    seen = met.groupBy("x", "y", "n", "m").agg(F.sum("shared").alias("shared"), F.max("pos").alias("pos"), F.max("at").alias("at"), F.min("least").alias("least"))
+    return _similar(percent, seen, "x", "y")
+
+
 def _tiled_pairs(rows: DataFrame, percent: int, tile: int) -> DataFrame:
-    """All pairs of members of a list that are in different components; a long list is cut into blocks, and each two blocks meet."""
+    """What ``_counted_pairs`` gives, by a plain join with a row for each shared shingle: the tests hold the two against each other."""
     blocks = F.ceil(F.col("many") / tile)
     mine = F.pmod(F.xxhash64(F.lit("block"), "vertex"), blocks)
     other = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
@@ -291,12 +383,12 @@ def linked_components(docs: DataFrame, percent: int = PERCENT, tile: int = TILE)
         mixed = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.xxhash64("vertex")).alias("pick"), F.count("*").alias("many")).where("lo < hi")
         return save_point(labelled.join(mixed.select("token", "pick", "many"), "token"))
 
-    for pairs in (_other_centres, _tiled_pairs):
+    for pairs in (_other_centres, _counted_pairs):
         label = labels()
         rows = apart(rows, label)
         if rows.isEmpty():
             break
-        if pairs is _tiled_pairs:
+        if pairs is _counted_pairs:
             rows = rows.join(member.select("vertex", *PARITIES), "vertex")
         links = links.unionByName(verified(pairs(rows, percent, tile)))
     else:

@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loreworks.llm import cover_tree, grouped_join, prefix_trie
@@ -249,3 +250,41 @@ def test_bitmaps_rule_out_pairs_before_they_are_made(spark, monkeypatch):
     pairs = grouped_join._tiled_pairs(rows, 80, 8).select("a", "b").collect()
     assert made == [6]  # of 2,790
     assert [(r.a, r.b) for r in pairs] == [(0, 30)]
+
+
+def test_shingles_of_a_pair_are_counted_before_it_is_sent(spark):
+    """A pair that shares many shingles leaves its task once; the candidates are those of a join with a row for each."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 60).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(60) < 0.9], rng.integers(0, 1 << 63, 6).astype(np.uint64)])) for _ in range(40)]
+    words = grouped_join.parities(np.repeat(np.arange(40), [len(s) for s in sets]), np.concatenate(sets), 40)
+    lists = defaultdict(list)
+    for i, s in enumerate(sets):
+        for pos, token in enumerate(s[:14].tolist()):
+            lists[token].append((i, len(s), pos))
+    fields = "token long, vertex long, n long, pos int, label long, pick long, many long, " + ", ".join(f"{b} long" for b in grouped_join.PARITIES)
+    rows = [(t, i, n, pos, i % 33, min(i for i, *_ in own), len(own), *(int(x) for x in words[:, i])) for t, own in lists.items() if len(own) > 1 for i, n, pos in own]
+    frame = spark.createDataFrame(rows, fields)
+    plain = sorted(tuple(r) for r in grouped_join._tiled_pairs(frame, 80, 3).collect())
+    assert len(plain) > 10
+    for tile in (64, 3):
+        assert sorted(tuple(r) for r in grouped_join._counted_pairs(frame, 80, tile).collect()) == plain
+    # the same rows in one task, all at once and in small parts
+    together = {}
+    for most_rows, most_pairs in ((1 << 17, 1 << 19), (100, 50), (1, 1)):
+        columns = list(zip(*((t, 0, i, n, pos, label, 2, *bits) for t, i, n, pos, label, _, _, *bits in rows)))
+        batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["token", "tile", "vertex", "n", "pos", "label", "side", *grouped_join.PARITIES])
+        made = [r for part in grouped_join._met(80, most_rows, most_pairs)(batch.slice(k, 90) for k in range(0, len(rows), 90)) for r in part.to_pylist()]
+        total = defaultdict(lambda: [0, -1, -1, 99])
+        for r in made:
+            own = total[r["x"], r["y"], r["n"], r["m"]]
+            own[:] = own[0] + r["shared"], max(own[1], r["pos"]), max(own[2], r["at"]), min(own[3], r["least"])
+        together[most_rows] = dict(total)
+        if most_rows == 1 << 17:
+            assert len(made) == len(total)
+            assert sum(r["shared"] for r in made) > 3 * len(made)  # a join makes as many rows
+    assert together[1] == together[100] == together[1 << 17]
+    # two bits that differ are two, also if one is the sign
+    signed = [[5, 0, i, 40, 0, i, 2, (i and 8 - (1 << 63)), 0, 0, 0] for i in range(2)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*signed)], batch.schema.names)
+    assert [r["shared"] for part in grouped_join._met(80)([batch]) for r in part.to_pylist()] == [1]
