@@ -298,8 +298,11 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     Rows that repeat a doc_id are copies: one of them stays.
     """
     classes = save_point(near_duplicates(docs, **options))
-    later = classes.where("class_id < doc_id").select(F.col("doc_id").alias("_later")).distinct()
-    kept = docs.join(later, docs["doc_id"] == F.col("_later"), "left_anti")
-    again = classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
-    once = kept.join(again, kept["doc_id"] == F.col("_again"), "left_anti")
-    return once.unionByName(kept.join(again, kept["doc_id"] == F.col("_again"), "left_semi").dropDuplicates(["doc_id"]))
+    # one row for each id that isn't simply kept, so that texts are shuffled once at most
+    fate = classes.where("doc_id is not null").groupBy("doc_id").agg(F.coalesce(F.max(F.col("class_id") < F.col("doc_id")), F.lit(False)).alias("later"), F.count("*").alias("n"))
+    fate = save_point(fate.where("later or n > 1").select(F.col("doc_id").alias("_id"), "later"))
+    again = fate.where("not later")
+    if again.isEmpty():
+        return docs.join(fate.select("_id"), docs["doc_id"] == F.col("_id"), "left_anti")
+    once = docs.join(fate.select("_id"), docs["doc_id"] == F.col("_id"), "left_anti")
+    return once.unionByName(docs.join(again.select("_id"), docs["doc_id"] == F.col("_id"), "left_semi").dropDuplicates(["doc_id"]))

@@ -194,6 +194,21 @@ def test_near_duplicates_edge_cases(spark):
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_keep_first_shuffles_texts_once_at_most(spark, monkeypatch):
+    docs = table(spark, [prose(20, i) for i in range(12)])
+    classes = docs.selectExpr("doc_id", "doc_id - doc_id % 3 AS class_id", "0L AS links")
+    monkeypatch.setattr(neardup, "near_duplicates", lambda docs, **options: classes)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = neardup.keep_first(docs)
+        plan = kept._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("Join") == 1  # one join, so the texts are dealt once
+        assert sorted(r.doc_id for r in kept.collect()) == [0, 3, 6, 9]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 # -- repeated passages ----------------------------------------------------------------------------------
 
 
