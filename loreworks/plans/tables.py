@@ -51,11 +51,13 @@ FROM (SELECT doc_id + CASE WHEN doc_id % 11 = 0 THEN 1000000000 ELSE 0 END AS do
         SHA256(text) AS sha2_hex FROM {docs}) k
 """
 
+# an empty text has no chunk; Spark's sequence would count down from 0 to -1
 DEFS["chunks"] = (
     """
 SELECT doc_id * 1000 + ordinal AS chunk_id, doc_id, collection, project, rel_path, kind, ordinal,
   'part ' || CAST(ordinal AS STRING) AS anchor, substring(text, CAST(ordinal * 800 + 1 AS INT), 800) AS text
 FROM {docs} LATERAL VIEW explode(sequence(0L, CAST(floor((char_length(text) - 1) / 800) AS BIGINT))) s AS ordinal
+WHERE text <> ''
 """,
     """
 SELECT doc_id * 1000 + ordinal AS chunk_id, doc_id, collection, project, rel_path, kind, ordinal,

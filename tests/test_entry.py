@@ -32,3 +32,16 @@ def test_query_equals_its_twin(spark, name):
     order = [rel.columns.index(c) for c in cols]
     theirs = sorted(repr(tuple(show(r[i]) for i in order)) for r in rel.fetchall())
     assert ours == theirs
+
+
+def test_empty_texts_have_no_chunks_in_spark_and_sql(spark, tmp_path):
+    texts = ["", None, " ", "a" * 800, "b" * 801, ""]
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = [(i, x, "en", "src1", len(x or "")) for i, x in enumerate(texts)]
+    spark.createDataFrame(docs, columns).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("c02_chunk_id", "c06_approx_tokens", "c22_script_census", "c25_fingerprint", "e11_overflow_report"):
+        df = entry.queries()[name](spark, str(tmp_path))
+        rel = con.sql(entry.twins()[name])
+        assert sorted(map(tuple, df.select(rel.columns).collect())) == sorted(rel.fetchall()), name
