@@ -208,6 +208,40 @@ def test_model_edge_cases(spark):
     assert {round(r.score, 9) for r in untaught if r.n_tokens == 3} == {0.0} and all(r.train_tokens == 0 for r in untaught)
 
 
+def test_rare_contexts_have_restaurants(spark):
+    from pyspark.sql import functions as F
+
+    # four rows each are the same words in the same order; every odd row is held out
+    rng = np.random.default_rng(5)
+    orders = [rng.permutation(30) for _ in range(30)]
+    texts = [" ".join(f"w{i // 4}x{j}" for j in orders[i // 4]) for i in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {}
+    for contexts in (1, 7, 65_000):  # how many tokens' numbers all cells get is a matter of speed
+        found[contexts] = {r.doc_id: r for r in pitman_yor.score_documents(docs, held=F.col("doc_id") % 2 == 1, contexts=contexts).collect()}
+        assert len(found[contexts]) == len(texts)
+    for i in range(1, len(texts), 2):
+        scores = [found[c][i].score for c in found]
+        assert min(scores) > found[1][i].base_score + 10  # what followed each word is known
+        assert max(scores) - min(scores) < 0.1 * abs(scores[-1]) + 2
+        assert len({(found[c][i].n_known, round(found[c][i].base_score, 6)) for c in found}) == 1
+
+
+@pytest.mark.parametrize("contexts", [1, 3])
+def test_model_mass_is_one_with_rare_contexts(spark, contexts):
+    from pyspark.sql import functions as F
+
+    taught = ["a b c a b", "b c d e a", "a b d", "e e e e f g", "a b c a b"]
+    words = [*"abcdefg", "unknown"]
+    rows = [(i, t) for i, t in enumerate([*taught, "", *words, *(f"{x} {y}" for x in words for y in words)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    score = {rows[r.doc_id][1]: r.score for r in pitman_yor.score_documents(docs, held=F.col("doc_id") >= 5, contexts=contexts).collect()}
+    p = {w: 10 ** score[w] for w in ["", *words]}
+    matrix = np.array([[10 ** score[f"{x} {y}"] / p[y] for y in words] for x in words])
+    f = np.linalg.solve(np.eye(len(words)) - matrix, np.array([p[w] for w in words]))
+    assert f.sum() + p[""] == pytest.approx(1.0, abs=1e-6)
+
+
 # -- preference pairs -----------------------------------------------------------------------------------
 
 
